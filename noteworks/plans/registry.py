@@ -1,0 +1,26 @@
+"""Registry of named queries and the SQL that checks them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+CHECKS: dict[str, str] = {}
+
+
+def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
+    """Register ``fn(spark, folder)`` under ``name``; ``check`` is SQL with the same rows and column names."""
+
+    def add(fn: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"query {name} registered twice")
+        QUERIES[name] = fn
+        if check is not None:
+            CHECKS[name] = check
+        return fn
+
+    return add
