@@ -7,7 +7,9 @@ exploded and nothing is shuffled: a note never leaves its task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN_TYPE = "array<struct<match:string,start:int,end:int>>"
@@ -17,9 +19,25 @@ def no_spans() -> Column:
     return F.array().cast(SPAN_TYPE)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``, however often ``body`` mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def explode_items(df: DataFrame, items: Column, alias: str, *keep: Column | str) -> DataFrame:
+    """One row per array element. The outer form keeps the optimizer from inferring a size filter, which
+    would be pushed below and compute an expensive array a second time."""
+    return df.select(*keep, F.explode_outer(items).alias(alias)).where(F.col(alias).isNotNull())
+
+
 def find_spans(text: Column, pattern: Column | str) -> Column:
     """All non-overlapping matches of ``pattern``, left to right; ``start`` is 0-based, ``end`` exclusive."""
-    pat = F.lit(pattern) if isinstance(pattern, str) else pattern
+    if not isinstance(pattern, str):
+        return let(pattern, lambda p: _find_spans(text, p))
+    return _find_spans(text, F.lit(pattern))
+
+
+def _find_spans(text: Column, pat: Column) -> Column:
     pieces = F.arrays_zip(
         F.split(text, pat, -1).alias("gap"),
         F.regexp_extract_all(text, pat, F.lit(0)).alias("hit"),

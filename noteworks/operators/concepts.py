@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteworks import config
-from noteworks.functions.spans import SPAN_TYPE, find_spans, no_spans, overlaps
+from noteworks.functions.spans import SPAN_TYPE, explode_items, find_spans, let, no_spans, overlaps
 from noteworks.functions.rules import rate
 from noteworks.session import BROADCAST_ROW_LIMIT, one_row
 
@@ -70,9 +70,15 @@ def _alternation(alternatives: Column) -> Column:
 
 def _first_per_alias(spans: Column, cap: int) -> Column:
     """The first ``cap`` spans of each distinct matched string, sorted by start."""
-    names = F.array_distinct(F.transform(spans, lambda s: s["match"]))
-    kept = F.flatten(F.transform(names, lambda n: F.slice(F.filter(spans, lambda s: s["match"] == n), 1, cap)))
-    return F.array_sort(kept, lambda a, b: a["start"] - b["start"])
+
+    def pick(found: Column) -> Column:
+        names = F.array_distinct(F.transform(found, lambda s: s["match"]))
+        kept = F.flatten(
+            F.transform(names, lambda n: F.slice(F.filter(found, lambda s: s["match"] == n), 1, cap))
+        )
+        return F.array_sort(kept, lambda a, b: a["start"] - b["start"])
+
+    return let(spans, pick)
 
 
 def _with_alternatives(notes: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -118,8 +124,8 @@ def match_aliases(
     notes: DataFrame, aliases: DataFrame, max_per_alias: int = config.MAX_ALIAS_MATCHES_PER_NOTE
 ) -> DataFrame:
     """Leftmost-longest, non-overlapping, word-bounded matches; at most ``max_per_alias`` of each per note."""
-    rows = _matched(notes, aliases, max_per_alias).select(
-        "note_id", "client_id", F.explode("_spans").alias("s")
+    rows = explode_items(
+        _matched(notes, aliases, max_per_alias), F.col("_spans"), "s", "note_id", "client_id"
     ).select(
         "note_id",
         "client_id",
@@ -147,9 +153,7 @@ def match_aliases_longest_first(
         return F.when(taken | (used >= max_per_alias), kept).otherwise(F.concat(kept, F.array(s)))
 
     spans = F.aggregate(every, no_spans(), claim)
-    rows = prepared.where(F.size("_alternatives") > 0).select(
-        "note_id", "client_id", F.explode(spans).alias("s")
-    ).select(
+    rows = explode_items(prepared, spans, "s", "note_id", "client_id").select(
         "note_id",
         "client_id",
         F.col("s.match").alias("matched_alias"),
@@ -165,25 +169,32 @@ def budget_spans(text: Column) -> Column:
     amounts = F.transform(
         F.regexp_extract_all(text, F.lit(config.BUDGET_PATTERN), F.lit(1)), lambda a: F.trim(a)
     )
-    zipped = F.transform(
-        found,
-        lambda s, i: F.struct(
-            F.get(amounts, i).alias("amount"), s["start"].alias("start"), s["end"].alias("end"), i.alias("i")
-        ),
-    )
-    first = F.filter(zipped, lambda z: (F.array_position(amounts, z["amount"]) == z["i"] + 1) & (z["amount"] != ""))
-    return F.transform(
-        first,
-        lambda z: F.struct(
-            F.concat(F.lit("budget "), F.lower(z["amount"])).alias("match"),
-            z["start"].alias("start"),
-            z["end"].alias("end"),
-        ),
-    )
+
+    def label(all_amounts: Column) -> Column:
+        zipped = F.transform(
+            found,
+            lambda s, i: F.struct(
+                F.get(all_amounts, i).alias("amount"), s["start"].alias("start"), s["end"].alias("end"),
+                i.alias("i"),
+            ),
+        )
+        first = F.filter(
+            zipped, lambda z: (F.array_position(all_amounts, z["amount"]) == z["i"] + 1) & (z["amount"] != "")
+        )
+        return F.transform(
+            first,
+            lambda z: F.struct(
+                F.concat(F.lit("budget "), F.lower(z["amount"])).alias("match"),
+                z["start"].alias("start"),
+                z["end"].alias("end"),
+            ),
+        )
+
+    return F.when(text.rlike(config.BUDGET_PATTERN), let(amounts, label)).otherwise(no_spans())
 
 
 def extract_budgets(notes: DataFrame) -> DataFrame:
-    return notes.select("note_id", "client_id", F.explode(budget_spans(F.col("text"))).alias("s")).select(
+    return explode_items(notes, budget_spans(F.col("text")), "s", "note_id", "client_id").select(
         "note_id",
         "client_id",
         F.col("s.match").alias("matched_alias"),
@@ -205,7 +216,7 @@ def detect_concepts(notes: DataFrame, aliases: DataFrame) -> DataFrame:
         F.transform("_spans", lambda s: F.struct(s.alias("s"), F.lit(False).alias("is_budget"))),
         F.transform(fresh.cast(SPAN_TYPE), lambda s: F.struct(s.alias("s"), F.lit(True).alias("is_budget"))),
     )
-    rows = found.select("note_id", "client_id", F.explode(tagged).alias("t")).select(
+    rows = explode_items(found, tagged, "t", "note_id", "client_id").select(
         "note_id",
         "client_id",
         F.col("t.s.match").alias("matched_alias"),

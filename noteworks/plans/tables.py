@@ -34,6 +34,12 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give text work at least one partition per core when the input files have fewer row groups than that."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def lexicon(spark: SparkSession) -> DataFrame:
     return literal_table(
         spark, LEXICON, "concept_id string, label string, aliases array<string>, bucket string, ord int"
@@ -41,7 +47,7 @@ def lexicon(spark: SparkSession) -> DataFrame:
 
 
 def notes(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "documents").select(
+    return spread(read(spark, folder, "documents")).select(
         F.col("doc_id").alias("note_id"),
         F.expr("doc_id div 5").alias("client_id"),
         F.upper("lang").alias("language"),
