@@ -89,15 +89,11 @@ def keywords_rake(notes: DataFrame, top: int = 20, stopwords: list[str] | None =
 
 
 def _ngrams(words: Column, low: int, high: int) -> Column:
-    empty = F.array().cast("array<string>")
-    sizes = [
-        F.when(
-            F.size(words) >= n,
-            F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), " ")),
-        ).otherwise(empty)
-        for n in range(low, high + 1)
-    ]
-    return F.concat(*sizes)
+    def of_size(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[of_size(n) for n in range(low, high + 1)])
 
 
 def term_counts(notes: DataFrame, high: int = 3, pattern: str = config.TFIDF_TOKEN_PATTERN) -> DataFrame:
@@ -288,12 +284,16 @@ def mine_candidates(notes: DataFrame, min_notes: int = config.MIN_CANDIDATE_FREQ
     every = standard.unionByName(domain_scan(usable, terms))
     # Note by note first, so that a phrase found everywhere arrives at its group pre-aggregated.
     per_note = every.groupBy("candidate", "note_id").agg(
-        F.first("language").alias("language"), F.sum("score").alias("s"), F.count("*").alias("n")
+        F.first("language").alias("language"), F.count("*").alias("n"),
+        F.sum(F.round(F.col("score") * 1_000_000).cast("bigint")).alias("micros"),
     )
     totals = per_note.groupBy("candidate").agg(
         F.array_sort(F.collect_set("language")).alias("languages"), F.count("*").alias("freq_notes"),
-        F.round(F.sum("s") / F.sum("n"), 4).alias("avg_score"),
+        F.sum("micros").alias("micros"), F.sum("n").alias("n"),
     ).where(F.col("freq_notes") >= min_notes)
+    # Whole-number arithmetic, half up: the mean does not depend on the order of addition.
+    mean = F.expr("(2 * micros + 100 * n) div (200 * n)") / F.lit(10000.0)
+    totals = totals.withColumn("avg_score", mean).drop("micros", "n")
     order = Window.partitionBy("candidate").orderBy("note_id")
     first = per_note.withColumn("rn", F.row_number().over(order)).where("rn <= 5").groupBy("candidate").agg(
         F.array_sort(F.collect_list("note_id")).alias("example_note_ids")

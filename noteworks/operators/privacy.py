@@ -104,17 +104,17 @@ def redact_names(text: Column, cfg: RedactionConfig = RedactionConfig()) -> Colu
 
 def sensitive_findings(text: Column) -> Column:
     """Every match of every protected category whose surroundings are not harmless, in pattern order."""
-    groups = []
-    for category, regexes in patterns.SENSITIVE.items():
-        for regex in regexes:
-            found = F.transform(
-                find_spans(text, "(?iU)" + regex),
-                lambda s, c=category: F.struct(
-                    F.lit(c).alias("category"), s["match"].alias("match"), s["start"].alias("start"),
-                    s["end"].alias("end"),
-                ),
-            )
-            groups.append(found)
+
+    def tagged(category: str, regex: str) -> Column:
+        return F.transform(
+            find_spans(text, "(?iU)" + regex),
+            lambda s: F.struct(
+                F.lit(category).alias("category"), s["match"].alias("match"), s["start"].alias("start"),
+                s["end"].alias("end"),
+            ),
+        )
+
+    groups = [tagged(c, regex) for c, regexes in patterns.SENSITIVE.items() for regex in regexes]
     return F.filter(
         F.concat(*groups).cast(FINDING_TYPE),
         lambda s: ~context(text, s["start"], s["end"], 40).rlike(patterns.HARMLESS_CONTEXT),

@@ -1,4 +1,4 @@
 """Import every module that registers queries."""
 
-from noteworks.plans import keyphrase_queries, privacy_queries, text_queries  # noqa: F401
+from noteworks.plans import crm_queries, keyphrase_queries, privacy_queries, text_queries  # noqa: F401
 from noteworks.plans.registry import CHECKS, QUERIES  # noqa: F401

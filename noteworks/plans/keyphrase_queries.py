@@ -63,9 +63,9 @@ best AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY score DESC,
 
 
 @query("tfidf_terms", with_tables("notes", "," + _TFIDF + """
-SELECT note_id, term AS candidate, round(score, 4) AS score FROM best WHERE rn <= 30"""))
+SELECT note_id, term AS candidate, score FROM best WHERE rn <= 30"""))
 def tfidf_terms(spark, folder):
-    return K.keywords_tfidf(tables.notes(spark, folder)).withColumn("score", F.round("score", 4))
+    return K.keywords_tfidf(tables.notes(spark, folder))
 
 
 @query("tfidf_vocabulary", with_tables("notes", "," + _TFIDF + """
@@ -152,9 +152,11 @@ by_word AS (SELECT candidate, string_agg(coalesce(form, w), ' ' ORDER BY i) AS j
 mapped AS (SELECT candidate, coalesce(form, joined) AS std FROM by_word LEFT JOIN standard ON candidate = foreign_term),
 every AS (SELECT note_id, std AS candidate, score FROM raw_union JOIN mapped USING (candidate)
           UNION ALL SELECT note_id, form, 0.8 FROM marked JOIN terms ON contains(body, replace(pattern, '\\-', '-')))
-SELECT candidate, count(DISTINCT note_id) AS freq_notes, round(avg(score), 3) AS avg_score FROM every
-GROUP BY candidate HAVING count(DISTINCT note_id) >= 2"""))
+SELECT candidate, count(DISTINCT note_id) AS freq_notes,
+       CAST((2 * sum(CAST(round(score * 1000000) AS BIGINT)) + 100 * count(*)) // (200 * count(*)) AS BIGINT) / 10000.0
+           AS avg_score
+FROM every GROUP BY candidate HAVING count(DISTINCT note_id) >= 2"""))
 def mine_candidates(spark, folder):
     """Without the statistical phrases, so that the whole result can be checked."""
     mined = K.mine_candidates(tables.notes(spark, folder), with_yake=False, terms=SCAN_TERMS)
-    return mined.select("candidate", "freq_notes", F.round("avg_score", 3).alias("avg_score"))
+    return mined.select("candidate", "freq_notes", "avg_score")

@@ -55,11 +55,16 @@ def same(a, b) -> bool:
     return a == b and type(a) is type(b)
 
 
+SECONDS: dict[str, float] = {}
+
+
 def differences(spark, con, name: str, folder: str, limit: int = 3) -> list[str]:
     from noteworks.plans.catalog import CHECKS, QUERIES
 
+    begin = time.time()
     df = QUERIES[name](spark, folder)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    SECONDS[name] = time.time() - begin
     if name not in CHECKS:
         return [] if got else [f"{name}: no rows"]
     cur = con.execute(CHECKS[name])
@@ -92,7 +97,7 @@ def main() -> int:
             found = [f"{name}: {type(error).__name__} {str(error)[:900]}"]
         bad += bool(found)
         state = "BAD " if found else ("ok  " if name in CHECKS else "rows")
-        print(f"{state} {name} {time.time() - begin:.1f}s", flush=True)
+        print(f"{state} {name} spark {SECONDS.get(name, 0):.1f}s all {time.time() - begin:.1f}s", flush=True)
         for line in found:
             print("     ", line, flush=True)
     print(f"{len(names)} queries, {bad} bad")
