@@ -39,3 +39,15 @@ def priority_rank(priority: Column) -> Column:
 def rate(part: Column, whole: Column, digits: int = 1) -> Column:
     """Percentage, zero when there is nothing to divide by."""
     return F.when(whole > 0, F.round(part / whole * 100, digits)).otherwise(F.lit(0.0))
+
+
+def half_up(value: Column, digits: int = 1) -> Column:
+    """Round a non-negative number half up by floor, so that every engine gets the same last digit."""
+    scale = 10**digits
+    return F.floor(value * scale + 0.5) / scale
+
+
+def mean_tenths(value: Column) -> Column:
+    """Mean of one-decimal numbers to one decimal, in whole tenths: free of the order of addition."""
+    tenths = F.round(value * 10).cast("bigint")
+    return F.call_function("div", 2 * F.sum(tenths) + F.count(value), 2 * F.count(value)) / 10

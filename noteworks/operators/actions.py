@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noteworks import config
 from noteworks.functions import text as T
-from noteworks.functions.rules import priority_rank, score_tier
+from noteworks.functions.rules import half_up, priority_rank, score_tier
 from noteworks.operators.ranking import global_index
 
 PLAYBOOK_SCHEMA = (
@@ -204,7 +204,7 @@ def client_scores(clients: DataFrame, actions: DataFrame, targets: DataFrame, as
     value = F.col("confidence_pct") * 0.40 + F.col("priority_score") * 0.30 + F.col("richness_score") * 0.30
     final = scored.withColumn("_e", engagement).withColumn("_v", value).withColumn("_o", F.col("_e") * 0.6 + F.col("_v") * 0.4)
     return final.select(
-        "client_id", F.round("_e", 1).alias("engagement_score"), F.round("_v", 1).alias("value_score"),
-        F.round("_o", 1).alias("overall_score"), score_tier(F.col("_o")).alias("tier"),
+        "client_id", half_up(F.col("_e")).alias("engagement_score"), half_up(F.col("_v")).alias("value_score"),
+        half_up(F.col("_o")).alias("overall_score"), score_tier(F.col("_o")).alias("tier"),
         F.struct(*[F.round(k, 1).alias(k) for k in parts]).alias("score_details"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from noteworks import config
 from noteworks.functions import text as T
-from noteworks.functions.rules import priority_rank, rate
+from noteworks.functions.rules import mean_tenths, priority_rank, rate
 from noteworks.operators.ranking import top_per_group
 from noteworks.session import literal_table, one_row
 
@@ -191,7 +191,7 @@ def confidence_by_segment(clients: DataFrame) -> DataFrame:
 def report_segments(clients: DataFrame, scores: DataFrame, segments: DataFrame) -> DataFrame:
     """Average score and gold and silver counts of each segment."""
     scored = live(clients).join(scores, "client_id", "left").groupBy("segment_id").agg(
-        F.round(F.avg("overall_score"), 1).alias("avg_score"),
+        mean_tenths(F.col("overall_score")).alias("avg_score"),
         F.count_if(_is("tier", "gold")).alias("gold"), F.count_if(_is("tier", "silver")).alias("silver"),
     )
     return segments.select("segment_id", "name", "client_count").join(scored, "segment_id", "left").na.fill(0, ["gold", "silver"])
@@ -206,7 +206,7 @@ def report_actions(actions: DataFrame) -> DataFrame:
 
 
 def report_tiers(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("tier").agg(F.count("*").alias("clients"), F.round(F.avg("overall_score"), 1).alias("avg_score"))
+    return scores.groupBy("tier").agg(F.count("*").alias("clients"), mean_tenths(F.col("overall_score")).alias("avg_score"))
 
 
 def advisor_workload(advisors: DataFrame, assigned: DataFrame, scores: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def advisor_workload(advisors: DataFrame, assigned: DataFrame, scores: DataFrame
     tiers = ("platinum", "gold", "silver", "bronze")
     work = live(assigned).join(scores, "client_id", "left").groupBy("advisor_id").agg(
         F.count("*").alias("total_clients"), *[F.count_if(_is("tier", t)).alias(t) for t in tiers],
-        F.round(F.avg("overall_score"), 1).alias("avg_score"),
+        mean_tenths(F.col("overall_score")).alias("avg_score"),
     )
     staff = advisors.where(F.col("is_active") & _is("role", "sales", "manager", "admin"))
     return staff.join(work, "advisor_id", "left").na.fill(0, ["total_clients", *tiers]).drop("is_active")
@@ -227,7 +227,7 @@ def unassigned_count(assigned: DataFrame) -> DataFrame:
 def score_summary(scores: DataFrame) -> DataFrame:
     return scores.agg(
         F.count("*").alias("scored"), *[F.count_if(_is("tier", t)).alias(t) for t in ("platinum", "gold", "silver", "bronze")],
-        *[F.round(F.avg(f"{k}_score"), 1).alias(f"avg_{k}") for k in ("engagement", "value", "overall")],
+        *[mean_tenths(F.col(f"{k}_score")).alias(f"avg_{k}") for k in ("engagement", "value", "overall")],
     )
 
 

@@ -185,7 +185,8 @@ ev AS (SELECT *, concept_score * 0.20::DOUBLE + action_score * 0.20::DOUBLE + co
                  + recency_score * 0.20::DOUBLE AS e,
               confidence_pct * 0.40::DOUBLE + priority_score * 0.30::DOUBLE + richness_score * 0.30::DOUBLE AS v FROM comp),
 ov AS (SELECT *, e * 0.6::DOUBLE + v * 0.4::DOUBLE AS o FROM ev),
-client_scores AS (SELECT client_id, round(e, 1) AS engagement_score, round(v, 1) AS value_score, round(o, 1) AS overall_score,
+client_scores AS (SELECT client_id, floor(e * 10 + 0.5::DOUBLE) / 10 AS engagement_score, floor(v * 10 + 0.5::DOUBLE) / 10 AS value_score,
+                         floor(o * 10 + 0.5::DOUBLE) / 10 AS overall_score,
                          CASE WHEN o >= 80 THEN 'platinum' WHEN o >= 60 THEN 'gold' WHEN o >= 40 THEN 'silver' ELSE 'bronze' END AS tier
                   FROM ov)
 """
@@ -203,10 +204,10 @@ def client_scores(spark, folder):
 
 
 @query("score_summary", with_tables(_SCORE_TABLES, "," + SCORES + """
-SELECT count(*) AS scored, count_if(tier = 'platinum')::BIGINT AS platinum, count_if(tier = 'gold')::BIGINT AS gold,
-       count_if(tier = 'silver')::BIGINT AS silver, count_if(tier = 'bronze')::BIGINT AS bronze,
-       round(avg(engagement_score), 1) AS avg_engagement, round(avg(value_score), 1) AS avg_value,
-       round(avg(overall_score), 1) AS avg_overall FROM client_scores"""))
+SELECT count(*) AS scored, count(*) FILTER (WHERE tier = 'platinum') AS platinum, count(*) FILTER (WHERE tier = 'gold') AS gold,
+       count(*) FILTER (WHERE tier = 'silver') AS silver, count(*) FILTER (WHERE tier = 'bronze') AS bronze,
+       ((2 * sum(CAST(round(engagement_score * 10) AS BIGINT)) + count(engagement_score)) // (2 * count(engagement_score)))::BIGINT / 10 AS avg_engagement, ((2 * sum(CAST(round(value_score * 10) AS BIGINT)) + count(value_score)) // (2 * count(value_score)))::BIGINT / 10 AS avg_value,
+       ((2 * sum(CAST(round(overall_score * 10) AS BIGINT)) + count(overall_score)) // (2 * count(overall_score)))::BIGINT / 10 AS avg_overall FROM client_scores"""))
 def score_summary(spark, folder):
     return D.score_summary(scores(spark, folder))
 
@@ -220,8 +221,8 @@ def score_page(spark, folder):
 
 
 @query("report_segments", with_tables(_SCORE_TABLES + " segments", "," + SCORES + """
-SELECT g.segment_id, g.name, g.client_count, round(avg(overall_score), 1) AS avg_score,
-       count_if(tier = 'gold')::BIGINT AS gold, count_if(tier = 'silver')::BIGINT AS silver
+SELECT g.segment_id, g.name, g.client_count, ((2 * sum(CAST(round(overall_score * 10) AS BIGINT)) + count(overall_score)) // (2 * count(overall_score)))::BIGINT / 10 AS avg_score,
+       count(*) FILTER (WHERE tier = 'gold') AS gold, count(*) FILTER (WHERE tier = 'silver') AS silver
 FROM segments g LEFT JOIN (SELECT * FROM clients WHERE NOT is_deleted) c ON c.segment_id = g.segment_id
 LEFT JOIN client_scores s ON s.client_id = c.client_id GROUP BY ALL"""))
 def report_segments(spark, folder):
@@ -229,13 +230,13 @@ def report_segments(spark, folder):
 
 
 @query("report_tiers", with_tables(_SCORE_TABLES, "," + SCORES + """
-SELECT tier, count(*) AS clients, round(avg(overall_score), 1) AS avg_score FROM client_scores GROUP BY tier"""))
+SELECT tier, count(*) AS clients, ((2 * sum(CAST(round(overall_score * 10) AS BIGINT)) + count(overall_score)) // (2 * count(overall_score)))::BIGINT / 10 AS avg_score FROM client_scores GROUP BY tier"""))
 def report_tiers(spark, folder):
     return D.report_tiers(scores(spark, folder))
 
 
 @query("report_actions", with_tables("client_actions", """
-SELECT count(*) AS total, count_if(is_completed)::BIGINT AS completed, count_if(priority = 'high')::BIGINT AS high_priority,
+SELECT count(*) AS total, count(*) FILTER (WHERE is_completed) AS completed, count(*) FILTER (WHERE priority = 'high') AS high_priority,
        round(count_if(is_completed) / count(*) * 100, 1) AS completion_rate FROM client_actions"""))
 def report_actions(spark, folder):
     return D.report_actions(t.client_actions(spark, folder))
@@ -269,9 +270,9 @@ def assign_by_segment(spark, folder):
 
 @query("advisor_workload", with_tables(_SCORE_TABLES + " advisors", "," + SCORES + "," + ROUND_ROBIN + """
 SELECT v.advisor_id, v.advisor_name, v.role, count(a.client_id) AS total_clients,
-       count_if(tier = 'platinum')::BIGINT AS platinum, count_if(tier = 'gold')::BIGINT AS gold,
-       count_if(tier = 'silver')::BIGINT AS silver, count_if(tier = 'bronze')::BIGINT AS bronze,
-       round(avg(overall_score), 1) AS avg_score
+       count(*) FILTER (WHERE tier = 'platinum') AS platinum, count(*) FILTER (WHERE tier = 'gold') AS gold,
+       count(*) FILTER (WHERE tier = 'silver') AS silver, count(*) FILTER (WHERE tier = 'bronze') AS bronze,
+       ((2 * sum(CAST(round(overall_score * 10) AS BIGINT)) + count(overall_score)) // (2 * count(overall_score)))::BIGINT / 10 AS avg_score
 FROM advisors v LEFT JOIN assigned a ON a.advisor_id = v.advisor_id LEFT JOIN client_scores s ON s.client_id = a.client_id
 WHERE v.is_active AND role IN ('sales', 'manager', 'admin') GROUP BY ALL"""))
 def advisor_workload(spark, folder):
@@ -404,7 +405,7 @@ def target_updates(spark, folder):
 
 @query("notified_counts", with_tables("event_targets", """,
 s AS (SELECT event_id, client_id, arg_max(action_status, change_id) AS st FROM event_targets GROUP BY ALL)
-SELECT event_id, count_if(st IN ('notified', 'responded'))::BIGINT AS notified_count FROM s GROUP BY event_id"""))
+SELECT event_id, count(*) FILTER (WHERE st IN ('notified', 'responded')) AS notified_count FROM s GROUP BY event_id"""))
 def notified_counts(spark, folder):
     return A.notified_counts(A.apply_target_updates(t.event_targets(spark, folder)))
 
@@ -545,14 +546,14 @@ def _delta(spark, folder):
     """Incoming clients: every supplier becomes a client again, under the next free ids for some."""
     return t.read(spark, folder, "supplier").select(
         (F.col("s_suppkey") * 20).alias("client_id"), F.lit(4).alias("segment_id"), F.lit("Machinery").alias("profile_type"),
-        F.round((F.col("s_acctbal") + 1000) / 11000, 4).alias("confidence"),
+        (F.floor((F.col("s_acctbal") + 1000) / 11000 * 10000) / 10000).alias("confidence"),
         F.when(F.col("s_nationkey") < 12, "DE").alias("language"), F.lit(None).cast("date").alias("note_date"),
         F.col("s_name").alias("full_text"))
 
 
 _UPSERT = """,
 delta AS (SELECT s_suppkey * 20 AS client_id, 4 AS segment_id, 'Machinery' AS profile_type,
-                 round((s_acctbal + 1000) / 11000, 4) AS confidence, CASE WHEN s_nationkey < 12 THEN 'DE' END AS language,
+                 floor((s_acctbal + 1000) / 11000 * 10000) / 10000 AS confidence, CASE WHEN s_nationkey < 12 THEN 'DE' END AS language,
                  CAST(NULL AS DATE) AS note_date, s_name AS full_text FROM supplier),
 snapshot AS (SELECT coalesce(d.client_id, b.client_id) AS client_id,
        CASE WHEN d.client_id IS NULL THEN b.segment_id ELSE d.segment_id END AS segment_id,
@@ -628,8 +629,8 @@ def _leavers(spark, folder):
 gone AS (SELECT client_id FROM clients_core WHERE is_deleted),
 every AS (SELECT 'clients' AS "table", client_id FROM clients_core UNION ALL SELECT 'client_concepts', client_id FROM client_concepts
           UNION ALL SELECT 'client_actions', client_id FROM client_actions UNION ALL SELECT 'event_targets', client_id FROM event_targets)
-SELECT "table", count_if(client_id IN (SELECT client_id FROM gone))::BIGINT AS erased,
-       count_if(client_id NOT IN (SELECT client_id FROM gone))::BIGINT AS kept FROM every GROUP BY "table" """))
+SELECT "table", count(*) FILTER (WHERE client_id IN (SELECT client_id FROM gone)) AS erased,
+       count(*) FILTER (WHERE client_id NOT IN (SELECT client_id FROM gone)) AS kept FROM every GROUP BY "table" """))
 def gdpr_erase_counts(spark, folder):
     return S.erase_counts(_registry(spark, folder), _leavers(spark, folder))
 

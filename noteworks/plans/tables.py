@@ -89,7 +89,7 @@ def clients_core(spark: SparkSession, folder: str) -> DataFrame:
         F.col("c_custkey").alias("client_id"),
         segment_id(F.col("c_mktsegment")).alias("segment_id"),
         F.initcap("c_mktsegment").alias("profile_type"),
-        F.round((F.col("c_acctbal") + 1000) / 11000, 4).alias("confidence"),
+        (F.floor((F.col("c_acctbal") + 1000) / 11000 * 10000) / 10000).alias("confidence"),
         F.expr(
             "CASE WHEN c_nationkey < 8 THEN 'FR' WHEN c_nationkey < 16 THEN 'EN' WHEN c_nationkey < 22 THEN 'IT' END"
         ).alias("language"),
@@ -201,7 +201,7 @@ SQL = {
                CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2
                     WHEN 'HOUSEHOLD' THEN 3 WHEN 'MACHINERY' THEN 4 END AS segment_id,
                c_mktsegment[1] || lower(c_mktsegment[2:]) AS profile_type,
-               round((c_acctbal + 1000) / 11000, 4) AS confidence,
+               floor((c_acctbal + 1000) / 11000 * 10000) / 10000 AS confidence,
                CASE WHEN c_nationkey < 8 THEN 'FR' WHEN c_nationkey < 16 THEN 'EN'
                     WHEN c_nationkey < 22 THEN 'IT' END AS language,
                DATE '2024-01-01' + CAST(c_custkey % 365 AS INTEGER) AS note_date,
