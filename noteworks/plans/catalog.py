@@ -1,4 +1,12 @@
 """Import every module that registers queries."""
 
-from noteworks.plans import crm_queries, keyphrase_queries, privacy_queries, text_queries, vector_queries  # noqa: F401
+from noteworks.plans import (  # noqa: F401
+    crm_queries,
+    feature_queries,
+    graph_queries,
+    keyphrase_queries,
+    privacy_queries,
+    text_queries,
+    vector_queries,
+)  # noqa: F401
 from noteworks.plans.registry import CHECKS, QUERIES  # noqa: F401
