@@ -6,7 +6,8 @@ from noteworks.plans import (  # noqa: F401
     graph_queries,
     keyphrase_queries,
     privacy_queries,
+    source_queries,
     text_queries,
     vector_queries,
-)  # noqa: F401
+)
 from noteworks.plans.registry import CHECKS, QUERIES  # noqa: F401
