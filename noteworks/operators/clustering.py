@@ -142,7 +142,7 @@ def dbscan(points: DataFrame, eps: float = 0.3, block: int = BLOCK, n_pivots: in
     typed = points.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
     reps, keyed = distinct_points(typed, 1)
     reps, keyed = cut_lineage(reps), cut_lineage(keyed)
-    pivots = choose_pivots(reps, n_pivots)
+    pivots = choose_pivots(reps, n_pivots, block)
     cells = cut_lineage(assign_cells(reps.select("id", "vec"), pivots))
     edges = block_join(cells, cells.withColumn("reach", F.lit(float(eps))), pivots, _forest(eps), "a long, b long", block)
     labels = connected_components(reps, edges)

@@ -6,12 +6,15 @@ in place. Corpus-wide counts are aggregated before they travel.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteworks import config
 from noteworks.functions import text as T
 from noteworks.functions.spans import explode_items, let
+from noteworks.session import literal_table
 
 
 def by_note(notes: DataFrame) -> DataFrame:
@@ -96,29 +99,91 @@ def _ngrams(words: Column, low: int, high: int) -> Column:
     return F.concat(*[of_size(n) for n in range(low, high + 1)])
 
 
-def term_counts(notes: DataFrame, high: int = 3, pattern: str = config.TFIDF_TOKEN_PATTERN) -> DataFrame:
-    """``(note_id, term, tf)`` of all 1..``high``-grams."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))
-    grams = explode_items(by_note(notes), let(words, lambda w: _ngrams(w, 1, high)), "term", "note_id")
-    return grams.groupBy("note_id", "term").agg(F.count("*").alias("tf"))
+# Above this many frequent words the n-gram passes count everything instead of carrying the words as a literal.
+FREQUENT_WORD_LIMIT = 20_000
 
 
-def tfidf_vocabulary(counts: DataFrame, n_notes: int, features: int = 500, max_df: float = 0.9, min_df: int = 1) -> DataFrame:
-    """The ``features`` commonest terms of the corpus with their smoothed inverse document frequency."""
-    stats = counts.groupBy("term").agg(F.sum("tf").alias("corpus_tf"), F.count("*").alias("df"))
-    idf = F.log(F.lit(1.0 + n_notes) / (1 + F.col("df"))) + 1
-    return (
-        stats.where((F.col("df") <= max_df * n_notes) & (F.col("df") >= min_df))
-        .orderBy(F.desc("corpus_tf"), "term").limit(features).withColumn("idf", idf)
-    )
+def _term_stats(notes: DataFrame, terms: Column) -> DataFrame:
+    """Corpus and note frequency of the terms of each note, added up in the tasks before anything is shuffled."""
+
+    def flagged(found: Column) -> Column:
+        return F.concat(
+            F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
+            F.transform(F.array_distinct(found), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
+        )
+
+    rows = explode_items(notes, let(terms, flagged), "t")
+    return rows.groupBy(F.col("t.term").alias("term")).agg(F.sum("t.tf").alias("corpus_tf"), F.sum("t.df").alias("df"))
+
+
+def _words(pattern: str = config.TFIDF_TOKEN_PATTERN) -> Column:
+    return F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))
+
+
+def _frequent_ngrams(words: Column, frequent: list[str] | None, high: int) -> Column:
+    """2..``high``-grams all of whose words are frequent; ``None`` means every word is."""
+    if frequent is None:
+        return let(words, lambda w: _ngrams(w, 2, high))
+
+    def grams(w: Column, known: Column) -> Column:
+        def of_size(n: int, marks: Column) -> Column:
+            starts = F.filter(
+                F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.forall(F.slice(marks, i, n), lambda m: m)
+            )
+            cut = F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+            return F.when(F.size(w) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+        known_words = F.transform(w, lambda x: F.array_contains(known, x))
+        return let(known_words, lambda marks: F.concat(*[of_size(n, marks) for n in range(2, high + 1)]))
+
+    return let(words, lambda w: let(F.array_intersect(w, F.lit(frequent)), lambda known: grams(w, known)))
+
+
+def tfidf_vocabulary(notes: DataFrame, features: int = 500, max_df: float = 0.9, min_df: int = 1, high: int = 3,
+                     n_notes: int | None = None) -> tuple[list[dict], list[str] | None]:
+    """The ``features`` commonest 1..``high``-grams with their counts, and the words that n-grams are made of.
+
+    A phrase cannot be commoner than its rarest word. So single words are counted first, and longer phrases only
+    where all their words reach the count of the last single word on the list. The result is exact.
+    """
+    total = notes.count() if n_notes is None else n_notes
+    singles = _term_stats(notes, _words()).persist()
+    fits = (F.col("df") <= max_df * total) & (F.col("df") >= min_df)
+    order = [F.desc("corpus_tf"), F.col("term")]
+    best = singles.where(fits).orderBy(*order).limit(features).collect()
+    least = best[-1]["corpus_tf"] if len(best) == features else 1
+    rows = singles.where(F.col("corpus_tf") >= least).select("term").limit(FREQUENT_WORD_LIMIT + 1).collect()
+    frequent = sorted(r["term"] for r in rows) if len(rows) <= FREQUENT_WORD_LIMIT else None
+    merged = list(best)
+    if high > 1:
+        longer = _term_stats(notes, _frequent_ngrams(_words(), frequent, high))
+        merged += longer.where(fits & (F.col("corpus_tf") >= least)).orderBy(*order).limit(features).collect()
+    singles.unpersist()
+    merged.sort(key=lambda r: (-r["corpus_tf"], r["term"].encode()))
+    chosen = [
+        {"term": r["term"], "corpus_tf": r["corpus_tf"], "df": r["df"], "idf": math.log((1.0 + total) / (1 + r["df"])) + 1}
+        for r in merged[:features]
+    ]
+    return chosen, frequent
 
 
 def keywords_tfidf(notes: DataFrame, features: int = 500, max_df: float = 0.9, top: int = config.MAX_CANDIDATES_PER_NOTE,
                    high: int = 3) -> DataFrame:
-    """Best terms of each note by tf-idf, unit length per note over the chosen vocabulary."""
-    counts = term_counts(notes, high)
-    vocabulary = F.broadcast(tfidf_vocabulary(counts, notes.count(), features, max_df))
-    weighted = counts.join(vocabulary.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    """Best terms of each note by tf-idf, unit length per note over the chosen vocabulary.
+
+    The vocabulary is a literal of at most ``features`` terms, so only its hits leave a note.
+    """
+    vocabulary, frequent = tfidf_vocabulary(notes, features, max_df, high=high)
+    known = F.lit([v["term"] for v in vocabulary])
+    words = _words()
+    every = F.concat(words, _frequent_ngrams(words, frequent, high)) if high > 1 else words
+    hits = let(
+        every,
+        lambda t: let(F.array_intersect(t, known), lambda own: F.filter(t, lambda x: F.array_contains(own, x))),
+    )
+    counts = explode_items(notes, hits, "term", "note_id").groupBy("note_id", "term").agg(F.count("*").alias("tf"))
+    table = literal_table(notes.sparkSession, [(v["term"], v["idf"]) for v in vocabulary], "term string, idf double")
+    weighted = counts.join(table, "term").withColumn("w", F.col("tf") * F.col("idf"))
     note = Window.partitionBy("note_id")
     scaled = weighted.withColumn("score", F.round(F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(note)), 6))
     order = note.orderBy(F.desc("score"), "term")

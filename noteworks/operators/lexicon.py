@@ -36,7 +36,7 @@ def cluster_terms(terms: DataFrame, distance: float = config.CONCEPT_DISTANCE, b
         # ``vec`` is the mean of the cluster. Two means with a product above 1 - distance are at most
         # sqrt(2 * distance) apart, because no mean is longer than one.
         points = state.select("id", "vec")
-        pivots = choose_pivots(points, n_pivots)
+        pivots = choose_pivots(points, n_pivots, block)
         cells = cut_lineage(assign_cells(points, pivots))
         reach = cells.withColumn("reach", F.lit(float(np.sqrt(2 * distance))))
         pairs = block_join(cells, reach, pivots, _best(1, lambda a, b: a @ b.T), "id long, other long, score double", block)

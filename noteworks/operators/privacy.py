@@ -105,20 +105,27 @@ def redact_names(text: Column, cfg: RedactionConfig = RedactionConfig()) -> Colu
 def sensitive_findings(text: Column) -> Column:
     """Every match of every protected category whose surroundings are not harmless, in pattern order."""
 
-    def tagged(category: str, regex: str) -> Column:
+    rules = F.array(
+        *[F.struct(F.lit(c).alias("category"), F.lit("(?iU)" + x).alias("regex")) for c, xs in patterns.SENSITIVE.items() for x in xs]
+    )
+    present = F.filter(rules, lambda r: F.rlike(text, r["regex"]))
+
+    def tagged(rule: Column) -> Column:
         return F.transform(
-            find_spans(text, "(?iU)" + regex),
+            find_spans(text, rule["regex"]),
             lambda s: F.struct(
-                F.lit(category).alias("category"), s["match"].alias("match"), s["start"].alias("start"),
+                rule["category"].alias("category"), s["match"].alias("match"), s["start"].alias("start"),
                 s["end"].alias("end"),
             ),
         )
 
-    groups = [tagged(c, regex) for c, regexes in patterns.SENSITIVE.items() for regex in regexes]
-    return F.filter(
-        F.concat(*groups).cast(FINDING_TYPE),
+    kept = F.filter(
+        F.flatten(F.transform(present, tagged)).cast(FINDING_TYPE),
         lambda s: ~context(text, s["start"], s["end"], 40).rlike(patterns.HARMLESS_CONTEXT),
     )
+    # One scan for any pattern at all: most texts stop here instead of being scanned by every pattern.
+    every = "|".join(regex.removeprefix(r"\b") for regexes in patterns.SENSITIVE.values() for regex in regexes)
+    return F.when(text.rlike(rf"(?iU)\b(?:{every})"), kept).otherwise(F.array().cast(FINDING_TYPE))
 
 
 def resolve_findings(findings: Column) -> Column:

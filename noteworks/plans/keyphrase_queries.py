@@ -11,6 +11,7 @@ from noteworks.operators import keyphrases as K
 from noteworks.plans import tables
 from noteworks.plans.registry import query
 from noteworks.plans.tables import with_tables
+from noteworks.session import literal_table
 
 _CLASS = re.search(r"\[(.*)\]", config.TFIDF_TOKEN_PATTERN).group(1)
 
@@ -69,10 +70,10 @@ def tfidf_terms(spark, folder):
 
 
 @query("tfidf_vocabulary", with_tables("notes", "," + _TFIDF + """
-SELECT term, CAST(corpus_tf AS BIGINT) AS corpus_tf, df FROM vocab"""))
+SELECT term, CAST(corpus_tf AS BIGINT) AS corpus_tf, CAST(df AS BIGINT) AS df FROM vocab"""))
 def tfidf_vocabulary(spark, folder):
-    notes = tables.notes(spark, folder)
-    return K.tfidf_vocabulary(K.term_counts(notes), notes.count()).select("term", "corpus_tf", "df")
+    rows, _ = K.tfidf_vocabulary(tables.notes(spark, folder))
+    return literal_table(spark, [(r["term"], r["corpus_tf"], r["df"]) for r in rows], "term string, corpus_tf bigint, df bigint")
 
 
 def _mark(term: str) -> str:
