@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteworks import config
 from noteworks.functions import text as T
+
 from noteworks.functions.rules import half_up, priority_rank, score_tier
+from noteworks.functions.spans import let
 from noteworks.operators.ranking import global_index
+from noteworks.operators.state import upsert
 
 PLAYBOOK_SCHEMA = (
     "action_id string, title string, channel string, priority string, kpi string, buckets array<string>, "
     "keywords array<string>, min_confidence double, description string"
 )
-PLAYBOOK_LIMIT = 1000
 
 
 def _playbook_literal(playbook: list[tuple]) -> Column:
@@ -47,42 +49,62 @@ def recommend_actions(profiles: DataFrame, concepts: DataFrame, playbook: list[t
     Score: 2 per shared bucket, 1 per keyword contained, 0.5 per alias occurrence contained in the text.
     """
     rules = list(config.DEFAULT_PLAYBOOK if playbook is None else playbook)
-    if len(rules) > PLAYBOOK_LIMIT:
-        raise ValueError(f"a playbook holds at most {PLAYBOOK_LIMIT} actions")
     known = profiles.join(client_evidence(concepts), "client_id", "left")
-    text = F.coalesce("text", F.lit(""))
-    buckets = F.coalesce("client_buckets", F.array().cast("array<string>"))
-    aliases = F.coalesce("aliases", F.array().cast("array<struct<alias:string,n:bigint>>"))
-    haystack = F.lower(F.concat_ws(" ", F.coalesce("profile_type", F.lit("")), F.coalesce("top_concepts", F.lit("")), text))
     prepared = known.select(
-        "client_id", "confidence", "top_concepts", text.alias("text"), buckets.alias("client_buckets"),
-        haystack.alias("haystack"), _occurrences_weight(text, aliases).alias("alias_score"),
-    ).select("*", F.explode(_playbook_literal(rules)).alias("a"))
-    shared = F.array_sort(F.array_intersect("client_buckets", "a.buckets"))
-    words = F.filter("a.keywords", lambda k: F.contains(F.col("haystack"), F.lower(k)))
-    scored = prepared.where(F.coalesce("confidence", F.lit(0.0)) >= F.col("a.min_confidence")).select(
-        "*", shared.alias("shared"), words.alias("words"),
-    ).withColumn("score", 2.0 * F.size("shared") + F.size("words") + F.col("alias_score")).where("score > 0")
-    triggers = F.slice(
-        F.concat(F.transform("shared", lambda b: F.concat(F.lit("bucket:"), b)),
-                 F.transform("words", lambda k: F.concat(F.lit("keyword:"), k))), 1, 5)
-    order = Window.partitionBy("client_id").orderBy("priority_rank", F.desc("score"), "action_id")
-    return scored.select(
-        "client_id", "a.action_id", "a.title", "a.channel", "a.priority", "a.kpi",
-        F.array_join(triggers, " | ").alias("triggers"), rationale().alias("rationale"), "score",
-        priority_rank(F.col("a.priority")).alias("priority_rank"),
-    ).withColumn("rank", F.row_number().over(order)).drop("priority_rank")
-
-
-def rationale() -> Column:
+        "client_id", "confidence", "top_concepts", "profile_type", F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce("client_buckets", F.array().cast("array<string>")).alias("client_buckets"),
+        F.coalesce("aliases", F.array().cast("array<struct<alias:string,n:bigint>>")).alias("aliases"),
+    )
+    evidence = F.struct(
+        F.lower(F.concat_ws(" ", F.coalesce("profile_type", F.lit("")), F.coalesce("top_concepts", F.lit("")), "text")).alias("haystack"),
+        _occurrences_weight(F.col("text"), F.col("aliases")).alias("alias_score"), F.lower("text").alias("low"),
+    )
+
+    def rank(e: Column) -> Column:
+        def match(a: Column) -> Column:
+            shared = F.array_sort(F.array_intersect("client_buckets", a["buckets"]))
+            words = F.filter(a["keywords"], lambda k: F.contains(e["haystack"], F.lower(k)))
+            return let(
+                F.struct(shared.alias("shared"), words.alias("words")),
+                lambda m: F.struct(
+                    priority_rank(a["priority"]).alias("priority_rank"),
+                    (-(2.0 * F.size(m["shared"]) + F.size(m["words"]) + e["alias_score"])).alias("minus"),
+                    a["action_id"].alias("action_id"), a.alias("action"), m["shared"].alias("shared"), m["words"].alias("words"),
+                ),
+            )
+
+        allowed = F.filter(_playbook_literal(rules), lambda a: F.coalesce("confidence", F.lit(0.0)) >= a["min_confidence"])
+        matched = F.array_sort(F.filter(F.transform(allowed, match), lambda m: m["minus"] < 0))
+
+        def describe(m: Column) -> Column:
+            triggers = F.slice(
+                F.concat(F.transform(m["shared"], lambda b: F.concat(F.lit("bucket:"), b)),
+                         F.transform(m["words"], lambda k: F.concat(F.lit("keyword:"), k))), 1, 5)
+            a = m["action"]
+            return F.struct(
+                a["action_id"].alias("action_id"), a["title"].alias("title"), a["channel"].alias("channel"),
+                a["priority"].alias("priority"), a["kpi"].alias("kpi"), F.array_join(triggers, " | ").alias("triggers"),
+                rationale(a, e["low"]).alias("rationale"), m["minus"].alias("minus"),
+            )
+
+        return F.transform(matched, describe)
+
+    # Ranked inside the row by priority, score, id: no action ever has to meet its siblings again in a shuffle.
+    listed = prepared.select("client_id", F.posexplode_outer(let(evidence, rank)).alias("pos", "r"))
+    return listed.where("r IS NOT NULL").select(
+        "client_id", "r.action_id", "r.title", "r.channel", "r.priority", "r.kpi", "r.triggers", "r.rationale",
+        (-F.col("r.minus")).alias("score"), (F.col("pos") + 1).alias("rank"),
+    )
+
+
+def rationale(action: Column, low: Column) -> Column:
     """Description, evidence words, profile concepts and a snippet around the first evidence word."""
-    low = F.lower("text")
-    evidence = F.filter("a.keywords", lambda k: F.contains(low, F.lower(k)))
+    evidence = F.filter(action["keywords"], lambda k: F.contains(low, F.lower(k)))
     head = F.slice(T.split_terms(F.col("top_concepts")), 1, 3)
     excerpt = T.snippet(F.col("text"), F.get(evidence, F.lit(0)))
     return F.concat_ws(
         " ",
-        F.coalesce("a.description", "a.title"),
+        F.coalesce(action["description"], action["title"]),
         F.when(F.size(evidence) > 0, F.concat(
             F.lit("Détecté chez "), F.col("client_id").cast("string"), F.lit(": "), F.array_join(F.slice(evidence, 1, 4), ", "), F.lit("."))),
         F.when(F.size(head) > 0, F.concat(F.lit("Profil : "), F.array_join(head, ", "), F.lit("."))),
@@ -110,6 +132,29 @@ def match_event_clients(calendar: DataFrame, clients: DataFrame) -> DataFrame:
     )
 
 
+def update_events(calendar: DataFrame, changes: DataFrame, clients: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Create or update events; those whose concepts changed get their targets matched anew.
+
+    Returns the next calendar and the next ``(event_id, client_id, match_reason, match_score)`` targets.
+    """
+    fields = tuple(c for c in calendar.columns if c != "event_id")
+    updated = upsert(calendar, changes, ["event_id"], keep_if_null=fields)
+    before = calendar.select("event_id", F.array_sort("concepts").alias("_before"))
+    moved = updated.join(before, "event_id", "left").where(
+        ~F.array_sort("concepts").eqNullSafe(F.col("_before"))
+    ).select(*calendar.columns)
+    fresh = match_event_clients(moved, clients).select("event_id", "client_id", "match_reason", "match_score")
+    kept = targets.join(moved.select("event_id"), "event_id", "left_anti").select(*fresh.columns)
+    return updated, kept.unionByName(fresh)
+
+
+def complete_actions(actions: DataFrame, done: DataFrame) -> DataFrame:
+    """Mark actions as completed from a log ``(client_id, action_id, completed_at)``; the first completion counts."""
+    first = done.groupBy("client_id", "action_id").agg(F.min("completed_at").alias("_at"))
+    joined = actions.join(first, ["client_id", "action_id"], "left")
+    return joined.withColumn("is_completed", F.col("is_completed") | F.col("_at").isNotNull()).withColumnRenamed("_at", "completed_at")
+
+
 def activate_playbook(templates: DataFrame, today: str, days: int = 14) -> DataFrame:
     """Events from playbook templates, two weeks ahead unless the template has a date."""
     return templates.select(
@@ -136,29 +181,33 @@ def notified_counts(targets: DataFrame) -> DataFrame:
     return targets.groupBy("event_id").agg(F.count_if(F.col("action_status").isin("notified", "responded")).alias("notified_count"))
 
 
-def available_advisors(advisors: DataFrame) -> list[int]:
-    """Ids of the advisors who take clients, in order. A staff list is short; its size is checked."""
-    rows = advisors.where(F.col("is_active") & F.col("role").isin("sales", "manager")).select("advisor_id").orderBy("advisor_id").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("too many advisors for a literal list")
-    return [r["advisor_id"] for r in rows]
+STAFF_LITERAL_LIMIT = 10_000
+
+
+def _give(placed: DataFrame, advisors: DataFrame) -> DataFrame:
+    """Advisor of each row from its position ``i``, modulo the number of advisors who take clients."""
+    staff = advisors.where(F.col("is_active") & F.col("role").isin("sales", "manager")).select("advisor_id")
+    rows = staff.orderBy("advisor_id").limit(STAFF_LITERAL_LIMIT + 1).collect()
+    if not rows:
+        return placed.withColumn("advisor_id", F.lit(None).cast("bigint"))
+    if len(rows) <= STAFF_LITERAL_LIMIT:
+        ids = F.lit([r["advisor_id"] for r in rows])
+        return placed.withColumn("advisor_id", F.get(ids, (F.col("i") % F.size(ids)).cast("int")))
+    indexed = global_index(staff, ["advisor_id"], "k")
+    return placed.withColumn("k", F.col("i") % staff.count()).join(indexed, "k").drop("k")
 
 
 def assign_round_robin(unassigned: DataFrame, advisors: DataFrame) -> DataFrame:
     """The i-th client, by id, goes to advisor i modulo n."""
-    ids = F.lit(available_advisors(advisors))
     placed = global_index(unassigned.select("client_id"), ["client_id"], "i")
-    return placed.select("client_id", F.get(ids, (F.col("i") % F.size(ids)).cast("int")).alias("advisor_id"))
+    return _give(placed, advisors).select("client_id", "advisor_id")
 
 
 def assign_by_segment(unassigned: DataFrame, advisors: DataFrame) -> DataFrame:
     """All clients of a segment go to the same advisor; no segment counts as segment 0."""
-    ids = F.lit(available_advisors(advisors))
     keyed = unassigned.select("client_id", F.coalesce("segment_id", F.lit(0)).alias("segment_id"))
-    codes = global_index(keyed.select("segment_id").distinct(), ["segment_id"], "i")
-    return keyed.join(codes, "segment_id").select(
-        "client_id", F.get(ids, (F.col("i") % F.size(ids)).cast("int")).alias("advisor_id")
-    )
+    codes = _give(global_index(keyed.select("segment_id").distinct(), ["segment_id"], "i"), advisors)
+    return keyed.join(codes, "segment_id").select("client_id", "advisor_id")
 
 
 def reassign(assigned: DataFrame, changes: DataFrame) -> DataFrame:

@@ -266,12 +266,22 @@ def coverage_by_method(concepts: DataFrame) -> DataFrame:
     )
 
 
+def _parts(text: Column) -> Column:
+    """All distinct substrings of a short text."""
+    size = F.length(text)
+
+    def from_(i: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(text, i, n))
+
+    cut = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), from_)))
+    return F.when(size > 0, cut).otherwise(F.array().cast("array<string>"))
+
+
 def merge_extractions(rules: DataFrame, external: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Rule matches keep confidence 1; external ``(note_id, label, confidence)`` rows add what is new.
 
     The concept of a new label is an exact alias, else the first lexicon term (in lexicon order) that
-    contains it or that it contains, else a made-up id. Distinct labels, not rows, are compared with the
-    lexicon, whose size is checked because it travels as a literal.
+    contains it or that it contains, else a made-up id. Distinct labels, not rows, meet the lexicon.
     """
     terms = F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))
     vocabulary = lexicon.select(
@@ -280,24 +290,20 @@ def merge_extractions(rules: DataFrame, external: DataFrame, lexicon: DataFrame)
     last = vocabulary.groupBy("term").agg(
         F.max_by("concept_id", "at").alias("concept_id"), F.min("at").alias("at")
     )
-    terms_in_order = last.select("at.ord", "at.pos", "term", "concept_id").limit(INLINE_ALIAS_LIMIT + 1).collect()
-    if len(terms_in_order) > INLINE_ALIAS_LIMIT:
-        raise ValueError("partial matching needs a lexicon of at most %d terms" % INLINE_ALIAS_LIMIT)
-    terms_in_order.sort(key=lambda r: (r["ord"], r["pos"]))
     known = rules.select("note_id", F.lower("matched_alias").alias("label")).distinct()
     fresh = external.dropDuplicates(["note_id", "label"]).join(known, ["note_id", "label"], "left_anti")
-    names, ids = F.lit([r["term"] for r in terms_in_order]), F.lit([r["concept_id"] for r in terms_in_order])
-    label = F.col("label")
-    partial = F.filter(
-        F.sequence(F.lit(1), F.size(names)),
-        lambda i: F.contains(F.element_at(names, i), label) | F.contains(label, F.element_at(names, i)),
-    )
-    exact_at = F.array_position(names, label)
-    exact = F.when(exact_at > 0, F.element_at(ids, exact_at.cast("int")))
-    near = F.when(F.size(partial) > 0, F.element_at(ids, F.get(partial, F.lit(0))))
-    labels = fresh.select("label").distinct()
     made_up = F.concat(F.lit("LLM_"), F.left(F.replace(F.col("label"), F.lit(" "), F.lit("_")), F.lit(30)))
-    resolved = labels.select("label", F.coalesce(exact, near, made_up).alias("concept_id"))
+    labels = fresh.select("label").distinct()
+    # Containment as two equi-joins: every part of a label that is a term, every part of a term that is a label.
+    inside = labels.select("label", F.explode(_parts(F.col("label"))).alias("term")).join(last, "term")
+    around = last.select("concept_id", "at", F.explode(_parts(F.col("term"))).alias("label")).join(labels, "label")
+    exact = labels.join(last, F.col("label") == F.col("term")).select("label", F.col("concept_id").alias("_exact"))
+    near = inside.select("label", "concept_id", "at").unionByName(around.select("label", "concept_id", "at")).groupBy("label").agg(
+        F.min_by("concept_id", "at").alias("_near")
+    )
+    resolved = labels.join(exact, "label", "left").join(near, "label", "left").select(
+        "label", F.coalesce("_exact", "_near", made_up).alias("concept_id")
+    )
     added = fresh.join(resolved, "label").select(
         "note_id",
         "concept_id",

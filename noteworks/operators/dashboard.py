@@ -361,3 +361,11 @@ def predictions_by_segment(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("value_segment").agg(
         F.count("*").alias("clients"), F.round(F.avg("predicted_clv"), 2).alias("avg_clv")
     )
+
+
+def prediction_projection(predictions: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The wanted columns that exist; not-a-number becomes null."""
+    types = dict(predictions.dtypes)
+    return predictions.select(*[
+        F.when(~F.isnan(c), F.col(c)).alias(c) if types[c] in ("double", "float") else F.col(c) for c in columns if c in types
+    ])

@@ -727,3 +727,59 @@ def dashboard_bundle(spark, folder):
         "segments": D.segment_distribution(t.clients(spark, folder)), "concepts": D.top_concepts(concepts, 12),
         "heatmap": D.heatmap(concepts, core), "metrics": D.metrics(core, concepts), "radar": D.radar(concepts, core, RADAR),
         "details": D.segment_details(concepts, core)})
+
+
+_FRESH = """,
+changed AS (SELECT CAST(n_nationkey AS BIGINT) AS event_id, 'changed' AS status, (SELECT list(DISTINCT p_name) FROM part WHERE contains(p_name, 'red')) AS concepts
+            FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 100 + r_regionkey, 'new', ['hot rod', 'old ring'] FROM region),
+next AS (SELECT coalesce(h.event_id, c.event_id) AS event_id, c.title, coalesce(h.status, c.status) AS status, coalesce(h.concepts, c.concepts) AS concepts
+         FROM calendar c FULL JOIN changed h ON h.event_id = c.event_id)
+"""
+
+
+def _changes(spark, folder):
+    """The events of one region turn to red things; every region gets a new event."""
+    red = [r["p_name"] for r in t.read(spark, folder, "part").where(F.contains("p_name", F.lit("red"))).select("p_name").distinct().orderBy("p_name").collect()]
+    old = t.read(spark, folder, "nation").where("n_regionkey = 2").select(
+        F.col("n_nationkey").cast("bigint").alias("event_id"), F.lit("changed").alias("status"), F.lit(red).alias("concepts"))
+    new = t.read(spark, folder, "region").select(
+        (F.col("r_regionkey") + 100).cast("bigint").alias("event_id"), F.lit("new").alias("status"), F.lit(["hot rod", "old ring"]).alias("concepts"))
+    return old.unionByName(new)
+
+
+def _updated(spark, folder):
+    calendar, clients = t.calendar(spark, folder), t.clients(spark, folder)
+    targets = A.match_event_clients(calendar, clients)
+    return A.update_events(calendar, _changes(spark, folder), clients, targets)
+
+
+@query("update_events", with_tables("calendar", _FRESH + "SELECT event_id, title, status, CAST(len(concepts) AS BIGINT) AS n FROM next"))
+def update_events(spark, folder):
+    return _updated(spark, folder)[0].select("event_id", "title", "status", F.size("concepts").cast("bigint").alias("n"))
+
+
+@query("rematch_events", with_tables("clients calendar", _FRESH + """,
+want AS (SELECT DISTINCT event_id, unnest(concepts) AS concept FROM next),
+have AS (SELECT DISTINCT client_id, unnest(string_split(top_concepts, '|')) AS concept FROM clients WHERE NOT is_deleted),
+hits AS (SELECT event_id, client_id, count(*) AS overlap FROM have JOIN want USING (concept) GROUP BY event_id, client_id)
+SELECT event_id, client_id, round(overlap / max(overlap) OVER (PARTITION BY event_id), 3) AS match_score FROM hits"""))
+def rematch_events(spark, folder):
+    return _updated(spark, folder)[1].select("event_id", "client_id", "match_score")
+
+
+@query("complete_actions", with_tables("client_actions", """,
+done AS (SELECT l_orderkey AS action_id, min(CAST(l_shipdate AS DATE)) AS closed_on FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT client_id, a.action_id, is_completed OR d.action_id IS NOT NULL AS is_completed, CAST(closed_on AS VARCHAR) AS completed_at
+FROM client_actions a LEFT JOIN done d ON d.action_id = a.action_id"""))
+def complete_actions(spark, folder):
+    """A returned line closes the action of its order."""
+    acts = t.client_actions(spark, folder).select("client_id", "action_id", "is_completed")
+    lines = t.read(spark, folder, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("action_id"), F.to_date("l_shipdate").alias("completed_at"))
+    log = lines.join(acts.select("client_id", "action_id"), "action_id")
+    return A.complete_actions(acts, log).withColumn("completed_at", F.col("completed_at").cast("string"))
+
+
+@query("prediction_projection", "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN sqrt(c_acctbal) END AS root FROM customer")
+def prediction_projection(spark, folder):
+    rows = t.read(spark, folder, "customer").withColumn("root", F.sqrt("c_acctbal"))
+    return D.prediction_projection(rows, ("c_custkey", "root", "missing"))
