@@ -171,19 +171,17 @@ def keywords_tfidf(notes: DataFrame, features: int = 500, max_df: float = 0.9, t
                    high: int = 3) -> DataFrame:
     """Best terms of each note by tf-idf, unit length per note over the chosen vocabulary.
 
-    The vocabulary is a literal of at most ``features`` terms, so only its hits leave a note.
+    The vocabulary is a table of at most ``features`` terms.
     """
     vocabulary, frequent = tfidf_vocabulary(notes, features, max_df, high=high)
-    known = F.lit([v["term"] for v in vocabulary])
     words = _words()
-    every = F.concat(words, _frequent_ngrams(words, frequent, high)) if high > 1 else words
-    hits = let(
-        every,
-        lambda t: let(F.array_intersect(t, known), lambda own: F.filter(t, lambda x: F.array_contains(own, x))),
-    )
-    counts = explode_items(notes, hits, "term", "note_id").groupBy("note_id", "term").agg(F.count("*").alias("tf"))
+    every = let(words, lambda w: F.concat(w, _frequent_ngrams(w, frequent, high))) if high > 1 else words
     table = literal_table(notes.sparkSession, [(v["term"], v["idf"]) for v in vocabulary], "term string, idf double")
-    weighted = counts.join(table, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    # The small table is hashed in every task, so only the terms of the vocabulary reach the shuffle.
+    counts = explode_items(notes, every, "term", "note_id").join(table, "term").groupBy("note_id", "term").agg(
+        F.count("*").alias("tf"), F.first("idf").alias("idf")
+    )
+    weighted = counts.withColumn("w", F.col("tf") * F.col("idf"))
     note = Window.partitionBy("note_id")
     scaled = weighted.withColumn("score", F.round(F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(note)), 6))
     order = note.orderBy(F.desc("score"), "term")
