@@ -31,15 +31,15 @@ def _ref(prefix: str, column: str) -> Column:
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
-def concept_layer(lexicon: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Buckets, concepts (brands among preferences are marked) and BELONGS_TO."""
+def concept_layer(lexicon: DataFrame, brand_terms: tuple[str, ...] = config.BRAND_TERMS) -> tuple[DataFrame, DataFrame]:
+    """Buckets, concepts (preferences that name one of ``brand_terms`` are brands) and BELONGS_TO."""
     known = lexicon.withColumn("bucket", F.when(F.col("bucket").isin(*config.BUCKETS), F.col("bucket")).otherwise("other"))
     counts = known.groupBy("bucket").agg(F.count("*").alias("n"))
     every = literal_table(lexicon.sparkSession, [(b,) for b in config.BUCKETS], "bucket string")
     buckets = _nodes(every.join(counts, "bucket", "left"), "bucket:", "bucket", F.initcap(F.replace("bucket", F.lit("_"), F.lit(" "))), F.lit("bucket"),
                      {"concept_count": F.coalesce("n", F.lit(0))})
     one = first_per_group(known.select("concept_id", "label", "bucket", "freq_notes"), ["concept_id"], "label")
-    brand = (F.col("bucket") == "preferences") & F.lower("label").rlike("|".join(config.BRAND_TERMS))
+    brand = (F.col("bucket") == "preferences") & F.exists(F.lit(list(brand_terms)), lambda b: F.contains(F.lower("label"), b))
     concepts = _nodes(one, "concept:", "concept_id", F.col("label"), F.when(brand, "brand").otherwise("concept"),
                       {"bucket": F.col("bucket"), "freq_notes": F.col("freq_notes")})
     edges = _edges(one, _ref("concept:", "concept_id"), _ref("bucket:", "bucket"), "BELONGS_TO", "in category")

@@ -134,3 +134,52 @@ def test_regression_vote_and_head(spark, folder):
     named = data.withColumn("category", F.when(F.col("purchased") == 1, "HEALTH_DATA").otherwise("SAFE"))
     head = M.train_sensitive_head(named.limit(60), layers=(4,))
     assert head.transform(named).select("prediction").distinct().count() >= 1
+
+
+def test_model_search(spark, folder):
+    data = fq.training_rows(spark, folder)
+    name, model, metrics = M.model_search(data, "purchased", draws=1, folds=2)
+    assert name in metrics and set(metrics) == {"forest", "boosted", "logistic"}
+    assert metrics[name]["auc"] == max(m["auc"] for m in metrics.values())
+    assert model.transform(data.limit(5)).count() == 5
+
+
+def test_append_predictions(spark, folder):
+    from pyspark.ml.feature import VectorAssembler
+
+    notes = t.notes(spark, folder)
+    table = X.text_features(notes, "text", "note_id")
+    made = VectorAssembler(inputCols=[c for c in table.columns if c != "client_id"], outputCol="features").transform(table)
+    labels = made.select("client_id", "features", (F.col("num_concepts") > 100).cast("int").alias("purchased"),
+                         (F.col("num_concepts") < 50).cast("int").alias("churned"), F.col("num_concepts").cast("double").alias("lifetime_value"))
+    models = [train(labels, trees=3, depth=3)[0] for train in (M.train_purchase, M.train_churn, M.train_clv)]
+    got = M.append_predictions(notes, "text", "note_id", *models)
+    assert got.count() == notes.count() and {"text", "purchase_prob", "value_segment"} <= set(got.columns)
+    assert M.value_quartiles(got.withColumnRenamed("client_id", "owner")).where("quartile IS NULL").count() == 0
+
+
+def test_graph_brands(spark):
+    from noteworks.operators import graph as G
+
+    lexicon = spark.createDataFrame([("C1", "travel bag", "preferences", 3), ("C2", "golf", "lifestyle", 1), ("C3", "house mark", "preferences", 1)],
+                                    "concept_id string, label string, bucket string, freq_notes long")
+    nodes, edges = G.concept_layer(lexicon, ("bag", "mark"))
+    kinds = {r["id"]: r["type"] for r in nodes.collect()}
+    assert kinds["concept:C1"] == "brand" and kinds["concept:C2"] == "concept" and kinds["concept:C3"] == "brand"
+    assert edges.count() == 3 and sum(k == "bucket" for k in kinds.values()) == 7
+
+
+def test_only_bounded_rows_cross_the_shuffle(spark, folder):
+    """Top-k per group is cut in every partition before the shuffle."""
+    orders = t.read(spark, folder, "orders")
+    plan = R.top_per_group(orders, ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
+def test_matching_shuffles_no_text(spark, folder):
+    from noteworks.operators import concepts as C
+
+    docs = t.read(spark, folder, "documents").select(F.col("doc_id").alias("note_id"), F.col("doc_id").alias("client_id"), "text")
+    plan = C.match_aliases(docs, C.alias_map(t.lexicon(spark)))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(note_id" not in plan and "Exchange hashpartitioning(text" not in plan
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
