@@ -191,7 +191,7 @@ def _give(placed: DataFrame, advisors: DataFrame) -> DataFrame:
     if not rows:
         return placed.withColumn("advisor_id", F.lit(None).cast("bigint"))
     if len(rows) <= STAFF_LITERAL_LIMIT:
-        ids = F.lit([r["advisor_id"] for r in rows])
+        ids = F.lit([r["advisor_id"] for r in rows]).cast("array<bigint>")
         return placed.withColumn("advisor_id", F.get(ids, (F.col("i") % F.size(ids)).cast("int")))
     indexed = global_index(staff, ["advisor_id"], "k")
     return placed.withColumn("k", F.col("i") % staff.count()).join(indexed, "k").drop("k")
