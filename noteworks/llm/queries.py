@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteworks.llm import common, hilbert, mixing, quality, secrets, simhash
+from noteworks.llm import common, hilbert, langid, mixing, pieces, quality, secrets, simhash
 from noteworks.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
 
@@ -14,12 +14,37 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(common.documents(spark, folder))
 
 
+def vocabulary_path() -> str:
+    """The public SentencePiece file, installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op2_pieces")
+def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every whole text, and whether decoding them gives the text back."""
+    docs = common.documents(spark, folder).select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
+    encoded = pieces.encode(docs, vocabulary_path()).withColumn("pieces", F.col("ids"))
+    decoded = pieces.decode(encoded, vocabulary_path())
+    digest = F.sha2("text", 256)
+    return decoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.col("pieces").alias("ids"),
+                          digest.alias("decoded_sha256"), digest.eqNullSafe(F.col("text_sha256")).alias("round_trip"))
+
+
 @query("op3_secrets")
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan_secrets(common.documents(spark, folder).select("doc_id", "text"))
     return found.select("doc_id", *[F.col("secrets")[c].alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_checked")])
 
 
+@query("op4_langid")
+def op4_langid(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = common.fold("doc_id", 4) == 2
+    docs = common.documents(spark, folder).select("doc_id", "text", "lang", held_out.alias("held_out"))
+    return langid.identify(docs, ["doc_id", "held_out"], ~F.col("held_out"))
+
+
 @query("op6_mixing")
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.documents(spark, folder)
