@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteworks.llm import common, hilbert, langid, mixing, pieces, quality, secrets, simhash
+from noteworks.llm import common, hilbert, langid, mixing, pieces, quality, secrets, simhash, sketch
 from noteworks.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
 
@@ -53,6 +53,11 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+@query("op7_sketch")
+def op7_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    return sketch.compare_versions(common.documents(spark, folder))
+
+
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 
 QUALITY_SQL = rf"""
