@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteworks.llm import common, hilbert, langid, mixing, pieces, quality, secrets, simhash, sketch
+from noteworks.llm import common, hilbert, langid, lm, mixing, pieces, quality, secrets, simhash, sketch, suffixes
 from noteworks.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
 
@@ -45,6 +45,12 @@ def op4_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs, ["doc_id", "held_out"], ~F.col("held_out"))
 
 
+@query("op5_lm")
+def op5_lm(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = common.fold("doc_id", 7) == 2
+    return lm.score_texts(common.documents(spark, folder).select("doc_id", "text", held_out.alias("held_out")))
+
+
 @query("op6_mixing")
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.documents(spark, folder)
@@ -93,6 +99,11 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *[F.col("quality")[c].alias(c) for c in names])
 
 
+@query("op9_suffixes")
+def op9_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(common.documents(spark, folder))
+
+
 @query("op10_hilbert")
 def op10_hilbert(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert.shard_rows(common.documents(spark, folder))
