@@ -25,7 +25,7 @@ CHUNK = 1 << 15
 SCAN_GROUP = 64
 UNIT = 1_000_000  # scores are in millionths of a nat
 NEVER = -(1 << 60)
-MEMO_UNITS = 500_000
+MEMO_UNITS = 200_000
 
 
 class Vocabulary:
@@ -63,6 +63,10 @@ class Vocabulary:
             self.score[i] = worst
         self.worst = worst
         self.longest = max(map(len, self.ids), default=1)
+        # All prefixes of pieces, so that a search stops where no piece goes on.
+        self.begun = {p[:n]: (-1, NEVER) for p in self.ids for n in range(1, len(p))}
+        self.begun |= {p: (i, self.score[i]) for p, i in self.ids.items()}
+        self.score_of = np.array(self.score)
         alphabet = set("".join(self.ids))
         # White space that no piece holds stands alone; a space starts a unit, since no piece has one further in.
         self.breaks = "".join(c for c in "\n\t\r\v\f" if c not in alphabet)
@@ -73,11 +77,13 @@ class Vocabulary:
 
     def steps(self, s: str, p: int) -> list[tuple[int, int, int]]:
         """Pieces that start at ``p``: (end, id, score); id -1 stands for the bytes of one character."""
-        get, out = self.ids.get, []
-        for end in range(p + 1, min(p + self.longest, len(s)) + 1):
-            i = get(s[p:end])
-            if i is not None:
-                out.append((end, i, self.score[i]))
+        get, out = self.begun.get, []
+        for end in range(p + 1, len(s) + 1):
+            found = get(s[p:end])
+            if found is None:
+                break
+            if found[0] >= 0:
+                out.append((end, *found))
         if not out or out[0][0] != p + 1:
             out.append((p + 1, -1, self.worst * len(s[p].encode("utf-8", "replace"))))
         return out
@@ -105,6 +111,28 @@ class Vocabulary:
             z = p
         return np.array(out[::-1], np.int32).tobytes()
 
+    def unit(self, s: str) -> bytes:
+        """``trace`` over a whole short text, in one loop."""
+        n, get = len(s), self.begun.get
+        best, back, ids = [NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0
+        for p in range(n):
+            here, end = best[p], p + 1
+            while end <= n and (found := get(s[p:end])) is not None:
+                if here + found[1] > best[end] and found[0] >= 0:
+                    best[end], back[end], ids[end] = here + found[1], p, found[0]
+                end += 1
+            if s[p] not in self.ids:
+                score = here + self.worst * len(s[p].encode("utf-8", "replace"))
+                if score > best[p + 1]:
+                    best[p + 1], back[p + 1], ids[p + 1] = score, p, -1
+        out: list[int] = []
+        while n:
+            p = back[n]
+            out += [ids[n]] if ids[n] >= 0 else [self.byte_ids[b] for b in reversed(s[p:n].encode("utf-8", "replace"))]
+            n = p
+        return np.array(out[::-1], np.int32).tobytes()
+
     def borders(self, s: str, limit: int) -> tuple[int, int] | None:
         """First and last place in ``1 .. limit`` that no piece can cross, whatever stands before."""
 
@@ -126,14 +154,14 @@ class Memo(dict):
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= MEMO_UNITS:
             self.clear()
-        ids = self[unit] = self.vocabulary.trace(unit, 0, len(unit))
+        ids = self[unit] = self.vocabulary.unit(unit)
         return ids
 
     def encode(self, s: str) -> bytes:
         return b"".join(map(self.__getitem__, self.vocabulary.units.findall(s)))
 
     def score(self, s: str) -> int:
-        return int(np.array(self.vocabulary.score)[np.frombuffer(self.encode(s), np.int32)].sum())
+        return int(self.vocabulary.score_of[np.frombuffer(self.encode(s), np.int32)].sum())
 
 
 def transfer(memo: Memo, s: str, length: int, last: bool) -> np.ndarray:
