@@ -92,19 +92,23 @@ class Block:
 
     def __init__(self, row: dict):
         self.docs, self.held, self.sizes = row["docs"], np.array(row["held"], bool), np.array(row["sizes"])
-        self.tokens, vocab = _unzip(row["ids"], np.int32).astype(np.int64), np.frombuffer(row["vocab"], np.uint64)
+        self.tokens, vocab = _unzip(row["ids"], np.int32).astype(np.int64), np.frombuffer(row.get("vocab", b""), np.uint64)
         context = np.concatenate(([0], self.tokens[:-1]))
         learn = np.repeat(~self.held, self.sizes)
-        codes, self.pair = np.unique(context * len(vocab) + self.tokens, return_inverse=True)
-        self.first, self.second = codes // len(vocab), codes % len(vocab)
+        width = len(vocab) if "vocab" in row else int(row["width"])
+        codes, self.pair = np.unique(context * width + self.tokens, return_inverse=True)
+        self.first, self.second = codes // width, codes % width
+        self.counts = {1: np.bincount(self.tokens[learn], minlength=width), 2: np.bincount(self.pair[learn], minlength=len(codes))}
+        if "vocab" not in row:  # the counts in all texts are there, so hashes have served their purpose
+            self.totals = {1: _unzip(row["one"], np.int64), 2: _unzip(row["two"], np.int64)}
+            return
         a, b = vocab[self.first], vocab[self.second]
         mixed = (a * np.uint64(0x9E3779B185EBCA87)) ^ ((b << np.uint64(31)) | (b >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
-        self.keys = {1: vocab, 2: mixed ^ (mixed >> np.uint64(32))}
-        self.counts = {1: np.bincount(self.tokens[learn], minlength=len(vocab)), 2: np.bincount(self.pair[learn], minlength=len(codes))}
+        self.keys = {1: vocab, 2: (mixed ^ (mixed >> np.uint64(32))) & ~np.uint64(255)}  # pairs: 56 bits
         self.order = {k: np.argsort(v, kind="stable") for k, v in self.keys.items()}
 
-    def totals(self, answers: list[dict]) -> dict[int, np.ndarray]:
+    def sums(self, answers: list[dict]) -> dict[int, np.ndarray]:
         """Counts in all training texts, from the answers of all owners."""
         out = {}
         for kind in (1, 2):
@@ -155,6 +159,22 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "owner", "kind", "extra", "known", "tokens"])
 
 
+READY_TYPE = "docs array<long>, held array<boolean>, sizes array<int>, ids binary, width long, one binary, two binary"
+
+
+def _ready_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with the counts of their n-grams in all training texts, in place of hashes and answers."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            part = batch.slice(at, 1)
+            row = part.to_pylist()[0]
+            total = Block(row).sums(row["answers"])
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in ("docs", "held", "sizes", "ids")), pa.array([len(total[1])], pa.int64()),
+                 pa.array([_zip(total[1])], pa.binary()), pa.array([_zip(total[2])], pa.binary())],
+                ["docs", "held", "sizes", "ids", "width", "one", "two"])
+
+
 def bucket(context: np.ndarray) -> np.ndarray:
     """0 for an unseen context, else one more than the floor of the binary logarithm of its count."""
     return np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))) + 1, 0).astype(np.int64)
@@ -169,7 +189,7 @@ def _statistic_batches(tokens: int, known: int):
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                t, n = b.totals(row["answers"]), b.counts[2]
+                t, n = b.totals, b.counts[2]
                 c1, c2 = t[1][b.first] - 1, t[1][b.second] - 1  # the event itself is deleted
                 two = np.where(c1 > 0, (t[2] - 1) / np.maximum(c1, 1), 0)
                 code = (bucket(c1) << 20 | step(two) << 10 | step(c2 / max(tokens - 1, 1)))[n > 0]
@@ -205,7 +225,7 @@ def _score_batches(tokens: int, known: int, weights: np.ndarray):
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                t = b.totals(row["answers"])
+                t = b.totals
                 c1, c2 = t[1][b.first], t[1][b.second]
                 w = weights[bucket(c1)]
                 p = w[:, 0] / (known + 1) + w[:, 1] * c2 / max(tokens, 1) + w[:, 2] * t[2] / np.maximum(c1, 1)
@@ -236,7 +256,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         _answer, "block long, owner long, kind int, extra binary, known long, tokens long"))
     known, tokens = (int(v or 0) for v in answers.where("block < 0").agg(F.sum("known"), F.sum("tokens")).first())
     given = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("owner", "kind", "extra")).alias("answers"))
-    ready = cut_lineage(blocks.join(given, "block"))
+    ready = cut_lineage(blocks.join(given, "block").mapInArrow(_ready_batches, READY_TYPE))
     # At most BUCKETS * 1024 * 1024 kinds, in practice a few ten thousand: rounded ratios, whatever the corpus.
     kinds = ready.mapInArrow(_statistic_batches(tokens, known), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     weights = learn_weights(kinds["code"].to_numpy(np.int64), kinds["n"].to_numpy(np.float64))
