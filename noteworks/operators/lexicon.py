@@ -20,7 +20,7 @@ from noteworks.session import cut_lineage, literal_table
 
 
 def cluster_terms(terms: DataFrame, distance: float = config.CONCEPT_DISTANCE, block: int = BLOCK,
-                  n_pivots: int = PIVOTS, max_rounds: int = 200) -> DataFrame:
+                  n_pivots: int = PIVOTS) -> DataFrame:
     """Average-linkage clusters of ``(id, vec)`` on cosine distance, cut at ``distance``; exact and distributed.
 
     For unit vectors the average distance of two clusters is 1 - mean(A)·mean(B), so a cluster is its sum and
@@ -32,7 +32,7 @@ def cluster_terms(terms: DataFrame, distance: float = config.CONCEPT_DISTANCE, b
     firsts = unit.groupBy("vec").agg(F.min("id").alias("cluster"), F.count("*").cast("double").alias("n"))
     members = cut_lineage(unit.join(firsts.select("vec", "cluster"), "vec").select("id", "cluster"))
     state = cut_lineage(firsts.select(F.col("cluster").alias("id"), "n", "vec"))
-    for _ in range(max_rounds):
+    while True:
         # ``vec`` is the mean of the cluster. Two means with a product above 1 - distance are at most
         # sqrt(2 * distance) apart, because no mean is longer than one.
         points = state.select("id", "vec")

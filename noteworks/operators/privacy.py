@@ -420,6 +420,14 @@ def filter_sensitive_keywords(vocabulary: DataFrame, term: str = "term") -> Data
     return audit_text(vocabulary, term).where(~F.col("has_violations")).select(*vocabulary.columns)
 
 
+def audit_report(files: DataFrame) -> DataFrame:
+    """One row over whole files ``(path, text)``: how many were audited, how many violations, whether all comply."""
+    found = audit_artifacts(files).agg(F.sum("violations").alias("found"), F.count("*").alias("files_with_violations"))
+    report = one_row(files.agg(F.count("*").alias("files_audited")), found)
+    violations = F.coalesce("found", F.lit(0))
+    return report.select("files_audited", violations.alias("violations_found"), "files_with_violations", (violations == 0).alias("compliant"))
+
+
 def audit_artifacts(files: DataFrame) -> DataFrame:
     """Personal data in whole files ``(path, text)``, with numbers that only look like it left out."""
     text = F.col("text")

@@ -203,6 +203,6 @@ def clean_vocabulary(spark, folder):
 
 @query("audit_pages")
 def audit_pages(spark, folder):
-    """Whole web pages scanned like files; rows-only, since the exclusions need positions in each file."""
+    """Report over whole web pages scanned like files; rows-only, since the exclusions need positions in each file."""
     pages = tables.spread(tables.read(spark, folder, "pages"))
-    return P.audit_artifacts(pages.select(F.col("url").alias("path"), F.col("html").alias("text")))
+    return P.audit_report(pages.select(F.col("url").alias("path"), F.col("html").alias("text")))

@@ -240,7 +240,7 @@ def stream_upserts(spark, folder):
     """Run the upload stream to its end over all documents, delivered twice, and read the newest note per client."""
     work = _work_folder(spark)
     _write_uploads(spark, folder, f"{work}/in")
-    stream = U.dedup_uploads(U.read_uploads_files(spark, f"{work}/in"))
+    stream = U.read_uploads_files(spark, f"{work}/in")
     U.process_uploads(stream, _aliases(spark), f"{work}/out", f"{work}/state").awaitTermination()
     return U.current_notes(spark, f"{work}/out").select("client_id", "note_id", F.md5("text").alias("digest"))
 
@@ -249,7 +249,7 @@ def stream_upserts(spark, folder):
 def stream_sessions(spark, folder):
     work = _work_folder(spark)
     _write_uploads(spark, folder, f"{work}/in")
-    stream = U.dedup_uploads(U.read_uploads_files(spark, f"{work}/in"))
+    stream = U.read_uploads_files(spark, f"{work}/in")
     U.process_uploads(stream, _aliases(spark), f"{work}/out", f"{work}/state").awaitTermination()
     status = U.session_status(spark.read.parquet(f"{work}/out/sessions").drop("batch_id"))
     return status.groupBy("status").agg(F.count("*").alias("sessions"))

@@ -20,7 +20,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
-        current = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="noteworks-ckpt-")
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if current is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            current = tempfile.mkdtemp(prefix="noteworks-ckpt-")
         sc.setCheckpointDir(current)
     return current
 

@@ -29,9 +29,15 @@ def read_uploads_files(spark: SparkSession, folder: str, files_per_batch: int =
     return spark.readStream.schema(StructType.fromDDL(schema)).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
-def dedup_uploads(uploads: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop redelivered sessions; the state of a session is forgotten after ``delay``."""
-    return uploads.withWatermark("_ts", delay).dropDuplicatesWithinWatermark(["upload_session_id"])
+def dedup_uploads(batch: DataFrame, folder: str, batch_id: int) -> DataFrame:
+    """Sessions of a batch that no earlier batch has written. However late an upload comes, it is not lost:
+    it is compared with the session log, and nothing is forgotten."""
+    fresh = batch.dropDuplicates(["upload_session_id"])
+    if batch_id == 0:
+        return fresh
+    log = batch.sparkSession.read.parquet(f"{folder}/sessions")
+    earlier = log.where(F.col("batch_id") < batch_id).select("upload_session_id").distinct()
+    return fresh.join(earlier, "upload_session_id", "left_anti")
 
 
 def upload_notes(uploads: DataFrame) -> DataFrame:
@@ -75,7 +81,7 @@ def process_uploads(uploads: DataFrame, aliases: DataFrame, folder: str, checkpo
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        notes = upload_notes(batch).persist()
+        notes = upload_notes(dedup_uploads(batch, folder, batch_id)).persist()
         found = detect_concepts(notes, aliases)
         target = f"batch_id={batch_id}"
         notes.write.mode("overwrite").parquet(f"{folder}/notes/{target}")

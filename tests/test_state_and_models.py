@@ -183,3 +183,20 @@ def test_matching_shuffles_no_text(spark, folder):
     plan = C.match_aliases(docs, C.alias_map(t.lexicon(spark)))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(note_id" not in plan and "Exchange hashpartitioning(text" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_late_uploads_are_kept_and_redelivered_ones_dropped(spark, tmp_path):
+    import datetime as dt
+
+    from noteworks.streaming import uploads
+
+    stamp = dt.datetime(2024, 1, 10)
+    schema = "upload_session_id long, client_id long, language string, text string, _ts timestamp"
+    seen = []
+    for batch_id, (sessions, day) in enumerate([([1, 1], 0), ([2, 1], -4), ([3, 2], -1)]):
+        rows = [(s, s, "FR", "texte", stamp + dt.timedelta(days=day)) for s in sessions]
+        batch = uploads.dedup_uploads(spark.createDataFrame(rows, schema), str(tmp_path), batch_id)
+        got = batch.select("upload_session_id")
+        seen.append([r[0] for r in got.collect()])
+        got.write.mode("overwrite").parquet(f"{tmp_path}/sessions/batch_id={batch_id}")
+    assert seen == [[1], [2], [3]]

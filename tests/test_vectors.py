@@ -118,3 +118,9 @@ def test_vector_functions(spark):
                      VF.clip_norm(F.col("a"), 1.0).alias("k"), VF.laplace_noise(F.col("a"), F.array(F.lit(0.0), F.lit(0.25)), 1.0).alias("l")).first()
     assert got["n"] == 5.0 and got["z"] == [0.0, 0.0] and got["c"] == 0.0
     assert np.allclose(got["k"], [0.6, 0.8]) and got["l"][0] == 3.0 and got["l"][1] == pytest.approx(4 + np.log(2))
+
+
+def test_zero_vectors_are_like_nothing(spark):
+    rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0])]
+    found = V.nearest_neighbours(spark.createDataFrame(rows, "id long, vec array<double>"), k=3).collect()
+    assert {r["similarity"] for r in found} == {0.0}
