@@ -22,10 +22,14 @@ from pyspark.sql import functions as F
 from noteworks.session import cut_lineage
 
 CHUNK = 1 << 15
+CHUNK_ROWS = 32
 SCAN_GROUP = 64
 UNIT = 1_000_000  # scores are in millionths of a nat
 NEVER = -(1 << 60)
 MEMO_UNITS = 200_000
+LANES = 16_384  # units of up to LANE_CHARS characters that one table of best scores holds side by side
+LANE_CHARS = 48
+SLICE_CHARS = 1 << 20
 
 
 class Vocabulary:
@@ -67,6 +71,7 @@ class Vocabulary:
         self.begun = {p[:n]: (-1, NEVER) for p in self.ids for n in range(1, len(p))}
         self.begun |= {p: (i, self.score[i]) for p, i in self.ids.items()}
         self.score_of = np.array(self.score)
+        self._arrays()
         alphabet = set("".join(self.ids))
         # White space that no piece holds stands alone; a space starts a unit, since no piece has one further in.
         self.breaks = "".join(c for c in "\n\t\r\v\f" if c not in alphabet)
@@ -75,6 +80,74 @@ class Vocabulary:
         gap = re.escape(self.breaks)
         self.units = re.compile(f" +[^ {gap}]*|[^ {gap}]+|[{gap}]" if gap else " +[^ ]*|[^ ]+")
 
+    def _arrays(self) -> None:
+        """The prefixes as arrays. Node 0 is dead; nodes up to ``inner`` go on, by ``follow[node, character class]``."""
+        inner = list(dict.fromkeys(p[:-1] for p in self.begun if len(p) > 1))
+        goes_on = set(inner)
+        node = {p: n for n, p in enumerate([*inner, *(p for p in self.begun if p not in goes_on)], 1)}
+        later = sorted({p[-1] for p in node if len(p) > 1})
+        rank = {c: i for i, c in enumerate([*later, *sorted({p for p in node if len(p) == 1} - set(later))], 1)}
+        self.inner, self.later = len(inner), len(later)
+        self.char_class = np.zeros(0x110000, np.int32)
+        self.char_class[[ord(c) for c in rank]] = list(rank.values())
+        self.first = np.zeros(len(rank) + 1, np.int32)
+        self.follow = np.zeros((len(inner) + 1, len(later) + 1), np.int32)
+        self.node_id, self.node_score = np.full(len(node) + 1, -1, np.int32), np.full(len(node) + 1, NEVER, np.int64)
+        for p, n in node.items():
+            if len(p) == 1:
+                self.first[rank[p]] = n
+            else:
+                self.follow[node[p[:-1]], rank[p[-1]]] = n
+            self.node_id[n], self.node_score[n] = self.begun[p]
+
+    def lanes(self, units: list[str]) -> dict[str, bytes]:
+        """``unit`` for many short texts at once: one array step per place and piece length, over all texts."""
+        units = sorted(units, key=len, reverse=True)
+        sizes = np.array([len(u) for u in units])
+        n, width = len(units), int(sizes[0])
+        code = np.zeros((width, n), np.uint32)
+        flat = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lane = np.repeat(np.arange(n), sizes)
+        code[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), lane] = flat
+        kind = self.char_class[code]
+        cell = np.where(kind <= self.later, kind, 0)
+        best = np.full((width + 1, n), NEVER, np.int64)
+        back, ids = np.zeros((width + 1, n), np.int8), np.full((width + 1, n), -1, np.int32)
+        best[0] = 0
+        for p in range(width):
+            live = np.arange(np.searchsorted(-sizes, -p))  # lanes are sorted: those longer than p
+            here, state, end = best[p], self.first[kind[p, live]], p
+            missing = self.node_id[state] < 0
+            if missing.any():
+                at, c = live[missing], code[p, live[missing]]
+                score = here[at] + self.worst * (1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF))
+                at, score = at[score > best[p + 1, at]], score[score > best[p + 1, at]]
+                best[p + 1, at], back[p + 1, at], ids[p + 1, at] = score, 1, -1
+            while len(live):
+                end += 1
+                score = here[live] + self.node_score[state]
+                better = (self.node_id[state] >= 0) & (score > best[end, live])
+                at = live[better]
+                best[end, at], back[end, at], ids[end, at] = score[better], end - p, self.node_id[state[better]]
+                if end == width:
+                    break
+                on = (state > 0) & (state <= self.inner)
+                live, state = live[on], state[on]
+                state = self.follow[state, cell[end, live]]
+                live, state = live[state > 0], state[state > 0]
+        on_way, z, lane = np.zeros((n, width + 1), bool), sizes.copy(), np.arange(n)
+        while len(lane):
+            on_way[lane, z] = True
+            z = z - back[z, lane]
+            lane, z = lane[z > 0], z[z > 0]
+        found = ids.T[on_way]
+        ends = np.cumsum(on_way.sum(axis=1))
+        raw = found.tobytes()
+        out = {u: raw[4 * a : 4 * b] for u, a, b in zip(units, [0, *ends[:-1].tolist()], ends.tolist())}
+        for i in np.unique(np.searchsorted(ends, np.nonzero(found < 0)[0], side="right")):  # ways with byte pieces
+            out[units[i]] = self.unit(units[i])
+        return out
+
     def steps(self, s: str, p: int) -> list[tuple[int, int, int]]:
         """Pieces that start at ``p``: (end, id, score); id -1 stands for the bytes of one character."""
         get, out = self.begun.get, []
@@ -145,7 +218,7 @@ class Vocabulary:
 
 
 class Memo(dict):
-    """Units met so far and their ids. Emptied when full, so memory is bounded."""
+    """Units met so far and their ids. Emptied when full, so memory is bounded by MEMO_UNITS and one slice of texts."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
@@ -157,9 +230,35 @@ class Memo(dict):
         ids = self[unit] = self.vocabulary.unit(unit)
         return ids
 
+    def learn(self, units: set[str]) -> None:
+        new = units - self.keys()
+        if len(self) + len(new) > MEMO_UNITS:
+            self.clear()
+            new = units
+        short = [u for u in new if len(u) <= LANE_CHARS]
+        for at in range(0, len(short), LANES):
+            self.update(self.vocabulary.lanes(short[at : at + LANES]))
+
     def encode(self, s: str) -> bytes:
         return b"".join(map(self.__getitem__, self.vocabulary.units.findall(s)))
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        cut = [self.vocabulary.units.findall(s) for s in texts]
+        self.learn(set().union(*cut))
+        return [b"".join(map(self.__getitem__, units)) for units in cut]
+
+
+def slices(texts: list[str | None]) -> Iterator[slice]:
+    """Runs of texts of about SLICE_CHARS characters."""
+    start = chars = 0
+    for i, t in enumerate(texts):
+        chars += len(t or "")
+        if chars >= SLICE_CHARS:
+            yield slice(start, i + 1)
+            start, chars = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
     def score(self, s: str) -> int:
         return int(self.vocabulary.score_of[np.frombuffer(self.encode(s), np.int32)].sum())
 
@@ -252,7 +351,11 @@ def _encode_batches(path: str, scores: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                blobs = [None if t is None else memo.encode(" " + t) if t else b"" for t in part.column(0).to_pylist()]
+                texts = part.column(0).to_pylist()
+                blobs: list[bytes | None] = []
+                for some in slices(texts):
+                    ids = iter(memo.encode_all([" " + t for t in texts[some] if t]))
+                    blobs += [None if t is None else next(ids) if t else b"" for t in texts[some]]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], _ids_array(blobs)], [*part.schema.names[1:], "ids"])
 
     return work
@@ -261,8 +364,9 @@ def _encode_batches(path: str, scores: str):
 def _matrix_batches(path: str, scores: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(Vocabulary(path, scores))
-        for batch in batches:
+        for batch in (b.slice(at, CHUNK_ROWS) for b in batches for at in range(0, b.num_rows, CHUNK_ROWS)):
             rows = batch.to_pydict()
+            memo.learn({u for s in rows["s"] for u in memo.vocabulary.units.findall(s)})
             blobs = [transfer(memo, s, n, last).tobytes() for s, n, last in zip(rows["s"], rows["length"], rows["last"])]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), pa.array(blobs, pa.binary())], ["key", "chunk", "matrix"])
 
@@ -272,8 +376,9 @@ def _matrix_batches(path: str, scores: str):
 def _trace_batches(path: str, scores: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(Vocabulary(path, scores))
-        for batch in batches:
+        for batch in (b.slice(at, CHUNK_ROWS) for b in batches for at in range(0, b.num_rows, CHUNK_ROWS)):
             rows = batch.to_pydict()
+            memo.learn({u for s in rows["s"] for u in memo.vocabulary.units.findall(s)})
             blobs = [trace_chunk(memo, *x) for x in zip(rows["s"], rows["length"], rows["entry"], rows["exit"])]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), _ids_array(blobs)], ["key", "chunk", "ids"])
 
