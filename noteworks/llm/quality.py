@@ -130,10 +130,12 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
     called ``quality`` is replaced).
     """
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "quality"]
-    measured = docs.select(*rest, measures(text).alias("quality"))
-    m = F.col("quality")
-    failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
-    q = m.withField("base_failed", failed).withField("broken", broken_rule(m, rules))
-    with_verdict = measured.withColumn("quality", q)
-    kept = ~F.col("quality.base_failed") & F.col("quality.broken").isNull()
-    return with_verdict.withColumn("quality", F.col("quality").withField("kept", kept))
+
+    def verdict(m: Column) -> Column:
+        failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+        broken = broken_rule(m, rules)
+        kept = ~failed & broken.isNull()
+        return m.withField("base_failed", failed).withField("broken", broken).withField("kept", kept)
+
+    # One expression that names the measures once: a filter on a field of it must not compute them for each rule.
+    return docs.select(*rest, let(measures(text), verdict).alias("quality"))
