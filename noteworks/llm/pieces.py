@@ -26,12 +26,31 @@ CHUNK_ROWS = 32
 SCAN_GROUP = 64
 UNIT = 1_000_000  # scores are in millionths of a nat
 NEVER = -(1 << 60)
-MEMO_UNITS = 200_000
-LANES = 16_384  # units of up to LANE_CHARS characters that one table of best scores holds side by side
+MEMO_UNITS = 100_000
+LANES = 8_192  # units of up to LANE_CHARS characters that one table of best scores holds side by side
 LANE_CHARS = 48
 SLICE_CHARS = 1 << 20
 
 
+def load_pieces(path: str) -> tuple[list[bytes], dict[int, int], list[str | None], list[float]]:
+    """Of each id its bytes, its piece with a plain space as word mark (null if it is none) and the file's score;
+    and the ids of byte pieces by value."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    size = model.get_piece_size()
+    texts, normal, by_value = [b""] * size, [None] * size, {}
+    for i in range(size):
+        piece = model.id_to_piece(i)
+        if model.is_byte(i):
+            value = int(piece[3:5], 16)
+            by_value[value], texts[i] = i, bytes([value])
+        elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+            normal[i] = piece.replace("▁", " ")
+            texts[i] = normal[i].encode()
+    return texts, by_value, normal, [model.get_score(i) for i in range(size)]
+
+
 class Vocabulary:
     """Pieces of a SentencePiece file, with their word mark as a plain space, so that a mark that is itself in
     a text is no piece and falls back to bytes: every text comes back as it was.
@@ -41,26 +60,14 @@ class Vocabulary:
     """
 
     def __init__(self, path: str, scores: str = "zipf"):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = model.get_piece_size()
-        self.byte_ids, self.ids = [0] * 256, {}
-        self.texts: list[bytes] = [b""] * size
-        normal = []
-        for i in range(size):
-            piece = model.id_to_piece(i)
-            if model.is_byte(i):
-                value = int(piece[3:5], 16)
-                self.byte_ids[value], self.texts[i] = i, bytes([value])
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                text = piece.replace("▁", " ")
-                self.ids[text], self.texts[i] = i, text.encode()
-                normal.append(i)
+        _, by_value, pieces, file_scores = load_pieces(path)
+        self.byte_ids = [by_value.get(value, 0) for value in range(256)]
+        normal = [i for i, piece in enumerate(pieces) if piece is not None]
+        self.ids = {pieces[i]: i for i in normal}
         total = math.log(sum(1 / (r + 1) for r in range(len(normal))))
-        self.score = [0] * size
+        self.score = [0] * len(pieces)
         for rank, i in enumerate(normal):
-            value = -math.log(rank + 1) - total if scores == "zipf" else model.get_score(i)
+            value = -math.log(rank + 1) - total if scores == "zipf" else file_scores[i]
             self.score[i] = round(value * UNIT)
         worst = min((self.score[i] for i in normal), default=0) - 10 * UNIT
         for i in self.byte_ids:
@@ -88,10 +95,11 @@ class Vocabulary:
         later = sorted({p[-1] for p in node if len(p) > 1})
         rank = {c: i for i, c in enumerate([*later, *sorted({p for p in node if len(p) == 1} - set(later))], 1)}
         self.inner, self.later = len(inner), len(later)
-        self.char_class = np.zeros(0x110000, np.int32)
+        self.char_class = np.zeros(0x110000, np.min_scalar_type(len(rank)))
         self.char_class[[ord(c) for c in rank]] = list(rank.values())
-        self.first = np.zeros(len(rank) + 1, np.int32)
-        self.follow = np.zeros((len(inner) + 1, len(later) + 1), np.int32)
+        number = np.min_scalar_type(len(node))
+        self.first = np.zeros(len(rank) + 1, number)
+        self.follow = np.zeros((len(inner) + 1, len(later) + 1), number)
         self.node_id, self.node_score = np.full(len(node) + 1, -1, np.int32), np.full(len(node) + 1, NEVER, np.int64)
         for p, n in node.items():
             if len(p) == 1:
@@ -428,9 +436,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", scores: str = "zipf",
     return done.unionByName(long.select(*[F.col(f"`{c}`") for c in rest], "ids"))
 
 
-def _decode_batches(path: str, ids: str):
+def _decode_batches(path: str, ids: str, keep: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = Vocabulary(path).texts
+        texts = load_pieces(path)[0]
         for batch in batches:
             at = batch.schema.get_field_index(ids)
             for low in range(0, batch.num_rows, 512):
@@ -442,16 +450,16 @@ def _decode_batches(path: str, ids: str):
                         continue
                     raw = b"".join([texts[i] for i in row.values.to_numpy().tolist()])
                     out.append(raw.decode("utf-8", "replace").removeprefix(" "))
-                rest = [i for i in range(len(part.columns)) if i != at]
+                rest = [i for i in range(len(part.columns)) if keep or i != at]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), pa.array(out, pa.string())],
                                                  [*(part.schema.names[i] for i in rest), "text"])
 
     return work
 
 
-def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """The text of each row of ids; null stays null. Other columns are carried along."""
-    fields = [f for f in encoded.schema.fields if f.name not in (ids, "text")]
+def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: bool = False) -> DataFrame:
+    """The text of each row of ids (which ``keep`` keeps); null stays null. Other columns are carried along."""
+    fields = [f for f in encoded.schema.fields if f.name not in (ids, "text") or (keep and f.name == ids)]
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    narrow = encoded.select(*[F.col(f"`{f.name}`") for f in fields], ids)
-    return narrow.mapInArrow(_decode_batches(path, ids), f"{ddl}text string")
+    names = [*(f.name for f in fields), *([] if keep else [ids])]
+    return encoded.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(_decode_batches(path, ids, keep), f"{ddl}text string")

@@ -25,10 +25,9 @@ def vocabulary_path() -> str:
 def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every whole text, and whether decoding them gives the text back."""
     docs = common.documents(spark, folder).select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
-    encoded = pieces.encode(docs, vocabulary_path()).withColumn("pieces", F.col("ids"))
-    decoded = pieces.decode(encoded, vocabulary_path())
+    decoded = pieces.decode(pieces.encode(docs, vocabulary_path()), vocabulary_path(), keep=True)
     digest = F.sha2("text", 256)
-    return decoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.col("pieces").alias("ids"),
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids",
                           digest.alias("decoded_sha256"), digest.eqNullSafe(F.col("text_sha256")).alias("round_trip"))
 
 
