@@ -91,6 +91,11 @@ def test_pieces(docs, empty):
     assert sorted((r.doc_id is None, r.doc_id or 0, score(r.ids) or 0) for r in whole) == sorted((r.doc_id is None, r.doc_id or 0, score(r.ids) or 0) for r in cut)
     back = pieces.decode(pieces.encode(docs.select("doc_id", "text"), path, chunk=40), path).collect()
     assert Counter(map(tuple, back)) == Counter((r.doc_id, r.text) for r in docs.collect())
+    encoded = pieces.encode(docs.select("doc_id", "text"), path)
+    both = pieces.decode(encoded, path, keep=True)
+    assert both.columns == ["doc_id", "ids", "text"]
+    assert Counter((r.doc_id, r.text) for r in both.collect()) == Counter((r.doc_id, r.text) for r in docs.collect())
+    assert Counter(str(r.ids) for r in both.collect()) == Counter(str(r.ids) for r in encoded.collect())
     plain = next(r for r in whole if r.doc_id == 5)
     assert model.decode(list(plain.ids)) == texts()[5]
     assert pieces.encode(empty, path).count() == 0
