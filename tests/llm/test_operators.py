@@ -250,3 +250,53 @@ def test_pipeline_stages(spark, docs, empty):
     mixed = pipeline.mix_sources(spark, clean, "")
     assert mixed.columns == table.columns and set(mixed.select("doc_id").toPandas()["doc_id"]) <= groups
     assert pipeline.encode_pieces(spark, mixed, "").where("ids is null").count() == 0
+
+
+def near_texts() -> list[str]:
+    """Texts of many lengths, with copies whose words are changed at places so that likenesses spread over 0.5 to 1."""
+    rng = random.Random(11)
+    line = " ".join(f"licence{i}" for i in range(30))
+    out = [line] * 2
+    for _ in range(25):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(rng.choice([3, 5, 12, 60, 200, 700]))]
+        out.append(" ".join(words))
+        for _ in range(rng.randint(0, 4)):
+            other = list(words)
+            for at in rng.sample(range(len(words)), max(1, rng.randint(0, len(words) // 25))):
+                other[at] = f"new{rng.randint(0, 9)}"
+            out.append(" ".join(other))
+        if rng.random() < 0.4:
+            out.append(line + " " + " ".join(words[:4]))
+    return out
+
+
+def near_groups(values) -> list[set[int]]:
+    """Brute force: components of all pairs whose sets of five-word shingles have a Jaccard likeness of 0.8 or more."""
+    def cut(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [cut(v) for v in values]
+    group = [{i} for i in range(len(values))]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if group[i] is not group[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                group[i] |= group[j]
+                for k in group[i]:
+                    group[k] = group[i]
+    return group
+
+
+def test_pipeline_near_dedup(spark, monkeypatch):
+    import corpus_pipeline as pipeline
+    from noteworks.llm import likeness
+
+    values = [None, "", *near_texts()]
+    rows = [(i, v, "en", "s", 1) for i, v in enumerate(values)]
+    table = spark.createDataFrame([*rows, rows[5], rows[9]], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted({min(g) for g in near_groups(values)})
+    assert 20 < len(want) < len(values) - 20
+    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, table, "").collect()) == want
+    monkeypatch.setattr(likeness, "COMMON", 3)  # other shingles come last: the result stays
+    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, table, "").collect()) == want
+    assert pipeline.near_dedup(spark, table.limit(0), "").count() == 0
