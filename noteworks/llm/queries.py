@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteworks.llm import common, hilbert, langid, lm, mixing, pieces, quality, secrets, simhash, sketch, suffixes
+from noteworks.llm import collocations, common, hilbert, langid, lm, mixing, pieces, quality, repair, secrets, simhash, sketch, suffixes, toxicity
 from noteworks.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
 
@@ -106,3 +106,47 @@ def op9_suffixes(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_hilbert")
 def op10_hilbert(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert.shard_rows(common.documents(spark, folder))
+
+
+@query("op11_toxicity")
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = common.fold("doc_id", 3) == 1
+    docs = common.documents(spark, folder).select("doc_id", "text", held_out.alias("held_out"))
+    labelled = spark.read.parquet(f"{folder}/labels.parquet").where(~held_out).select("doc_id", "toxic")
+    scored = toxicity.score_texts(docs, toxicity.fit(docs, labelled), ["doc_id", "held_out"])
+    score = F.col("toxicity.score")
+    return scored.select("doc_id", "held_out", score.alias("score"), (score >= toxicity.PREDICT_FROM).cast("int").alias("predicted"),
+                         F.size("toxicity.hits").cast("long").alias("n_hits"))
+
+
+@query("op12_repair")
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair_damaged(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+COLLOCATION_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+sizes(m) AS (VALUES (1), (2), (3), (4), (5)),
+grams AS (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, sizes WHERE len(w) >= m),
+f AS (SELECT lang, m, w[i : i + m - 1] AS g, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cover AS (SELECT lang, g, max(a) AS c FROM (
+  SELECT lang, g[1 : m - 1] AS g, a FROM f WHERE m >= 3 UNION ALL SELECT lang, g[2 : m] AS g, a FROM f WHERE m >= 3) GROUP BY ALL),
+cand AS (SELECT f.lang, f.m, f.g, f.a, unnest(range(1, f.m)) AS k FROM f LEFT JOIN cover ON f.lang = cover.lang AND f.g = cover.g
+         WHERE f.m >= 2 AND (c IS NULL OR 100 * c < 100 * f.a)),
+cuts AS (SELECT cand.lang, cand.g, cand.a, k, x.a AS l, y.a AS r, n,
+                CAST((CAST(1000 AS HUGEINT) * cand.a * n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+         FROM cand JOIN totals ON cand.lang = totals.lang JOIN f x ON cand.lang = x.lang AND x.g = cand.g[1 : k]
+         JOIN f y ON cand.lang = y.lang AND y.g = cand.g[k + 1 : cand.m]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+ranked AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM best)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM ranked QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+@query("op13_collocations", COLLOCATION_SQL)
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(common.documents(spark, folder))
