@@ -1,10 +1,11 @@
 """Phrase collocations from FM-indexes of word ids.
 
-Texts of one language are cut into shards. Each shard keeps the Burrows-Wheeler transform of its word ids and of
-the reversed ids, sorted to the depth of the longest phrase. A phrase is a pair of row intervals, one in each; it
-grows by a word on either side by a step in one transform, and the other interval follows. Shards list phrases with
+Texts of one language are cut into shards of word ids. A shard's index is the Burrows-Wheeler transform of its ids and
+that of the reversed ids, sorted to the depth of the longest phrase. A phrase is a pair of row intervals, one in each;
+it grows by a word on either side by a step in one transform, and the other interval follows. Shards list phrases with
 their counts and Spark adds them up. A phrase can only be frequent if its words and word pairs are, so shards first
-report words, then pairs of frequent words, then longer phrases made of frequent pairs: nothing frequent is lost.
+report words, then pairs of frequent words, then longer phrases made of frequent pairs: nothing frequent is lost, and
+what is not frequent is a gap before the transforms are made.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 BREAK = 0  # the id between pieces; words count from 1
 SHARD_BITS, WORD_BITS = 12, 25
 
-SHARD = "shard long, lang string, words long, vocab array<binary>, counts array<long>, forward binary, backward binary"
+SHARD = "shard long, lang string, words long, vocab array<binary>, counts array<long>, ids binary"
 
 
 def _table() -> bytes:
@@ -77,18 +78,25 @@ class Intervals:
 
 
 class Index:
-    """Both transforms of a shard. ``forward`` holds the id before a row's text, ``backward`` the id after it."""
-
-    def __init__(self, forward: np.ndarray, backward: np.ndarray):
-        self.bwt = {"left": forward, "right": backward}
-        self.base = int(max(forward.max(initial=0), backward.max(initial=0))) + 1
-        self.starts = np.concatenate(([0], np.cumsum(np.bincount(forward, minlength=self.base))))
+    """Transforms of a shard's ids, each made when first asked for: ``left`` has the id before a row's text, ``right``
+    (of the reversed ids) the id after it."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids = ids
+        self.base = int(ids.max(initial=0)) + 1
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(ids, minlength=self.base))))
+        self._before: dict[str, np.ndarray] = {}
         self._next: dict[str, np.ndarray] = {}
 
+    def before(self, side: str) -> np.ndarray:
+        if side not in self._before:
+            self._before[side] = transform(self.ids if side == "left" else self.ids[::-1])
+        return self._before[side]
+
     def step(self, side: str) -> np.ndarray:
         """Row to which the id of each row leads (its rank among equal ids, behind all smaller ids)."""
         if side not in self._next:
-            order = np.argsort(self.bwt[side], kind="stable")
+            order = np.argsort(self.before(side), kind="stable")
             to = np.empty(len(order), np.int64)
             to[order] = np.arange(len(order))
             self._next[side] = to
@@ -106,7 +114,7 @@ class Index:
         group = np.repeat(np.arange(len(own)), phrases.count)
         before = np.cumsum(phrases.count) - phrases.count
         rows = np.arange(len(group)) - np.repeat(before, phrases.count) + np.repeat(own, phrases.count)
-        key, first, count = np.unique(group * self.base + self.bwt[side][rows], return_index=True, return_counts=True)
+        key, first, count = np.unique(group * self.base + self.before(side)[rows], return_index=True, return_counts=True)
         place, word = np.divmod(key, self.base)
         smaller = np.cumsum(count) - count - before[place]
         live = wanted[word]
@@ -151,9 +159,9 @@ def _shard_batches(limit: int):
             text = np.concatenate(ids[lang])
             names = [*vocab[lang]][2:]
             counts = np.bincount(text, minlength=len(names) + 1)[1:]
-            row = [number, lang, int(counts.sum()), names, counts, _pack(transform(text)), _pack(transform(text[::-1]))]
+            row = [number, lang, int(counts.sum()), names, counts, _pack(text)]
             number += 1
-            types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
             names_ = [c.split()[0] for c in SHARD.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names_)
 
@@ -176,60 +184,64 @@ def _shard_batches(limit: int):
     return work
 
 
-def _columns(rows: np.ndarray, depth: int) -> list[np.ndarray]:
-    padded = np.zeros((len(rows), depth), np.int64)
-    padded[:, : rows.shape[1]] = rows
-    return list(padded.T)
+def without_gaps(ids: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """The ids with breaks where ``kept`` is false, one break a gap and one at either end."""
+    out = np.concatenate(([BREAK], np.where(kept, ids, BREAK), [BREAK]))
+    return out[np.concatenate(([True], (out[1:] != BREAK) | (out[:-1] != BREAK)))]
 
 
-def _read_side(shard: pa.Table, side: pa.Table) -> tuple[Index, np.ndarray, np.ndarray]:
-    """The index, the global id of each word (0: not frequent), and the frequent pairs as sorted numbers."""
-    index = Index(_unpack(shard.column("forward")[0].as_py()), _unpack(shard.column("backward")[0].as_py()))
-    key, ident = side.column("key").to_numpy(), side.column("ident").to_numpy()
-    names = np.zeros(index.base, np.int64)
-    names[key[ident > 0]] = ident[ident > 0]
-    return index, names, np.sort(key[ident == 0])
+def _read_shard(shard: pa.Table, side: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a shard, the global id of each of its words (0: not frequent), and its frequent pairs by local ids."""
+    ids = _unpack(shard.column("ids")[0].as_py())
+    at, g1, g2 = (side.column(c).to_numpy() for c in ("at", "g1", "g2"))
+    names = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
+    names[at[at > 0]] = g1[at > 0]
+    order = np.argsort(names, kind="stable")
+    pairs = [order[np.searchsorted(names, g[at == 0], sorter=order)] for g in (g1, g2)]
+    return ids, names, *pairs
 
 
 def _pairs(shard: pa.Table, side: pa.Table) -> pa.Table:
-    """Pairs of frequent words in a shard: ``key`` (local), global ids and count."""
+    """Pairs of frequent words in a shard by global ids, with counts."""
     if not len(shard) or not len(side):
-        return pa.table({c: pa.array([], t) for c, t in (("shard", pa.int64()), ("lang", pa.string()), ("key", pa.int64()),
-                                                        ("g1", pa.int64()), ("g2", pa.int64()), ("n", pa.int64()))})
-    index, names, _ = _read_side(shard, side)
-    words = index.words(np.flatnonzero(names))
-    place, second, count, _, _ = index.neighbours(words, "right", names > 0)
-    first = words.words[place, 0]
-    n = len(first)
-    return pa.table({"shard": pa.repeat(shard.column("shard")[0], n), "lang": pa.repeat(shard.column("lang")[0], n),
-                     "key": first * index.base + second, "g1": names[first], "g2": names[second], "n": count})
+        return pa.table({c: pa.array([], pa.int64()) for c in ("shard", "g1", "g2", "n")})
+    ids, names, _, _ = _read_shard(shard, side)
+    wanted = names > 0
+    index = Index(without_gaps(ids, wanted[ids]))
+    words = index.words(np.flatnonzero(wanted[: index.base]))
+    place, second, count, _, _ = index.neighbours(words, "right", wanted)
+    return pa.table({"shard": pa.repeat(shard.column("shard")[0], len(count)), "g1": names[words.words[place, 0]], "g2": names[second], "n": count})
 
 
 def _phrases(depth: int):
     """Phrases of three words and more: pairs grow to the right, then to the left, and so on."""
 
     def work(shard: pa.Table, side: pa.Table) -> pa.Table:
-        fields = ["lang", *(f"g{i}" for i in range(1, depth + 1)), "n"]
-        found = [pa.table({c: pa.array([], pa.string() if c == "lang" else pa.int64()) for c in fields})]
+        fields = [*(f"g{i}" for i in range(1, depth + 1)), "n"]
+        found = [pa.table({c: pa.array([], pa.int64()) for c in fields})]
         if len(shard) and len(side):
-            index, names, pairs = _read_side(shard, side)
-            wanted = names > 0
+            ids, names, first, second = _read_shard(shard, side)
+            base = len(names)
+            pairs = np.sort(first * base + second)
 
             def known(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-                key = left * index.base + right
+                key = left.astype(np.int64) * base + right
                 at = np.minimum(np.searchsorted(pairs, key), max(len(pairs) - 1, 0))
                 return pairs[at] == key if len(pairs) else np.zeros(len(key), bool)
 
-            live = index.extend(index.words(np.flatnonzero(wanted)), "right", wanted)
+            met = known(ids[:-1], ids[1:])
+            index = Index(without_gaps(ids, np.concatenate(([False], met)) | np.concatenate((met, [False]))))
+            wanted = names > 0
+            live = index.extend(index.words(np.flatnonzero(wanted[: index.base])), "right", wanted)
             live = live.keep(known(live.words[:, 0], live.words[:, 1]))
             for length in range(3, depth + 1):
                 side_ = "right" if length % 2 else "left"
                 live = index.extend(live, side_, wanted)
                 edge = live.words[:, -2:] if side_ == "right" else live.words[:, :2]
                 live = live.keep(known(edge[:, 0], edge[:, 1]))
-                columns = _columns(names[live.words], depth)
-                lang = pa.repeat(shard.column("lang")[0], len(live.count))
-                found.append(pa.table([lang, *columns, live.count], names=fields))
+                columns = np.zeros((depth, len(live.count)), np.int64)
+                columns[:length] = names[live.words].T
+                found.append(pa.table([*columns, live.count], names=fields))
         return pa.concat_tables(found)
 
     return work
@@ -241,42 +253,42 @@ def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
 
 
 def _keyed(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Phrases as ``lang``, ``g`` (their ids) and ``a`` (their count)."""
-    ids = F.filter(F.array(*columns), lambda x: x > 0)
-    return rows.select("lang", ids.alias("g"), F.col("f").alias("a"))
+    """Phrases as ``g`` (their word ids) and ``a`` (their count)."""
+    return rows.select(F.filter(F.array(*columns), lambda x: x > 0).alias("g"), F.col("f").alias("a"))
 
 
 def index_shards(docs: DataFrame, text: str = "text", lang: str = "lang", shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One row per shard: its words with their counts and both transforms. Dealt by shard and checkpointed."""
+    """One row per shard: its words with their counts, and its ids. Dealt by shard and checkpointed, so that later
+    joins on the shard move only the other side."""
     narrow = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"),
                          F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("text"))
-    return cut_lineage(narrow.mapInArrow(_shard_batches(shard_words), SHARD).repartition("shard"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(narrow.mapInArrow(_shard_batches(shard_words), SHARD).repartition(parts, "shard"))
 
 
 def count_phrases(shards: DataFrame, least: int = LEAST, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to ``depth`` words that occur ``least`` times in a language, and the names of word ids.
 
-    Returns ``(lang, g, a)`` and ``(lang, ident, word)``. Ids are places of words in shards, hence exact.
+    Returns ``(g, a)`` and ``(ident, lang, word)``. A word's id is its first place in any shard of its language, so
+    ids are exact and tell languages apart.
     """
     listed = shards.select("shard", "lang", F.posexplode(F.arrays_zip("vocab", "counts")).alias("at", "w")).select(
-        "shard", "lang", (F.col("at") + 1).cast("long").alias("key"), F.col("w.vocab").alias("word"), F.col("w.counts").alias("n"))
-    own = F.shiftleft("shard", WORD_BITS).bitwiseOR(F.col("key"))
+        "shard", "lang", (F.col("at") + 1).cast("long").alias("at"), F.col("w.vocab").alias("word"), F.col("w.counts").alias("n"))
+    own = F.shiftleft("shard", WORD_BITS).bitwiseOR(F.col("at"))
     words = cut_lineage(_frequent(listed, ["lang", "word"], least).withColumn(
-        "ident", F.min(own).over(Window.partitionBy("lang", "word"))))
-    names = words.groupBy("lang", "ident").agg(F.first("word").alias("word"), F.first("f").alias("f"))
-    side = words.select("shard", "key", "ident")
-    transforms = shards.select("shard", "lang", "forward", "backward").groupBy("shard")
-    met = transforms.cogroup(side.groupBy("shard")).applyInArrow(
-        _pairs, "shard long, lang string, key long, g1 long, g2 long, n long")
-    pairs = cut_lineage(_frequent(met, ["lang", "g1", "g2"], least).select("shard", "lang", "key", "g1", "g2", "f"))
-    both = side.unionByName(pairs.select("shard", "key", F.lit(0).cast("long").alias("ident")))
+        "g1", F.min(own).over(Window.partitionBy("lang", "word"))).select("shard", "lang", "at", "word", "f", "g1"))
+    names = words.groupBy(F.col("g1").alias("ident")).agg(*[F.first(c).alias(c) for c in ("lang", "word", "f")])
+    side = words.select("shard", "at", "g1", F.lit(0).cast("long").alias("g2"))
+    texts = shards.select("shard", "ids").groupBy("shard")
+    met = texts.cogroup(side.groupBy("shard")).applyInArrow(_pairs, "shard long, g1 long, g2 long, n long")
+    pairs = cut_lineage(_frequent(met, ["g1", "g2"], least).select("shard", "g1", "g2", "f"))
+    both = side.unionByName(pairs.select("shard", F.lit(0).cast("long").alias("at"), "g1", "g2"))
     columns = [f"g{i}" for i in range(1, depth + 1)]
-    found = transforms.cogroup(both.groupBy("shard")).applyInArrow(
-        _phrases(depth), ", ".join(["lang string", *(f"{c} long" for c in columns), "n long"]))
-    longer = found.groupBy("lang", *columns).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    singles = _keyed(names.withColumn("g1", F.col("ident")), ["g1"])
-    doubles = _keyed(pairs.groupBy("lang", "g1", "g2").agg(F.first("f").alias("f")), ["g1", "g2"])
-    return cut_lineage(singles.unionByName(doubles).unionByName(_keyed(longer, columns))), names.select("lang", "ident", "word")
+    found = texts.cogroup(both.groupBy("shard")).applyInArrow(_phrases(depth), ", ".join([*(f"{c} long" for c in columns), "n long"]))
+    longer = found.groupBy(*columns).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    singles = _keyed(names, ["ident"])
+    doubles = _keyed(pairs.groupBy("g1", "g2").agg(F.first("f").alias("f")), ["g1", "g2"])
+    return cut_lineage(singles.unionByName(doubles).unionByName(_keyed(longer, columns))), names.select("ident", "lang", "word")
 
 
 def _whole_quotient(a: Column, n: Column, l: Column, r: Column) -> Column:
@@ -300,24 +312,23 @@ def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: i
     totals = shards.groupBy("lang").agg(F.sum("words").alias("n"))
     phrases, names = count_phrases(shards, least, depth)
     size = F.size("g")
-    longer = phrases.where(size >= 3).select(
-        "lang", F.explode(F.array(F.slice("g", 1, size - 1), F.slice("g", 2, size - 1))).alias("g"), "a")
-    cover = longer.groupBy("lang", "g").agg(F.max("a").alias("cover"))
-    cut = phrases.where(size >= 2).join(cover, ["lang", "g"], "left").where("cover IS NULL OR 100 * cover < 100 * a").select(
-        "lang", "g", "a", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
-    parts = cut.select("lang", "g", "a", "k", F.slice("g", F.lit(1), F.col("k")).alias("first"), F.slice("g", F.col("k") + 1, size).alias("rest"))
-    left = phrases.select("lang", F.col("g").alias("first"), F.col("a").alias("l"))
-    right = phrases.select("lang", F.col("g").alias("rest"), F.col("a").alias("r"))
-    met = parts.join(left, ["lang", "first"]).join(right, ["lang", "rest"]).join(totals, "lang")
-    scored = met.withColumn("score", _whole_quotient(F.col("a"), F.col("n"), F.col("l"), F.col("r")))
+    longer = phrases.where(size >= 3).select(F.explode(F.array(F.slice("g", 1, size - 1), F.slice("g", 2, size - 1))).alias("g"), "a")
+    cover = longer.groupBy("g").agg(F.max("a").alias("cover"))
+    cut = phrases.where(size >= 2).join(cover, "g", "left").where("cover IS NULL OR 100 * cover < 100 * a").select(
+        "g", "a", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
+    parts = cut.select("g", "a", "k", F.slice("g", F.lit(1), F.col("k")).alias("first"), F.slice("g", F.col("k") + 1, size).alias("rest"))
+    left = phrases.select(F.col("g").alias("first"), F.col("a").alias("l"))
+    right = phrases.select(F.col("g").alias("rest"), F.col("a").alias("r"))
+    met = parts.join(left, "first").join(right, "rest")
+    home = names.select(F.col("ident").alias("head"), "lang").join(totals, "lang")
+    placed = met.withColumn("head", F.get("g", F.lit(0))).join(home, "head")
+    scored = placed.withColumn("score", _whole_quotient(F.col("a"), F.col("n"), F.col("l"), F.col("r")))
     best = scored.groupBy("lang", "g", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("c")).select(
         "lang", "g", "a", "n", "c.l", "c.r", "c.score")
-    near = best.withColumn("_rank", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(F.col("_rank") <= top)
-    near = cut_lineage(near)
-    spelt = near.select("lang", "g", F.posexplode("g").alias("at", "ident")).join(names, ["lang", "ident"]).groupBy("lang", "g").agg(
+    near = cut_lineage(best.withColumn("_rank", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(F.col("_rank") <= top))
+    spelt = near.select("g", F.posexplode("g").alias("at", "ident")).join(names.drop("lang"), "ident").groupBy("g").agg(
         F.array_sort(F.collect_list(F.struct("at", F.col("word").cast("string").alias("word")))).alias("w"))
-    phrase = F.array_join(F.transform("w", lambda x: x["word"]), " ")
-    named = near.join(spelt, ["lang", "g"]).withColumn("phrase", phrase)
+    named = near.join(spelt, "g").withColumn("phrase", F.array_join(F.transform("w", lambda x: x["word"]), " "))
     order = Window.partitionBy("lang").orderBy("_rank", "phrase")
     return named.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top).select(
         "lang", "rank", "phrase", "a", "l", "r", "n", "score")
