@@ -36,6 +36,7 @@ QUOTED_SHARE = 0.4  # what is left of it inside a quotation
 LEAST_PRECISION = 0.5  # classes below are no evidence
 CLEAN_VARIANTS = 2  # clean documents that make a near-miss a word of its own
 WINDOW = 100
+SLICE_CHARS = 1 << 20
 PREDICT_FROM = 0.7
 
 OPENING, CLOSING, STRAIGHT = "«“„‹‘", "»”›’", '"'
@@ -68,14 +69,23 @@ class Letters:
         for x in "@$*":
             self.kind[ord(x)] = 2
 
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Folded code points, and where words begin and end."""
-        codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        kind = np.concatenate(([0], self.kind[codes], [0]))
+    def borders(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin and end."""
+        kind = np.zeros(len(codes) + 2, np.uint8)
+        kind[1:-1] = self.kind[codes]
         inside = kind == 1
-        inside[1:-1] |= (kind[1:-1] == 2) & inside[:-2] & inside[2:]
-        edge = np.diff(inside.astype(np.int8))
-        return self.lower[codes], np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        join = np.flatnonzero(kind == 2)
+        inside[join[(kind[join - 1] == 1) & (kind[join + 1] == 1)]] = True
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        return edges[::2], edges[1::2]
+
+    def words(self, text: str) -> tuple[str, np.ndarray, np.ndarray]:
+        """The text in lower case, place by place, and where words begin and end."""
+        codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        return self.fold(codes), *self.borders(codes)
+
+    def fold(self, codes: np.ndarray) -> str:
+        return self.lower[codes].tobytes().decode("utf-32-le", "replace")
 
 
 def features(folded: str, starts: np.ndarray, ends: np.ndarray) -> set[str]:
@@ -90,7 +100,7 @@ def features(folded: str, starts: np.ndarray, ends: np.ndarray) -> set[str]:
 class Automaton:
     """All words within reach of a term. Row 0 of the table is the dead state, row 1 the start."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple[str, bool]], lower: np.ndarray):
         self.terms = terms
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
@@ -108,16 +118,15 @@ class Automaton:
                 self.reach[node] = max(self.reach[node], allowed)
             self.ends[node].append(number)
         self.alphabet = sorted({x for term, _ in terms for x in term})
-        self.klass = np.zeros(0x110000, np.int32)  # class 0: letters of no term
+        folded = np.zeros(0x110000, np.uint8 if len(self.alphabet) < 255 else np.int32)  # class 0: letters of no term
         for i, x in enumerate(self.alphabet):
-            self.klass[ord(x)] = i + 1
+            folded[ord(x)] = i + 1
+        self.klass = folded[lower]
         self.known: dict[tuple, int] = {(): 0}
         self.states: list[tuple] = [()]
-        width = len(self.alphabet) + 1
-        self.table = np.full((64, width), -1, np.int32)
+        self.table = np.full((64, len(self.alphabet) + 1), -1, np.int32)
         self.table[0] = 0
-        self.word_hit = [(-1, 9)]  # best term and edits if the word ends here
-        self.stem_hit = [(-1, 9)]  # best stem and edits if the word goes on or ends
+        self.best = [[(-1, 9)], [(-1, 9)]]  # of a state: best term and edits if the word ends here; best stem in any case
         self.start = self._state({0: 0})
 
     def _state(self, spent: dict[int, int]) -> int:
@@ -139,7 +148,7 @@ class Automaton:
         if number >= len(self.table):
             self.table = np.concatenate((self.table, np.full_like(self.table, -1)))
         hits = [(edits, t) for node, edits in key for t in self.ends[node] if edits <= edits_allowed(*self.terms[t])]
-        for out, stem in ((self.word_hit, False), (self.stem_hit, True)):
+        for out, stem in zip(self.best, (False, True)):
             edits, term = min(((e, t) for e, t in hits if self.terms[t][1] == stem), default=(9, -1))
             out.append((term, edits))
         return number
@@ -158,10 +167,11 @@ class Automaton:
                 offer(child, edits + (x != letter))
         self.table[state, klass] = self._state(spent) if spent else 0
 
-    def match(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
-        """Hits ``(word, term, edits)`` of folded words; the fewest edits count, then the earlier term."""
+    def match(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words that are hits, with term and edits; the fewest edits count, then the earlier term."""
         term, edits = np.full(len(starts), -1, np.int32), np.full(len(starts), 9, np.int8)
-        live, place, state = np.arange(len(starts)), starts.copy(), np.full(len(starts), self.start, np.int32)
+        live, place, state = np.arange(len(starts)), starts, np.full(len(starts), self.start, np.int32)
+        best, counted = [np.array(b) for b in self.best], len(self.states)
         while len(live):
             klass = self.klass[codes[place]]
             after = self.table[state, klass]
@@ -170,16 +180,19 @@ class Automaton:
                 for s, k in {*zip(state[unknown].tolist(), klass[unknown].tolist())}:
                     self._fill(s, k)
                 after = self.table[state, klass]
+                if len(self.states) > counted:
+                    best, counted = [np.array(b) for b in self.best], len(self.states)
             kept = after > 0
             live, place, state = live[kept], place[kept] + 1, after[kept]
             done = place == ends[live]
-            for hit, which in ((np.array(self.stem_hit), slice(None)), (np.array(self.word_hit), done)):
-                found = hit[state[which]]
-                own = live[which]
-                better = (found[:, 1] < edits[own]) | ((found[:, 1] == edits[own]) & (found[:, 0] >= 0) & (found[:, 0] < term[own]))
+            for hit, own, at in ((best[1], live, state), (best[0], live[done], state[done])):
+                met = hit[at, 0] >= 0
+                own, found = own[met], hit[at[met]]
+                better = (found[:, 1] < edits[own]) | ((found[:, 1] == edits[own]) & (found[:, 0] < term[own]))
                 term[own[better]], edits[own[better]] = found[better, 0], found[better, 1]
             live, place, state = live[~done], place[~done], state[~done]
-        return [(w, int(term[w]), int(edits[w])) for w in np.flatnonzero(term >= 0).tolist()]
+        words = np.flatnonzero(term >= 0)
+        return words, term[words], edits[words]
 
 
 def quotation(text: str, start: int, end: int) -> float:
@@ -196,19 +209,31 @@ class Scanner:
     """Finds the hits of a lexicon in texts."""
 
     def __init__(self, terms: list[tuple[str, bool]], clean: frozenset[str] = frozenset()):
-        self.letters, self.automaton, self.clean = Letters(), Automaton(terms), clean
-
-    def hits(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
-        """``(start, end, term, edits, quotation)`` of every hit; near-misses that are clean words are none."""
-        if not text or not self.automaton.terms:
-            return []
-        codes, starts, ends = self.letters.words(text)
-        out = []
-        for word, term, edits in self.automaton.match(codes, starts, ends):
-            a, b = int(starts[word]), int(ends[word])
-            if edits and codes[a:b].tobytes().decode("utf-32-le", "replace") in self.clean:
-                continue
-            out.append((a, b, term, edits, quotation(text, a, b)))
+        self.letters = Letters()
+        self.automaton, self.clean = Automaton(terms, self.letters.lower), clean
+
+    def scan(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int, float]]]:
+        """``(start, end, term, edits, quotation)`` of every hit in each text; near-misses that are clean words are
+        none. Texts are walked side by side, about ``SLICE_CHARS`` at a time."""
+        out: list[list[tuple[int, int, int, int, float]]] = [[] for _ in texts]
+        first = 0
+        while first < len(texts) and self.automaton.terms:
+            last, size = first, 0
+            while last < len(texts) and (last == first or size < SLICE_CHARS):
+                size += len(texts[last] or "") + 1
+                last += 1
+            part = [t or "" for t in texts[first:last]]
+            begins = np.cumsum([0, *(len(t) + 1 for t in part)])[:-1]
+            codes = np.frombuffer("\n".join(part).encode("utf-32-le", "replace"), np.uint32)
+            starts, ends = self.letters.borders(codes)
+            words, terms, edits = self.automaton.match(codes, starts, ends)
+            rows = np.searchsorted(begins, starts[words], "right") - 1
+            for row, a, b, term, spent in zip(rows.tolist(), starts[words].tolist(), ends[words].tolist(), terms.tolist(), edits.tolist()):
+                if spent and self.letters.fold(codes[a:b]) in self.clean:
+                    continue
+                a, b = a - int(begins[row]), b - int(begins[row])
+                out[first + row].append((a, b, term, spent, quotation(part[row], a, b)))
+            first = last
         return out
 
 
@@ -264,8 +289,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
     for batch in batches:
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            codes, starts, ends = letters.words(text)
-            counts[toxic > 0].update(features(codes.tobytes().decode("utf-32-le", "replace"), starts, ends))
+            counts[toxic > 0].update(features(*letters.words(text)))
         if len(counts[0]) + len(counts[1]) > 400_000:
             yield out()
     yield out()
@@ -277,9 +301,7 @@ def _presence_batches(wanted: dict[str, int]):
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                codes, starts, ends = letters.words(text)
-                found = features(codes.tobytes().decode("utf-32-le", "replace"), starts, ends)
-                rows.append(sorted(wanted[f] for f in found if f in wanted))
+                rows.append(sorted(wanted[f] for f in features(*letters.words(text)) if f in wanted))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["_toxic", "found"])
 
     return work
@@ -323,11 +345,11 @@ def _class_batches(terms: list[tuple[str, bool]], clean: frozenset[str], variant
         scanner = Scanner(terms, clean)
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                hits = scanner.hits(text)
+            texts = batch.column(1).to_pylist()
+            for text, hits in zip(texts, scanner.scan(texts)):
                 if variants:
-                    codes, _, _ = scanner.letters.words(text)
-                    rows.append(sorted({codes[a:b].tobytes().decode("utf-32-le", "replace") for a, b, _, e, _ in hits if e}))
+                    folded = scanner.letters.words(text)[0] if any(e for *_, e, _ in hits) else ""
+                    rows.append(sorted({folded[a:b] for a, b, _, e, _ in hits if e}))
                 else:
                     rows.append(sorted({f"{t}:{e}:{int(q >= 0.5)}" for _, _, t, e, q in hits}) or ["none"])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.string()))], ["_toxic", "found"])
@@ -388,8 +410,7 @@ def _score_batches(model: Model, keep: int):
         scanner = Scanner(model.terms, model.clean)
         for batch in batches:
             rows = []
-            for text in batch.column(keep).to_pylist():
-                hits = scanner.hits(text)
+            for hits in scanner.scan(batch.column(keep).to_pylist()):
                 score = model.weigh({(t, e, q >= 0.5) for _, _, t, e, q in hits})
                 rows.append({"score": score, "hits": [
                     {"start": a, "end": b, "term": model.terms[t][0], "edits": e, "quotation": q} for a, b, t, e, q in hits]})

@@ -254,17 +254,17 @@ def test_automaton_agrees_with_edit_distances():
             d = min(apart(w[:i], term) for i in range(1, len(w) + 1)) if stem else apart(w, term)
             if d <= toxicity.edits_allowed(term, stem):
                 best.append((d, k))
-        assert [(e, t) for _, _, t, e, _ in scanner.hits(w)] == ([min(best)] if best else []), w
+        assert [(e, t) for _, _, t, e, _ in scanner.scan([w])[0]] == ([min(best)] if best else []), w
 
 
 def test_places_and_quotation():
     scanner = toxicity.Scanner([("nitwit", False)])
     text = 'İ You NITWIT, you nitwlt! He said "nitwit" once.\nn*twit'
-    hits = scanner.hits(text)
+    hits = scanner.scan([None, text, ""])[1]
     assert [text[a:b] for a, b, *_ in hits] == ["NITWIT", "nitwlt", "nitwit", "n*twit"]
     assert [e for *_, e, _ in hits] == [0, 1, 0, 1]
     assert [q >= 0.5 for *_, q in hits] == [False, False, True, False]
-    assert toxicity.Scanner([("nitwit", False)], frozenset({"nitwlt"})).hits("nitwlt") == []
+    assert toxicity.Scanner([("nitwit", False)], frozenset({"nitwlt"})).scan(["nitwlt"]) == [[]]
 
 
 @pytest.fixture(scope="module")
