@@ -14,6 +14,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+MIN_LINES = 5  # a line that comes twice in a shorter text is no sign of junk
 # The commonest function words of the languages that the rules know; a text in any of them passes.
 STOP_WORDS = (
     "the of and to in a is that it for on was with as be at by this "
@@ -39,7 +40,7 @@ RULES = (
     Rule("symbols_per_word", "symbol_ratio", None, 0.10),
     Rule("capital_letters", "capital_ratio", None, 0.40),
     Rule("stop_words", "stop_ratio", 0.02, None, 50),
-    Rule("repeated_lines", "dup_line_ratio", None, 0.30),
+    Rule("repeated_lines", "dup_line_ratio", None, 0.30),  # of texts with MIN_LINES lines or more
 )
 
 
@@ -100,7 +101,8 @@ def measures(text: str = "text") -> Column:
             r["n_dup_lines"].alias("n_dup_lines"), c["n_repeat_words"].alias("n_repeat_words"),
             per(n_chars, n).alias("mean_word_chars"), per(symbols, n).alias("symbol_ratio"),
             per(F.regexp_count(t, F.lit(r"\p{Lu}")), n_letters).alias("capital_ratio"),
-            per(c["n_stop_words"], n).alias("stop_ratio"), per(r["n_dup_lines"], r["n_lines"]).alias("dup_line_ratio"),
+            per(c["n_stop_words"], n).alias("stop_ratio"),
+            F.when(r["n_lines"] >= MIN_LINES, r["n_dup_lines"] / r["n_lines"]).otherwise(F.lit(0.0)).alias("dup_line_ratio"),
         )
 
     return let(

@@ -86,7 +86,7 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND word_chars / n_words BETWEEN 2.0 AND 14.0 AND n_symbols / n_words <= 0.10
        AND (letters = 0 OR capitals / letters <= 0.40) AND (n_words < 50 OR stops / n_words >= 0.02)
-       AND (n_lines = 0 OR n_dup_lines / n_lines <= 0.30) AS kept
+       AND (n_lines < 5 OR n_dup_lines / n_lines <= 0.30) AS kept
 FROM b
 """
 
