@@ -25,7 +25,10 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 PREFIXED = {"ghp_": 36, "gho_": 36, "ghu_": 36, "ghs_": 36, "ghr_": 36, "npm_": 36}
 PREFIX_BODY = re.compile(r"[A-Za-z0-9]+")
 SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-PRIVATE_KEY = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+SIGNED_RUN = re.compile(r"[A-Za-z0-9_-]*")
+# Header lines such as Proc-Type may stand before the body of a key.
+PRIVATE_KEY = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----[\x20\t\r]*\n?((?:[A-Za-z0-9-]+:[^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+OPENSSH_MAGIC = b"openssh-key-v1\0"
 DIGITS62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 KINDS = ("assign", "access", "hex", "checksum", "signed", "private_key")
 
@@ -58,11 +61,38 @@ def whole_der(blob: bytes | None) -> bool:
     return len(blob) == int.from_bytes(blob[2 : 2 + n], "big") + 2 + n
 
 
+def whole_openssh(blob: bytes | None) -> bool:
+    """The magic, then fields that state their lengths: cipher, key derivation and its options, the number of keys,
+    each public key, and the private part, which ends the block."""
+    if not blob or not blob.startswith(OPENSSH_MAGIC):
+        return False
+    at, keys = len(OPENSSH_MAGIC), 0
+
+    def field() -> None:
+        nonlocal at
+        at += 4 + int.from_bytes(blob[at : at + 4], "big")
+
+    for _ in range(3):
+        field()
+    keys, at = int.from_bytes(blob[at : at + 4], "big"), at + 4
+    while keys and at < len(blob):
+        field()
+        keys -= 1
+    field()
+    return keys == 0 and at == len(blob)
+
+
+def whole_key(headers: str, body: str) -> bool:
+    """An encrypted body (it has header lines) must be whole blocks; others state their own length."""
+    blob = _base64_bytes(body)
+    return (bool(blob) and len(blob) % 8 == 0) if "ENCRYPTED" in headers else whole_der(blob) or whole_openssh(blob)
+
+
 def signed_header(token: str) -> bool:
     part = token.partition(".")[0]
     try:
         head = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):  # no header is nested a thousand deep
         return False
     return isinstance(head, dict) and "alg" in head
 
@@ -100,9 +130,11 @@ def scan(text: str, machine) -> list[Span]:
         elif word == "eyj":
             kind, found = 4, SIGNED.match(text, at) if at >= done[4] else None
             good = found and signed_header(found[0])
+            if not found and at >= done[4] and text.startswith("eyJ", at):  # then nothing in the rest of this run matches
+                done[4] = SIGNED_RUN.match(text, at).end()
         else:
             kind, found = 5, PRIVATE_KEY.match(text, at) if at >= done[5] else None
-            good = found and whole_der(_base64_bytes(found[2]))
+            good = found and whole_key(found[2], found[3])
         if found:
             done[kind] = found.end()
             if good:
