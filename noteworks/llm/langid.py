@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,10 +25,14 @@ EXHAUSTIVE_UP_TO = 7
 UNKNOWN = "und"
 
 
-@lru_cache(maxsize=1)
+_TABLES: dict[str, np.ndarray] = {}  # filled once a process; a plain dictionary travels to workers by value
+
+
 def letters() -> np.ndarray:
     """Whether each code point is a letter."""
-    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    if "letters" not in _TABLES:
+        _TABLES["letters"] = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    return _TABLES["letters"]
 
 
 def ngrams(text: str | None) -> np.ndarray:
