@@ -174,22 +174,33 @@ def _joined_runs(label: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches come sorted by key; the last run of a batch waits for the next one."""
-    keys, prints = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
     def out(links: np.ndarray) -> pa.RecordBatch:
         pairs = np.ascontiguousarray(links).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(parts) for parts in zip(*waiting))
+
     for batch in batches:
-        keys = np.concatenate((keys, batch.column(0).to_numpy(zero_copy_only=False)))
-        prints = np.concatenate((prints, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-        if len(keys):
-            whole = np.searchsorted(keys, keys[-1], "left")
-            if whole:
-                yield out(spanning_links(keys[:whole], prints[:whole]))
-                keys, prints = keys[whole:], prints[whole:]
-    if len(keys):
-        yield out(spanning_links(keys, prints))
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        prints = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        if not len(keys):
+            continue
+        last = np.searchsorted(keys, keys[-1], "left")
+        if waiting and (last or keys[0] != waiting[0][0][0]):  # the run that waits ends here
+            begun = np.searchsorted(keys, waiting[0][0][0], "right") if keys[0] == waiting[0][0][0] else 0
+            waiting.append((keys[:begun], prints[:begun]))
+            yield out(spanning_links(*joined()))
+            waiting.clear()
+            if begun < last:
+                yield out(spanning_links(keys[begun:last], prints[begun:last]))
+        elif last:
+            yield out(spanning_links(keys[:last], prints[:last]))
+        waiting.append((keys[last:], prints[last:]))
+    if waiting:
+        yield out(spanning_links(*joined()))
 
 
 def link_prints(prints: DataFrame) -> DataFrame:
