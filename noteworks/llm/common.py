@@ -38,16 +38,33 @@ def fold(key: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, *named: str) -> DataFrame:
+    """The ``named`` columns as they are and all others in one struct ``_rest`` with plain field names, so that no
+    name of theirs can meet one that an operator adds."""
+    rest = [quoted(c).alias(f"c{i}") for i, c in enumerate(df.columns) if c not in named]
+    return df.select(*named, F.struct(*rest, F.lit(True).alias("_")).alias("_rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str], *named: str) -> DataFrame:
+    """The table with ``columns`` that ``packed`` was made of."""
+    return df.select(*[F.col(c) if c in named else F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def row_key(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Add a hash of the whole row: rows with the same key are the same in every column."""
-    return df.withColumn(name, F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    """Add a 128-bit digest of the whole row: rows with the same key are the same in every column."""
+    return df.withColumn(name, F.md5(F.to_json(F.struct(*[quoted(c) for c in df.columns])).cast("binary")))
 
 
 def take_rows(keyed: DataFrame, takes: DataFrame, name: str = "_row") -> DataFrame:
-    """Rows of ``keyed`` as often as told. ``takes`` has for each row key the rows that share it (``rows``) and
-    how many of them go out in all (``copies``); keys it lacks go. Only repeated rows are gathered."""
-    met = keyed.join(takes, name).where("copies > 0")
-    single = met.where("rows = 1")
-    repeated = met.where("rows > 1").dropDuplicates([name])
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return single.union(repeated).withColumn("_copy", copies).drop(name, "rows", "copies", "_copy")
+    """Rows of ``keyed`` as often as told. ``takes`` has for each row key the rows that share it (``_rows``) and
+    how many of them go out in all (``_copies``); keys it lacks go. Only repeated rows are gathered."""
+    met = keyed.join(takes, name).where("_copies > 0")
+    single = met.where("_rows = 1")
+    repeated = met.where("_rows > 1").dropDuplicates([name])
+    copies = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
+    return single.union(repeated).withColumn("_copy", copies).drop(name, "_rows", "_copies", "_copy")

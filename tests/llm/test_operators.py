@@ -234,69 +234,176 @@ def test_hilbert(spark, docs, empty):
     assert hilbert.shard_rows(empty).count() == 0
 
 
-def test_pipeline_stages(spark, docs, empty):
-    import corpus_pipeline as pipeline
+def test_secrets_survive_hostile_texts():
+    import base64
+    import time
 
-    text = " ".join(f"the w{i}" for i in range(40))
-    rows = [(i, f"{text} {'x' * i}" if i < 3 else f"{text} of n{i} token=abcdefghijklmnop{i}", "en", "s", 1) for i in range(12)]
-    table = spark.createDataFrame([*rows, rows[5], (20, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = pipeline.quality_rules(spark, table, "")
-    assert kept.columns == table.columns and kept.count() == 13
-    single = pipeline.near_dedup(spark, kept, "")
-    groups = {r.component_id for r in simhash.near_duplicates(kept).collect()}
-    assert sorted(r.doc_id for r in single.collect()) == sorted(groups) and single.columns == table.columns
-    clean = pipeline.mask_secrets(spark, single, "")
-    assert clean.count() == len(groups) and not clean.where("text like '%abcdefgh%'").count()
-    mixed = pipeline.mix_sources(spark, clean, "")
-    assert mixed.columns == table.columns and set(mixed.select("doc_id").toPandas()["doc_id"]) <= groups
-    assert pipeline.encode_pieces(spark, mixed, "").where("ids is null").count() == 0
-
-
-def near_texts() -> list[str]:
-    """Texts of many lengths, with copies whose words are changed at places so that likenesses spread over 0.5 to 1."""
-    rng = random.Random(11)
-    line = " ".join(f"licence{i}" for i in range(30))
-    out = [line] * 2
-    for _ in range(25):
-        words = [f"w{rng.randint(0, 400)}" for _ in range(rng.choice([3, 5, 12, 60, 200, 700]))]
-        out.append(" ".join(words))
-        for _ in range(rng.randint(0, 4)):
-            other = list(words)
-            for at in rng.sample(range(len(words)), max(1, rng.randint(0, len(words) // 25))):
-                other[at] = f"new{rng.randint(0, 9)}"
-            out.append(" ".join(other))
-        if rng.random() < 0.4:
-            out.append(line + " " + " ".join(words[:4]))
-    return out
-
-
-def near_groups(values) -> list[set[int]]:
-    """Brute force: components of all pairs whose sets of five-word shingles have a Jaccard likeness of 0.8 or more."""
-    def cut(text):
-        w = (text or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    machine = secrets.automaton()
 
-    sets = [cut(v) for v in values]
-    group = [{i} for i in range(len(values))]
-    for i, a in enumerate(sets):
+    def block(kind: str, blob: bytes, headers: str = "") -> str:
+        return f"-----BEGIN {kind}-----\n{headers}{base64.b64encode(blob).decode()}\n-----END {kind}-----"
+
+    def field(data: bytes) -> bytes:
+        return len(data).to_bytes(4, "big") + data
+
+    openssh = secrets.OPENSSH_MAGIC + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 51) + field(b"s" * 136)
+    for text in (block("OPENSSH PRIVATE KEY", openssh), block("RSA PRIVATE KEY", b"\x30\x05hello"),
+                 block("RSA PRIVATE KEY", b"e" * 64, "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n")):
+        assert secrets.listed(secrets.scan("a " + text, machine)) == f"private_key:2:{2 + len(text)}"
+    assert secrets.scan(block("OPENSSH PRIVATE KEY", openssh[:-1]), machine) == []
+    deep = base64.urlsafe_b64encode(b"[" * 90_000).decode().rstrip("=")
+    head = base64.urlsafe_b64encode(b'{"alg": "x"}').decode().rstrip("=")
+    signed = f"{head}.eyJx.y"
+    assert secrets.listed(secrets.scan(f"EYJa{signed}", machine)) == f"signed:4:{4 + len(signed)}"
+    begin = time.time()
+    hostile = ("eyJ" * 300_000, "eyJ" * 300_000 + ".eyJx", f"eyJ{deep}.eyJx.y", "token" + " " * 1_000_000, "token" * 200_000,
+               "-----BEGIN PRIVATE KEY-----\n" * 40_000, "-----BEGIN PRIVATE KEY-----\n" + "a:b\n" * 200_000)
+    assert all(secrets.scan(text, machine) == [] for text in hostile)
+    assert time.time() - begin < 10
+
+
+def test_langid_functions_travel_by_value(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    langid.letters()
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(langid.ngrams))
+    code = "import pickle, sys; print(len(pickle.load(open(sys.argv[1], 'rb'))('ab c')))"
+    done = subprocess.run([sys.executable, "-c", code, tmp_path / "f"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
+    assert done.stdout.strip() == str(len(langid.ngrams("ab c"))), done.stderr
+
+
+# ---- the pipeline: every stage against plain Python -----------------------------------------------
+
+PIPELINE = "doc_id long, text string, lang string, source string, n_chars long, copies long, rows int, quality string, secrets string, ids int, `a.b` string, _row string"
+
+
+
+def pipeline_rows() -> list[tuple]:
+    rng = random.Random(21)
+    stops = ["the", "of", "and", "is", "with"]
+    out = []
+
+    def text(n: int) -> str:
+        return " ".join(rng.choice(stops) if i % 3 == 0 else f"word{rng.randint(0, 3000)}x" for i in range(n))
+
+    for i in range(60):
+        own = text(rng.choice([5, 30, 200]))
+        out.append((i, own))
+        if i % 4 == 0:
+            out.append((1000 - i, own))  # an exact copy
+        if i % 5 == 0:
+            out.append((2000 + i, own + f" tail{i}"))  # a near one
+        if i % 6 == 0:
+            out.append((3000 + i, own + " token=abcdefghijklmnop AKIA" + "A1B2" * 4))
+    out += [(4000, None), (4001, ""), (None, text(40)), (None, None), (4002, text(40_000)), (4003, "\n".join([text(30)] * 2 + [text(5)]))]
+    rows = [(d, t, rng.choice(["en", None]), rng.choice(["a", "b", "c", None]), None if t is None else len(t), 7, 8, "q", "s", 9, "dot", "r") for d, t in out]
+    return rows + [rows[3], rows[40], rows[40]]
+
+
+def kept_by_rules(text: str | None) -> bool:
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    repeats = len({i + j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(8)})
+    if len(w) < 20 or 100 * repeats > 30 * len(w):
+        return False
+    letters = [c for c in text if c.isalpha()]
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (2 <= sum(map(len, w)) / len(w) <= 14 and sum(c in "#*$%&|<>" for c in text) <= 0.1 * len(w)
+            and sum(c.isupper() for c in letters) <= 0.4 * len(letters)
+            and (len(w) < 50 or sum(x.lower() in quality.STOP_WORDS for x in w) >= 0.02 * len(w))
+            and (len(lines) < 5 or len(lines) - len(set(lines)) <= 0.3 * len(lines)))
+
+
+def simhash_mark(text: str | None) -> int:
+    w = (text or "").encode().lower().split()
+    parts = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(p, 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def deduplicated(rows: list[tuple]) -> list[int | None]:
+    """The doc_id that stays of each group."""
+    marks = [simhash_mark(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
         for j in range(i):
-            if group[i] is not group[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
-                group[i] |= group[j]
-                for k in group[i]:
-                    group[k] = group[i]
-    return group
+            if (marks[i] ^ marks[j]).bit_count() <= 3 and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return [min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in sorted(set(group))]
+
 
+def masked_text(text: str | None) -> str | None:
+    if text is None:
+        return None
+    return re.sub(r"(?:token=[a-z]{12,}|AKIA[A-Z0-9]{14,})", "[secret]", text)
 
-def test_pipeline_near_dedup(spark, monkeypatch):
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as pipeline
+
+    rows = pipeline_rows()
+    docs = spark.createDataFrame(rows, PIPELINE)
+    names = docs.columns
+    kept = pipeline.quality_rules(spark, docs, "")
+    want = [r for r in rows if kept_by_rules(r[1])]
+    assert kept.columns == names and Counter(map(tuple, kept.collect())) == Counter(want) and 60 < len(want) < len(rows) - 10
+
+    single = pipeline.near_dedup(spark, docs, "")
+    got = [tuple(r) for r in single.collect()]
+    ids = deduplicated(rows)
+    assert single.columns == names and Counter(r[0] for r in got) == Counter(ids) and set(got) <= set(rows)
+    assert len(ids) < len(rows) - 20
+    assert Counter(r[0] for r in pipeline.near_dedup(spark, kept, "").collect()) == Counter(deduplicated(want))
+
+    clean = pipeline.mask_secrets(spark, docs, "")
+    expected = [(r[0], masked_text(r[1]), *r[2:4], None if r[1] is None else len(masked_text(r[1])), *r[5:]) for r in rows]
+    assert clean.columns == names and Counter(map(tuple, clean.collect())) == Counter(expected)
+
+    mixed = pipeline.mix_sources(spark, docs, "")
+    taken = Counter(map(tuple, mixed.collect()))
+    assert mixed.columns == names and set(taken) <= set(rows)
+    assert all(n <= 3 * rows.count(r) for r, n in taken.items())
+    words = {s: sum(len((r[1] or "").split()) for r in rows if r[3] == s) for s in ("a", "b", "c", None)}
+    goal = dict(zip(("a", "b", "c", None), (5, 2, 1, 5)))
+    open_, share, left = set(goal), {}, sum(words.values())
+    while True:
+        level = left / sum(goal[s] for s in open_)
+        over = {s for s in open_ if level * goal[s] > 3 * words[s]}
+        if not over:
+            break
+        for s in over:
+            share[s] = 3 * words[s]
+            left -= share[s]
+        open_ -= over
+    share |= {s: level * goal[s] for s in open_}
+    longest = max(len((r[1] or "").split()) for r in rows)
+    for s in goal:
+        assert abs(sum(n * len((r[1] or "").split()) for r, n in taken.items() if r[3] == s) - share[s]) <= longest
+
+    encoded = pipeline.encode_pieces(spark, docs, "")
+    assert encoded.columns == ["doc_id", "lang", "source", "n_chars", "copies", "rows", "quality", "secrets", "own_ids", "a.b", "_row", "ids", "n_pieces"]
+    back = pieces.decode(encoded.select("doc_id", "ids"), vocabulary_path()).collect()
+    assert Counter(map(tuple, back)) == Counter((r[0], r[1]) for r in rows)
+    assert all((r.n_pieces is None) if r.ids is None else r.n_pieces == len(r.ids) for r in encoded.collect())
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+
+
+def test_pipeline_as_a_whole(spark, tmp_path):
     import corpus_pipeline as pipeline
-    from noteworks.llm import likeness
-
-    values = [None, "", *near_texts()]
-    rows = [(i, v, "en", "s", 1) for i, v in enumerate(values)]
-    table = spark.createDataFrame([*rows, rows[5], rows[9]], "doc_id long, text string, lang string, source string, n_chars long")
-    want = sorted({min(g) for g in near_groups(values)})
-    assert 20 < len(want) < len(values) - 20
-    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, table, "").collect()) == want
-    monkeypatch.setattr(likeness, "COMMON", 3)  # other shingles come last: the result stays
-    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, table, "").collect()) == want
-    assert pipeline.near_dedup(spark, table.limit(0), "").count() == 0
+
+    rows = pipeline_rows()
+    spark.createDataFrame(rows, PIPELINE).write.parquet(f"{tmp_path}/documents.parquet")
+    out = pipeline.run(spark, str(tmp_path))
+    back = pieces.decode(out.select("doc_id", "ids"), vocabulary_path()).collect()
+    want = [r for r in rows if kept_by_rules(r[1])]
+    ids = set(deduplicated(want))
+    texts_of = {}
+    for r in want:
+        texts_of.setdefault(r[0], set()).add(masked_text(r[1]))
+    assert back and all(r.doc_id in ids and r.text in texts_of[r.doc_id] for r in back)
+    assert max(Counter(r.doc_id for r in back).values()) <= 3
