@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteworks.llm import common, likeness, mixing, pieces, quality, secrets
+from noteworks.llm import common, mixing, pieces, quality, secrets, simhash
 from noteworks.llm.queries import vocabulary_path
 from noteworks.session import cut_lineage
 
@@ -14,46 +14,44 @@ SECRET_MASK = "[secret]"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return quality.apply_rules(docs).where("quality.kept").select(*docs.columns)
+    judged = quality.apply_rules(common.packed(docs, "text"))
+    return common.unpacked(judged.where("quality.kept"), docs.columns, "text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least doc_id (of equal ids, the least row).
-
-    Near copies share at least four fifths of their five-word shingles, exactly; the 3-bit reach of op1's query is
-    that query's contract and not used here.
-    """
-    keyed = common.row_key(docs)
-    grouped = likeness.near_copies(keyed, ["doc_id", "_row"])
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
-    keep = grouped.groupBy("group").agg(F.min(first).alias("first"))
-    rows = keep.select(F.col("first._row").alias("_row"))
-    same = grouped.groupBy("_row").agg(F.count("*").alias("rows"))
-    return common.take_rows(keyed, rows.join(same, "_row").withColumn("copies", F.lit(1))).select(*docs.columns)
+    """One document of each group of ``simhash.near_duplicates`` (three-word shingles, up to three differing bits):
+    the one with the least doc_id; of equal ids, and where no document of a group has one, the row with the least
+    digest. Of repeated rows one stays."""
+    keyed = common.row_key(common.packed(docs, "doc_id", "text"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    grouped = simhash.near_duplicates(keyed.select("text", first.alias("first")), ["first"], key="first")
+    keep = grouped.where(F.col("first") == F.col("component_id")).groupBy(F.col("first.row").alias("_row")).agg(F.count("*").alias("_rows"))
+    return common.unpacked(common.take_rows(keyed, keep.withColumn("_copies", F.lit(1))), docs.columns, "doc_id", "text")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret in them replaced by a mark; n_chars follows the text."""
-    scanned = secrets.scan_secrets(docs, mask=SECRET_MASK)
-    text = F.col("secrets.clean_text")
+    scanned = secrets.scan_secrets(common.packed(docs, "text", "n_chars"), mask=SECRET_MASK)
     changed = F.col("secrets.spans") != ""
-    new = {"text": text, "n_chars": F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars"))}
-    return scanned.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    clean = scanned.withColumn("n_chars", F.when(changed, F.length("secrets.clean_text").cast("long")).otherwise(F.col("n_chars")))
+    return common.unpacked(clean.withColumn("text", F.col("secrets.clean_text")), docs.columns, "text", "n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: sources come near their target shares of all words."""
-    keyed = common.row_key(docs)
+    keyed = common.row_key(common.packed(docs, "text", "source"))
     sized = keyed.select(F.col("_row").alias("id"), "source", common.word_count(common.text_or_empty()).alias("size"))
     mixed = mixing.mix_sources(sized).groupBy(F.col("id").alias("_row")).agg(
-        F.count("*").alias("rows"), F.sum("copies").alias("copies"))
-    return common.take_rows(keyed, mixed).select(*docs.columns)
+        F.count("*").alias("_rows"), F.sum("copies").alias("_copies"))
+    return common.unpacked(common.take_rows(keyed, mixed), docs.columns, "text", "source")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as piece ids, without the text, which the ids give back."""
-    encoded = pieces.encode(docs, vocabulary_path())
-    return encoded.withColumn("n_pieces", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")))
+    """All documents as piece ids ``ids`` and their number ``n_pieces``, without the text, which the ids give back.
+    Own columns of these names leave as ``own_ids`` and ``own_n_pieces``."""
+    encoded = pieces.encode(common.packed(docs, "text"), vocabulary_path())
+    rest = [F.col(f"_rest.c{i}").alias(f"own_{c}" if c in ("ids", "n_pieces") else c) for i, c in enumerate(docs.columns) if c != "text"]
+    return encoded.select(*rest, "ids", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")).alias("n_pieces"))
 
 
 STAGES = [
