@@ -55,6 +55,35 @@ def _find_spans(text: Column, pat: Column) -> Column:
     return F.when(F.rlike(text, pat), spans).otherwise(no_spans())
 
 
+# Marks that enclose matches while offsets are counted; such characters of the text itself are blotted out.
+OPEN_MARK, CLOSE_MARK, BLOT = "\ue000", "\ue001", "\ufffd"
+
+
+def marked_spans(text: Column, pattern: str, group: int = 0) -> Column:
+    """As ``find_spans`` for a literal pattern of any size, which is compiled once a task.
+
+    The matches are marked in one pass and the marked text is cut at a plain character. With ``group`` a match is
+    what that group saw; inside a lookahead it may overlap the next one, and the text itself stays where it is.
+    """
+    inserted = group > 0  # a lookahead consumes nothing, so its match is written in front of the text it saw
+    bare = F.translate(text, OPEN_MARK + CLOSE_MARK, BLOT * 2)
+    marked = F.regexp_replace(bare, F.lit(pattern), F.lit(f"{OPEN_MARK}${group}{CLOSE_MARK}"))
+
+    def cut(pieces: Column) -> Column:
+        start = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), no_spans().alias("out"))
+
+        def step(acc: Column, piece: Column) -> Column:
+            hit = F.substring_index(piece, CLOSE_MARK, 1)
+            stop = acc["at"] + F.length(hit)
+            span = F.struct(hit.alias("match"), acc["at"].alias("start"), stop.alias("end"))
+            rest = F.length(piece) - F.length(hit) - 1
+            return F.struct(((acc["at"] if inserted else stop) + rest).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+        return F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, step, lambda acc: acc["out"])
+
+    return let(F.split(marked, OPEN_MARK, -1), lambda p: F.when(F.size(p) > 1, cut(p)).otherwise(no_spans()))
+
+
 def context(text: Column, start: Column, end: Column, width: int) -> Column:
     """The text from ``width`` characters before a span to ``width`` after it."""
     left = F.greatest(start - width, F.lit(0))

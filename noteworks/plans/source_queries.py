@@ -12,7 +12,7 @@ from noteworks.operators import privacy as P
 from noteworks.plans import tables as t
 from noteworks.plans.registry import query
 from noteworks.plans.tables import with_tables
-from noteworks.plans.text_queries import MATCHED, _aliases, _matches
+from noteworks.plans.text_queries import _ALIAS_VALUES, MATCHED, _aliases, _matches
 from noteworks.session import ensure_checkpoint_dir
 from noteworks.sources import notes as N
 from noteworks.sources import profile as Pr
@@ -123,7 +123,20 @@ def detect_concepts(spark, folder):
     return found.select("note_id", "concept_id", "matched_alias", "span_start", "detection_method", "confidence")
 
 
-@query("match_concepts_longest_first")
+@query("match_concepts_longest_first", with_tables("notes", f"""
+, alias_map(alias, concept_id) AS (VALUES {_ALIAS_VALUES}),
+tokens AS (SELECT note_id, client_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS tok FROM (
+  SELECT note_id, client_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS w FROM notes)),
+placed AS (SELECT *, sum(length(tok)) OVER p - length(tok) AS s, lead(tok, 1) OVER p AS t2, lead(tok, 2) OVER p AS t3 FROM tokens
+           WINDOW p AS (PARTITION BY note_id ORDER BY i)),
+grams AS (SELECT note_id, client_id, s, unnest([tok, tok || t2 || t3]) AS alias FROM placed),
+cand AS (SELECT note_id, client_id, list([{{'a': alias, 's': s, 'e': s + length(alias)}}] ORDER BY length(alias) DESC, alias, s) AS c
+         FROM grams JOIN alias_map USING (alias) WHERE length(alias) >= 2 GROUP BY note_id, client_id),
+kept AS (SELECT note_id, client_id, unnest(list_reduce(c, lambda acc, x: CASE
+           WHEN len(list_filter(acc, lambda k: k.s < x[1].e AND k.e > x[1].s)) > 0 OR len(list_filter(acc, lambda k: k.a = x[1].a)) >= 3
+           THEN acc ELSE list_concat(acc, x) END)) AS k FROM cand)
+SELECT note_id, client_id, k.a AS matched_alias, CAST(k.s AS INTEGER) AS span_start, CAST(k.e AS INTEGER) AS span_end, concept_id
+FROM kept JOIN alias_map ON alias = k.a"""))
 def match_concepts_longest_first(spark, folder):
     """Other precedence, checked against a plain loop in the tests."""
     return C.match_aliases_longest_first(t.notes(spark, folder), _aliases(spark))
