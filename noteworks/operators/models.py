@@ -22,15 +22,32 @@ from pyspark.sql import functions as F
 
 from noteworks.functions.rules import cut_risk_level, cut_risk_segment, cut_value_segment
 from noteworks.operators import features as X
-from noteworks.operators.ranking import quartile_segment
+from noteworks.operators.ranking import global_index, quartile_segment
+from noteworks.session import cut_lineage
 
 
-def split(rows: DataFrame, key: str = "client_id", test: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows by a hash of the key: stable under repartitioning, and even within every label."""
+def split(rows: DataFrame, key: str = "client_id", test: float = 0.2, seed: int = 42, label: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows by a hash of the key, stable under repartitioning. With ``label`` the share is exact
+    within every label (to the nearest row); keys must be unique then."""
+    if label is not None:
+        marked = rows.join(stratified_marks(rows, key, label, test, seed), key)
+        return marked.where(~F.col("_test")).drop("_test"), marked.where("_test").drop("_test")
     bucket = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) / 10_000
     return rows.where(bucket >= test), rows.where(bucket < test)
 
 
+def stratified_marks(rows: DataFrame, key: str, label: str, test: float, seed: int) -> DataFrame:
+    """``key, _test``: the first ``test`` of every label in the order of a hash of the key.
+
+    Places come from one global order of label and hash, so a label that holds most rows spreads over tasks.
+    """
+    hashed = rows.select(key, F.col(label).alias("_label"), F.xxhash64(key, F.lit(seed)).alias("_hash"))
+    placed = global_index(hashed, ["_label", "_hash", key], "_at")
+    sizes = placed.groupBy("_label").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")).withColumnRenamed("_label", "_l")
+    own = placed.join(sizes, F.col("_label").eqNullSafe(F.col("_l")))
+    return cut_lineage(own.select(key, (F.col("_at") - F.col("_first") < F.round(F.col("_n") * test)).alias("_test")))
+
+
 def ordered(rows: DataFrame, key: str = "client_id") -> DataFrame:
     """Range-partitioned and sorted by key, so that a seeded fit sees the same rows in the same order."""
     return rows.repartitionByRange(key).sortWithinPartitions(key)
@@ -69,14 +86,14 @@ def _importances(model: PipelineModel, top: int = 10) -> list[tuple[int, float]]
 
 
 def train_purchase(rows: DataFrame, trees: int = 100, depth: int = 10, label: str = "purchased", seed: int = 42) -> tuple[PipelineModel, dict]:
-    train, test = split(rows)
+    train, test = split(rows, label=label)
     forest = RandomForestClassifier(featuresCol="scaled", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
     model = _pipeline(forest).fit(ordered(train))
     return model, {**classification_metrics(model.transform(test), label), "importances": _importances(model)}
 
 
 def train_churn(rows: DataFrame, trees: int = 100, depth: int = 10, label: str = "churned", seed: int = 42) -> tuple[PipelineModel, dict]:
-    train, test = split(rows)
+    train, test = split(rows, label=label)
     forest = RandomForestClassifier(featuresCol="scaled", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)
     model = _pipeline(forest).fit(ordered(balanced_weights(train, label)))
     return model, classification_metrics(model.transform(test), label)
@@ -105,7 +122,7 @@ def _vote(models: list[PipelineModel], rows: DataFrame, key: str, value: Column,
 
 def ensemble_classifier(rows: DataFrame, label: str, trees: int = 100, depth: int = 10, seed: int = 42) -> tuple[list[PipelineModel], dict]:
     """Forest, boosted trees and logistic regression; the vote averages their probabilities."""
-    train, test = split(rows)
+    train, test = split(rows, label=label)
     data = ordered(train)
     kinds = [
         RandomForestClassifier(featuresCol="scaled", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed),
@@ -145,7 +162,7 @@ def vote_values(models: list[PipelineModel], rows: DataFrame, key: str = "client
 def model_search(rows: DataFrame, label: str, draws: int = 10, folds: int = 3, seed: int = 42) -> tuple[str, PipelineModel, dict[str, dict]]:
     """Random draws of parameters per model family, cross-validated; the best family by AUC wins."""
     rng = random.Random(seed)
-    train, test = split(rows)
+    train, test = split(rows, label=label)
     data = ordered(train)
     forest = RandomForestClassifier(featuresCol="scaled", labelCol=label, seed=seed)
     boosted = GBTClassifier(featuresCol="scaled", labelCol=label, seed=seed)

@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 
 from noteworks.operators import actions as A
 from noteworks.operators import dashboard as D
+from noteworks.operators import models as M
+from noteworks.operators import nested as N
 from noteworks.operators import ranking as R
 from noteworks.operators import state as S
+from noteworks.operators.quantiles import exact_quantiles
 from noteworks.plans import tables as t
 from noteworks.plans.registry import query
 from noteworks.plans.tables import with_tables
+from noteworks.session import literal_table
 
 AS_OF = "2025-01-15"
 # Radar dimensions over the catalogue words of the sample data.
@@ -783,3 +787,41 @@ def complete_actions(spark, folder):
 def prediction_projection(spark, folder):
     rows = t.read(spark, folder, "customer").withColumn("root", F.sqrt("c_acctbal"))
     return D.prediction_projection(rows, ("c_custkey", "root", "missing"))
+
+
+_PAGE = 20
+
+
+@query("list_clients_nested", with_tables("clients client_actions", f""",
+shown AS (SELECT * FROM clients WHERE NOT is_deleted),
+c AS (SELECT client_id, label || '~' || span_start AS item, row_number() OVER (PARTITION BY client_id ORDER BY note_id, span_start, label, matched_alias) - 1 AS pos FROM client_concepts),
+a AS (SELECT client_id, action_id || '~' || priority || '~' || is_completed AS item, row_number() OVER (PARTITION BY client_id
+        ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, created_on, action_id) - 1 AS pos FROM client_actions),
+cp AS (SELECT client_id, pos // {_PAGE} AS page, string_agg(item, '|' ORDER BY pos) AS items FROM c GROUP BY ALL),
+ap AS (SELECT client_id, pos // {_PAGE} AS page, string_agg(item, '|' ORDER BY pos) AS items FROM a GROUP BY ALL),
+pages AS (SELECT client_id, page FROM cp UNION SELECT client_id, page FROM ap UNION SELECT client_id, 0 FROM shown)
+SELECT client_id, page, coalesce(language, 'FR') AS language, CASE WHEN top_concepts IS NULL THEN 0 ELSE len(string_split(top_concepts, '|')) END AS n_top,
+       (SELECT count(*) FROM c WHERE c.client_id = shown.client_id) AS n_concepts, (SELECT count(*) FROM a WHERE a.client_id = shown.client_id) AS n_actions,
+       coalesce(cp.items, '') AS concepts, coalesce(ap.items, '') AS actions
+FROM shown JOIN pages USING (client_id) LEFT JOIN cp USING (client_id, page) LEFT JOIN ap USING (client_id, page)"""))
+def list_clients_nested(spark, folder):
+    """Clients with their concepts and actions inside, twenty of each a row."""
+    listed = N.list_clients(t.clients(spark, folder), t.client_concepts(spark, folder), t.client_actions(spark, folder), page=_PAGE)
+    concepts = F.transform("concepts", lambda c: F.concat_ws("~", c["concept"], c["span_start"]))
+    actions = F.transform("actions", lambda a: F.concat_ws("~", a["action_id"], a["priority"], a["is_completed"]))
+    return listed.select("client_id", "page", "language", F.size("top_concepts").cast("bigint").alias("n_top"), "n_concepts", "n_actions",
+                         F.array_join(concepts, "|").alias("concepts"), F.array_join(actions, "|").alias("actions"))
+
+
+@query("stratified_split", with_tables("clients_core", "SELECT profile_type AS label, count(*) - CAST(round(count(*) * 0.2) AS BIGINT) AS train, CAST(round(count(*) * 0.2) AS BIGINT) AS test FROM clients_core GROUP BY 1"))
+def stratified_split(spark, folder):
+    train, test = M.split(t.clients_core(spark, folder), label="profile_type")
+    both = train.withColumn("test", F.lit(0)).unionByName(test.withColumn("test", F.lit(1)))
+    return both.groupBy(F.col("profile_type").alias("label")).agg(F.count_if(F.col("test") == 0).alias("train"), F.count_if(F.col("test") == 1).alias("test"))
+
+
+@query("order_value_quantiles", """
+SELECT quantile_cont(o_totalprice, 0.01) AS p01, quantile_cont(o_totalprice, 0.5) AS p50, quantile_cont(o_totalprice, 0.999) AS p999 FROM orders""")
+def order_value_quantiles(spark, folder):
+    low, middle, high = exact_quantiles(t.read(spark, folder, "orders"), "o_totalprice", [0.01, 0.5, 0.999])
+    return literal_table(spark, [(low, middle, high)], "p01 double, p50 double, p999 double")

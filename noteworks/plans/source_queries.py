@@ -235,11 +235,12 @@ def _work_folder(spark) -> str:
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
-def _write_uploads(spark, folder, target):
-    """The documents as upload events in JSON files; each session is delivered twice."""
+def _write_uploads(spark, folder, target, broken=False):
+    """The documents as upload events in JSON files; each session is delivered twice, some without a text on demand."""
+    text = F.when(F.expr("doc_id % 97") == 0, F.lit(None).cast("string")).otherwise(F.col("text")) if broken else F.col("text")
     docs = t.spread(t.read(spark, folder, "documents")).select(
         F.lit("csv").alias("upload_type"), F.col("doc_id").alias("upload_session_id"), F.expr("doc_id div 5").alias("client_id"),
-        F.col("lang").alias("language"), "text", (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("doc_id") % 3000)).alias("_ts"))
+        F.col("lang").alias("language"), text.alias("text"), (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("doc_id") % 3000)).alias("_ts"))
     docs.unionByName(docs).write.mode("overwrite").json(target)
 
 
@@ -258,14 +259,59 @@ def stream_upserts(spark, folder):
     return U.current_notes(spark, f"{work}/out").select("client_id", "note_id", F.md5("text").alias("digest"))
 
 
-@query("stream_sessions", "SELECT 'completed' AS status, count(*) AS sessions FROM documents")
+@query("stream_sessions", """
+SELECT CASE WHEN ok THEN 'completed' ELSE 'failed' END AS status, CASE WHEN ok THEN NULL ELSE 'no text' END AS error, count(*) AS sessions,
+       CAST(3 * count(*) AS BIGINT) AS events
+FROM (SELECT doc_id % 97 <> 0 AND regexp_matches(text, '\\S') AS ok FROM documents) GROUP BY ok""")
 def stream_sessions(spark, folder):
+    """Uploads of which some have no text, followed from their start to completion or failure."""
     work = _work_folder(spark)
-    _write_uploads(spark, folder, f"{work}/in")
+    _write_uploads(spark, folder, f"{work}/in", broken=True)
     stream = U.read_uploads_files(spark, f"{work}/in")
     U.process_uploads(stream, _aliases(spark), f"{work}/out", f"{work}/state").awaitTermination()
-    status = U.session_status(spark.read.parquet(f"{work}/out/sessions").drop("batch_id"))
-    return status.groupBy("status").agg(F.count("*").alias("sessions"))
+    states = U.session_states(spark.read.parquet(f"{work}/out/sessions").drop("batch_id"))
+    return states.groupBy("status", "error").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"))
+
+
+_LIFE = """
+e AS (SELECT *, CASE event_type WHEN 'view' THEN 'started' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'stage' END AS kind FROM events),
+s AS (SELECT *, {'t': ts, 'r': list_position(['started', 'stage', 'completed', 'failed'], kind)} AS o FROM e),
+states AS (SELECT user_id AS session_id, arg_max(kind, o) AS status, arg_max(event_type, o) FILTER (WHERE kind = 'stage') AS stage,
+       count(*) AS events, count(*) FILTER (WHERE kind = 'failed') AS failures, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 1) AS elapsed
+FROM s GROUP BY user_id)
+"""
+
+
+def _follow(spark, folder):
+    """The events as the life of one session a user, replayed in several batches regardless of their times."""
+    work = _work_folder(spark)
+    events = t.read(spark, folder, "events")
+    kind = F.when(F.col("event_type") == "view", "started").when(F.col("event_type") == "purchase", "completed").when(
+        F.col("event_type") == "error", "failed").otherwise("stage")
+    log = events.select(F.col("user_id").alias("session_id"), kind.alias("kind"), F.when(kind == "stage", F.col("event_type")).alias("stage"),
+                        F.lit(None).cast("long").alias("records"), F.when(kind == "failed", F.lit("reported")).alias("error"), F.col("ts").alias("at"))
+    log.repartition(6).write.parquet(f"{work}/in")
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{work}/in")
+    U.follow_sessions(source, f"{work}/out", f"{work}/state").awaitTermination()
+    return U.current_sessions(spark, f"{work}/out"), work
+
+
+@query("session_lifecycle", "WITH " + _LIFE + "SELECT session_id, status, stage, events, failures, elapsed FROM states")
+def session_lifecycle(spark, folder):
+    states, _ = _follow(spark, folder)
+    return states.select("session_id", "status", "stage", "events", "failures", "elapsed")
+
+
+@query("session_messages", "WITH " + _LIFE + "SELECT CAST(session_id AS VARCHAR) AS key, status, 'pipeline-status' AS topic, true AS stamped FROM states")
+def session_messages(spark, folder):
+    """States of sessions as keyed JSON messages, sent through the sink of the stream and read back."""
+    states, work = _follow(spark, folder)
+    states.write.parquet(f"{work}/states")
+    source = spark.readStream.schema(states.schema).parquet(f"{work}/states")
+    U.write_event_stream(U.status_events(source), f"{work}/sent", f"{work}/sent-state").awaitTermination()
+    sent = spark.read.schema("key string, value string").json(f"{work}/sent")
+    said = F.from_json("value", "status string, _topic string, _ts timestamp")
+    return sent.select("key", said.alias("v")).select("key", "v.status", F.col("v._topic").alias("topic"), F.col("v._ts").isNotNull().alias("stamped"))
 
 
 @query("stream_audit", "SELECT event_type AS action, count(*) AS n FROM events GROUP BY event_type")
@@ -288,3 +334,21 @@ def transcript_notes(spark, folder):
         F.col("doc_id").alias("client_id"), F.col("n_chars").alias("duration_seconds"), F.col("lang").alias("language"),
         F.col("text").alias("transcript"), F.current_timestamp().alias("_ts"))
     return N.notes_from_transcripts(docs).select("ID", "Duration", "Language", "Length")
+
+
+# ---- a dictionary of thousands of aliases -------------------------------------------------------------
+
+
+@query("match_large_dictionary", with_tables("notes", r"""
+, dictionary AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS alias FROM benchmark),
+tokens AS (SELECT note_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS tok FROM (
+  SELECT note_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS w FROM notes)),
+placed AS (SELECT note_id, tok, sum(length(tok)) OVER (PARTITION BY note_id ORDER BY i) - length(tok) AS s FROM tokens),
+met AS (SELECT note_id, alias, s, row_number() OVER (PARTITION BY note_id, alias ORDER BY s) AS k FROM placed JOIN dictionary ON tok = alias WHERE length(alias) >= 2)
+SELECT note_id, alias AS matched_alias, CAST(s AS BIGINT) AS span_start, 'B_' || alias AS concept_id FROM met WHERE k <= 3""".replace("\\\\", "\\")))
+def match_large_dictionary(spark, folder):
+    """Every word of the benchmark items as an alias of its own."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
+    names = t.read(spark, folder, "benchmark").select(words.alias("alias")).distinct()
+    found = C.match_aliases(t.notes(spark, folder), names.withColumn("concept_id", F.concat(F.lit("B_"), "alias")))
+    return found.select("note_id", "matched_alias", F.col("span_start").cast("bigint").alias("span_start"), "concept_id")

@@ -9,6 +9,7 @@ from noteworks.operators import clustering as C
 from noteworks.operators import lexicon as L
 from noteworks.operators import state as S
 from noteworks.operators import vectors as V
+from noteworks.operators.quantiles import exact_quantiles
 from noteworks.plans import tables as t
 from noteworks.plans.registry import query
 from noteworks.plans.tables import with_tables
@@ -269,7 +270,7 @@ united AS (SELECT coalesce(l.concept_id, i.concept_id) AS concept_id,
 SELECT concept_id, array_to_string(aliases, '|') AS aliases FROM united""")
 def import_concepts(spark, folder):
     lex = part_lexicon(spark, folder)
-    middle = lex.agg(F.median("freq_notes").alias("m")).first()["m"]
+    middle = exact_quantiles(lex, "freq_notes", [0.5])[0]
     more = lex.where(F.col("freq_notes") >= middle).withColumn("aliases", F.array(F.concat(F.lit("extra "), "label"), F.get("aliases", F.lit(0))))
     brands = t.read(spark, folder, "part").select(F.concat(F.lit("K_"), "p_brand").alias("concept_id"), F.col("p_brand").alias("label")).distinct()
     fresh = brands.select("concept_id", "label", F.array(F.lit("b")).alias("aliases"), F.array().cast("array<string>").alias("languages"),
