@@ -4,14 +4,15 @@ Texts of one language are cut into shards of word ids. A shard's index is the Bu
 that of the reversed ids, sorted to the depth of the longest phrase. A phrase is a pair of row intervals, one in each;
 it grows by a word on either side by a step in one transform, and the other interval follows. Shards list phrases with
 their counts and Spark adds them up. A phrase can only be frequent if its words and word pairs are, so shards first
-report words, then pairs of frequent words, then longer phrases made of frequent pairs: nothing frequent is lost, and
-what is not frequent is a gap before the transforms are made.
+report words, then pairs of frequent words, then phrases of three words made of frequent pairs, and so on: nothing
+frequent is lost, and what is not frequent is a gap before the transforms are made.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -190,22 +191,23 @@ def without_gaps(ids: np.ndarray, kept: np.ndarray) -> np.ndarray:
     return out[np.concatenate(([True], (out[1:] != BREAK) | (out[:-1] != BREAK)))]
 
 
-def _read_shard(shard: pa.Table, side: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of a shard, the global id of each of its words (0: not frequent), and its frequent pairs by local ids."""
+def _read_shard(shard: pa.Table, side: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a shard, the global id of each of its words (0: not frequent), and its frequent phrases of ``size``
+    words by local ids, a row each."""
     ids = _unpack(shard.column("ids")[0].as_py())
-    at, g1, g2 = (side.column(c).to_numpy() for c in ("at", "g1", "g2"))
+    at = side.column("at").to_numpy()
     names = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
-    names[at[at > 0]] = g1[at > 0]
+    names[at[at > 0]] = side.column("g1").to_numpy()[at > 0]
     order = np.argsort(names, kind="stable")
-    pairs = [order[np.searchsorted(names, g[at == 0], sorter=order)] for g in (g1, g2)]
-    return ids, names, *pairs
+    grams = [side.column(f"g{i + 1}").to_numpy()[at == 0] for i in range(size)]
+    return ids, names, np.column_stack([order[np.searchsorted(names, g, sorter=order)] for g in grams])
 
 
 def _pairs(shard: pa.Table, side: pa.Table) -> pa.Table:
     """Pairs of frequent words in a shard by global ids, with counts."""
     if not len(shard) or not len(side):
         return pa.table({c: pa.array([], pa.int64()) for c in ("shard", "g1", "g2", "n")})
-    ids, names, _, _ = _read_shard(shard, side)
+    ids, names, _ = _read_shard(shard, side, 1)
     wanted = names > 0
     index = Index(without_gaps(ids, wanted[ids]))
     words = index.words(np.flatnonzero(wanted[: index.base]))
@@ -213,36 +215,57 @@ def _pairs(shard: pa.Table, side: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.repeat(shard.column("shard")[0], len(count)), "g1": names[words.words[place, 0]], "g2": names[second], "n": count})
 
 
-def _phrases(depth: int):
-    """Phrases of three words and more: pairs grow to the right, then to the left, and so on."""
+class Known:
+    """Whether rows of word ids are among some phrases: two words make a number, and the numbers' places another."""
+
+    def __init__(self, grams: np.ndarray, base: int):
+        self.base = base
+        self.sorted = [np.unique(c) for c in self._numbers(grams)]
+        self.keys = np.unique(self._places(grams)[0])
+
+    def _numbers(self, rows: np.ndarray) -> list[np.ndarray]:
+        wide = np.zeros((len(rows), 4), np.int64)
+        wide[:, : rows.shape[1]] = rows
+        return [wide[:, 0] * self.base + wide[:, 1], wide[:, 2] * self.base + wide[:, 3]]
+
+    def _places(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key, fits = np.zeros(len(rows), np.int64), np.ones(len(rows), bool)
+        for own, number in zip(self.sorted, self._numbers(rows)):
+            at = np.minimum(np.searchsorted(own, number), max(len(own) - 1, 0))
+            fits &= (own[at] == number) if len(own) else False
+            key = key * max(1, len(own)) + at
+        return key, fits
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        key, fits = self._places(rows)
+        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        return fits & (self.keys[at] == key) if len(self.keys) else fits & False
+
+
+def _grown(length: int):
+    """Phrases of ``length`` words of a shard whose first and last ``length - 1`` words are frequent phrases. Odd
+    lengths grow to the right, even ones to the left."""
 
     def work(shard: pa.Table, side: pa.Table) -> pa.Table:
-        fields = [*(f"g{i}" for i in range(1, depth + 1)), "n"]
-        found = [pa.table({c: pa.array([], pa.int64()) for c in fields})]
-        if len(shard) and len(side):
-            ids, names, first, second = _read_shard(shard, side)
-            base = len(names)
-            pairs = np.sort(first * base + second)
-
-            def known(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-                key = left.astype(np.int64) * base + right
-                at = np.minimum(np.searchsorted(pairs, key), max(len(pairs) - 1, 0))
-                return pairs[at] == key if len(pairs) else np.zeros(len(key), bool)
-
-            met = known(ids[:-1], ids[1:])
-            index = Index(without_gaps(ids, np.concatenate(([False], met)) | np.concatenate((met, [False]))))
-            wanted = names > 0
-            live = index.extend(index.words(np.flatnonzero(wanted[: index.base])), "right", wanted)
-            live = live.keep(known(live.words[:, 0], live.words[:, 1]))
-            for length in range(3, depth + 1):
-                side_ = "right" if length % 2 else "left"
-                live = index.extend(live, side_, wanted)
-                edge = live.words[:, -2:] if side_ == "right" else live.words[:, :2]
-                live = live.keep(known(edge[:, 0], edge[:, 1]))
-                columns = np.zeros((depth, len(live.count)), np.int64)
-                columns[:length] = names[live.words].T
-                found.append(pa.table([*columns, live.count], names=fields))
-        return pa.concat_tables(found)
+        fields = ["shard", *(f"g{i}" for i in range(1, length + 1)), "n"]
+        if not len(shard) or not len(side):
+            return pa.table({c: pa.array([], pa.int64()) for c in fields})
+        ids, names, grams = _read_shard(shard, side, length - 1)
+        known, wanted = Known(grams, len(names)), names > 0
+        windows = len(ids) - length + 2
+        found = known(np.column_stack([ids[i : i + windows] for i in range(length - 1)])) if windows > 0 else np.zeros(0, bool)
+        cover = np.zeros(len(ids), bool)
+        for i in range(length - 1):
+            cover[i : i + len(found)] |= found
+        index = Index(without_gaps(ids, cover))
+        live = index.words(np.flatnonzero(wanted[: index.base]))
+        live = live.keep(live.count > 0)
+        for size in range(2, length):
+            live = index.extend(live, "right" if size % 2 else "left", wanted)
+        live = index.extend(live.keep(known(live.words)), "right" if length % 2 else "left", wanted)
+        live = live.keep(known(live.words[:, :-1]) & known(live.words[:, 1:]))
+        columns = names[live.words].T if len(live.count) else np.zeros((length, 0), np.int64)
+        return pa.table([pa.repeat(shard.column("shard")[0], len(live.count)), *columns, live.count], names=fields)
 
     return work
 
@@ -278,17 +301,17 @@ def count_phrases(shards: DataFrame, least: int = LEAST, depth: int = DEPTH) ->
     words = cut_lineage(_frequent(listed, ["lang", "word"], least).withColumn(
         "g1", F.min(own).over(Window.partitionBy("lang", "word"))).select("shard", "lang", "at", "word", "f", "g1"))
     names = words.groupBy(F.col("g1").alias("ident")).agg(*[F.first(c).alias(c) for c in ("lang", "word", "f")])
-    side = words.select("shard", "at", "g1", F.lit(0).cast("long").alias("g2"))
-    texts = shards.select("shard", "ids").groupBy("shard")
-    met = texts.cogroup(side.groupBy("shard")).applyInArrow(_pairs, "shard long, g1 long, g2 long, n long")
-    pairs = cut_lineage(_frequent(met, ["g1", "g2"], least).select("shard", "g1", "g2", "f"))
-    both = side.unionByName(pairs.select("shard", F.lit(0).cast("long").alias("at"), "g1", "g2"))
     columns = [f"g{i}" for i in range(1, depth + 1)]
-    found = texts.cogroup(both.groupBy("shard")).applyInArrow(_phrases(depth), ", ".join([*(f"{c} long" for c in columns), "n long"]))
-    longer = found.groupBy(*columns).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    singles = _keyed(names, ["ident"])
-    doubles = _keyed(pairs.groupBy("g1", "g2").agg(F.first("f").alias("f")), ["g1", "g2"])
-    return cut_lineage(singles.unionByName(doubles).unionByName(_keyed(longer, columns))), names.select("ident", "lang", "word")
+    side, texts = words.select("shard", "at", "g1"), shards.select("shard", "ids").groupBy("shard")
+    parts, last = [_keyed(names, ["ident"])], None
+    for length in range(2, depth + 1):
+        own = columns[:length]
+        given = side if last is None else side.unionByName(last.drop("f").withColumn("at", F.lit(0).cast("long")), allowMissingColumns=True)
+        found = texts.cogroup(given.groupBy("shard")).applyInArrow(
+            _pairs if length == 2 else _grown(length), ", ".join(["shard long", *(f"{c} long" for c in own), "n long"]))
+        last = cut_lineage(_frequent(found, own, least).select("shard", *own, "f"))
+        parts.append(_keyed(last.groupBy(*own).agg(F.first("f").alias("f")), own))
+    return cut_lineage(reduce(DataFrame.unionByName, parts)), names.select("ident", "lang", "word")
 
 
 def _whole_quotient(a: Column, n: Column, l: Column, r: Column) -> Column:
