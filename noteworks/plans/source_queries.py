@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from noteworks.functions import tables as FT
 from noteworks.functions import text as T
 from noteworks.operators import concepts as C
 from noteworks.operators import privacy as P
@@ -352,3 +353,11 @@ def match_large_dictionary(spark, folder):
     names = t.read(spark, folder, "benchmark").select(words.alias("alias")).distinct()
     found = C.match_aliases(t.notes(spark, folder), names.withColumn("concept_id", F.concat(F.lit("B_"), "alias")))
     return found.select("note_id", "matched_alias", F.col("span_start").cast("bigint").alias("span_start"), "concept_id")
+
+
+@query("match_concepts_sql", with_tables("notes", "," + MATCHED + "SELECT note_id, matched_alias, CAST(span_start AS INTEGER) AS span_start, CAST(span_end AS INTEGER) AS span_end FROM matched"))
+def match_concepts_sql(spark, folder):
+    """The dictionary as a table function of SQL."""
+    FT.register_match_aliases(spark, C.trie_pattern(sorted(r["alias"] for r in _aliases(spark).where("length(alias) >= 2").collect())), 3)
+    t.notes(spark, folder).createOrReplaceTempView("notes_to_match")
+    return spark.sql("SELECT n.note_id, m.* FROM notes_to_match n, LATERAL match_aliases(lower(n.text)) m")
