@@ -60,7 +60,7 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_sketch")
 def op7_sketch(spark: SparkSession, folder: str) -> DataFrame:
-    return sketch.compare_versions(common.documents(spark, folder))
+    return sketch.compare_versions(common.documents(spark, folder)).drop("edited", "following")
 
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)

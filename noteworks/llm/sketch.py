@@ -1,128 +1,146 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A cell holds a count, the XOR of its keys and the XOR of their checksums; each key is in one cell of each of three
-subtables. Subtracting the cells of two versions cancels what they share; cells with a single key are peeled until
-none is left, which recovers the differing digests. If some stay, a larger sketch with other hashes is tried.
-Digests are dealt by hash to blocks of bounded size with a sketch each, so work is linear in the paragraphs.
-Everything is a column expression.
+A version's sketch has a fixed number of cells, so any two can be subtracted, whenever they were made. A cell holds a
+count, the XOR of its digests and the XOR of their checksums; each digest is in one cell of each of three subtables.
+Subtracting cancels what two versions share, and cells with a single digest are peeled until none is left, which gives
+the differing digests and their side. Where cells stay, the sketch was too small: the digests are dealt by hash to
+``SPLIT`` blocks with a sketch of their own and other hashes, and so on, for the blocks that failed only, until all
+are recovered. Each attempt is linear in the paragraphs. Everything is a column expression.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteworks.llm import common
 from noteworks.llm.common import let
+from noteworks.session import cut_lineage
 
 PARAGRAPH_WORDS = 32  # a longer line counts as several paragraphs
-BLOCK_KEYS = 16
-ATTEMPTS = 7  # each doubles the cells
-PRINT_CELLS = 4  # a subtable, in the printed fingerprint
-BUCKET_ROWS = 4096
+SUBTABLES = 3
+SIDE = 8  # cells of a subtable
+ROUNDS = 12  # of peeling; a sketch that needs more is retried in parts
+SPLIT = 4
+RANGE_ROWS = 4096
+MAX_RANGES = 1 << 14  # bounds the literals and the table of first rows; beyond it ranges grow
 
 
 def digests(text: Column) -> Column:
-    """Distinct 64-bit digests of the paragraphs of a text; white space inside them is normalised."""
+    """64-bit digests of the paragraphs of a text, each once; white space inside them is normalised. The digest of
+    a paragraph that occurs several times also depends on how often."""
 
     def parts(w: Column) -> Column:
         starts = F.sequence(F.lit(0), F.floor((F.size(w) - 1) / PARAGRAPH_WORDS).cast("int"))
         return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i * PARAGRAPH_WORDS + 1, F.lit(PARAGRAPH_WORDS)), " ")))
 
-    lines = F.transform(F.split(text, "\n"), common.words)
-    return F.array_distinct(F.flatten(F.transform(F.filter(lines, lambda w: F.size(w) > 0), parts)))
-
+    def counted(s: Column) -> Column:
+        first = F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), F.struct(x.alias("k"), i.alias("at"))))
+        return let(F.filter(first, lambda r: r.isNotNull()), lambda runs: F.transform(runs, lambda r, i: let(
+            F.coalesce(F.get(runs, i + 1)["at"], F.size(s)) - r["at"], lambda n: F.when(n == 1, r["k"]).otherwise(F.xxhash64(r["k"], n)))))
 
-def place(key: Column, sub: int, side: Column, seed: int) -> Column:
-    return (F.pmod(F.xxhash64(key, F.lit(3 * seed + sub)), side) + sub * side).cast("int")
+    lines = F.transform(F.split(text, "\n"), common.words)
+    return let(F.sort_array(F.flatten(F.transform(F.filter(lines, lambda w: F.size(w) > 0), parts))), counted)
 
 
 def cell(count: Column, key: Column, check: Column) -> Column:
     return F.struct(count.cast("int").alias("n"), key.cast("long").alias("k"), check.cast("long").alias("c"))
 
 
-def entry(key: Column, sign: Column, side: Column, seed: int) -> Column:
-    """A key with its sign, checksum and three places."""
-    return F.struct(sign.cast("int").alias("n"), key.alias("k"), F.xxhash64(key, F.lit(-1)).alias("c"),
-                    *[place(key, j, side, seed).alias(f"p{j}") for j in range(3)])
+def checksum(key: Column) -> Column:
+    return F.xxhash64(key, F.lit(-1))
 
 
-def hits(e: Column, i: Column) -> Column:
-    return (e["p0"] == i) | (e["p1"] == i) | (e["p2"] == i)
+def entry(key: Column, sign: Column, seed: int) -> Column:
+    """A digest with its sign, checksum and place in each subtable."""
+    places = [F.pmod(F.xxhash64(key, F.lit(SUBTABLES * seed + j)), F.lit(SIDE)).cast("int").alias(f"p{j}") for j in range(SUBTABLES)]
+    return F.struct(sign.cast("int").alias("n"), key.alias("k"), checksum(key).alias("c"), *places)
 
 
-def subtract(c: Column, e: Column, sign: int) -> Column:
-    return cell(c["n"] + sign * e["n"], c["k"].bitwiseXOR(e["k"]), c["c"].bitwiseXOR(e["c"]))
+def _changed(cells: Column, entries: Column, sign: int) -> Column:
+    """Cells with the entries added (sign 1) or taken out (sign -1)."""
 
+    def put(c: Column, e: Column) -> Column:
+        return cell(c["n"] + sign * e["n"], c["k"].bitwiseXOR(e["k"]), c["c"].bitwiseXOR(e["c"]))
 
-def sketch(entries: Column, side: Column) -> Column:
-    empty = cell(F.lit(0), F.lit(0), F.lit(0))
-    return F.transform(F.sequence(F.lit(0), 3 * side - 1).cast("array<int>"), lambda i: F.aggregate(
-        entries, empty, lambda c, e: F.when(hits(e, i), subtract(c, e, 1)).otherwise(c)))
+    def subtable(j: int) -> Column:
+        return F.transform(F.slice(cells, j * SIDE + 1, SIDE), lambda c, i: F.aggregate(F.filter(entries, lambda e: e[f"p{j}"] == i), c, put))
 
+    return F.concat(*[subtable(j) for j in range(SUBTABLES)])
 
-def peel(cells: Column, side: Column, seed: int, rounds: Column) -> Column:
-    """Number of digests recovered from a difference of sketches, null if some cells cannot be peeled."""
 
-    def step(state: Column, _: Column) -> Column:
-        pure = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == F.xxhash64(c["k"], F.lit(-1))))
-        keys = F.array_distinct(F.transform(pure, lambda c: entry(c["k"], c["n"], side, seed)))
-
-        def less(found: Column) -> Column:
-            rest = F.transform(state["cells"], lambda c, i: F.aggregate(
-                found, c, lambda a, e: F.when(hits(e, i), subtract(a, e, -1)).otherwise(a)))
-            return F.when(F.size(found) == 0, state).otherwise(
-                F.struct(rest.alias("cells"), (state["found"] + F.size(found)).alias("found")))
+def sketch(keys: Column, seed: int = 0) -> Column:
+    """The cells of a version's digests."""
+    empty = F.array_repeat(cell(F.lit(0), F.lit(0), F.lit(0)), SUBTABLES * SIDE)
+    return let(F.transform(keys, lambda k: entry(k, F.lit(1), seed)), lambda e: _changed(empty, e, 1))
 
-        return let(keys, less)
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"))
-    end = F.aggregate(F.sequence(F.lit(1), rounds), start, step)
-    return let(end, lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0)), s["found"]))
+def subtract(a: Column, b: Column) -> Column:
+    """What is left of two sketches of the same seed when the digests they share cancel."""
+    return F.zip_with(a, b, lambda x, y: cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["c"].bitwiseXOR(y["c"])))
 
 
-def block_difference(a: Column, b: Column) -> Column:
-    """How many digests of a block differ between two versions, by sketches that grow until one can be peeled."""
-    n = F.size(a) + F.size(b)
+def peel(cells: Column, seed: int = 0) -> Column:
+    """The digests ``lost`` (only in the first version) and ``new`` (only in the second) of a difference of
+    sketches; null if it holds more than can be peeled."""
 
-    def attempt(seed: int) -> Column:
-        def sized(side: Column) -> Column:
-            entries = F.concat(F.transform(a, lambda k: entry(k, F.lit(1), side, seed)), F.transform(b, lambda k: entry(k, F.lit(-1), side, seed)))
-            return let(let(entries, lambda e: sketch(e, side)), lambda cells: peel(cells, side, seed, F.lit(6) + 2 * seed))
+    def step(state: Column, _: Column) -> Column:
+        pure = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == checksum(c["k"])))
+        found = F.array_distinct(F.transform(pure, lambda c: entry(c["k"], c["n"], seed)))
+        more = lambda e: F.struct(
+            _changed(state["cells"], e, -1).alias("cells"),
+            F.concat(state["found"], F.transform(e, lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k")))).alias("found"))
+        return let(found, lambda e: F.when(F.size(e) == 0, state).otherwise(more(e)))
 
-        return let((F.ceil(n * 0.6) + 4).cast("int") * (1 << seed), sized)
+    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<n:int,k:bigint>>").alias("found"))
 
-    return F.when(n == 0, F.lit(0)).otherwise(F.coalesce(*[attempt(s) for s in range(ATTEMPTS)], n))
+    def side(found: Column, sign: int) -> Column:
+        return F.transform(F.filter(found, lambda x: x["n"] == sign), lambda x: x["k"])
 
+    return let(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step), lambda s: F.when(
+        F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0)),
+        F.struct(side(s["found"], 1).alias("lost"), side(s["found"], -1).alias("new"))))
 
-def likeness(a: Column, b: Column) -> Column:
-    """Twice the shared digests over all digests of both versions; two empty versions are alike."""
 
-    def over(x: Column, y: Column) -> Column:
-        total = F.size(x) + F.size(y)
+def printed(cells: Column) -> Column:
+    """A sketch as a string: for each cell its count, digests and checksums in hex, or a dash for an empty one."""
+    one = lambda c: F.concat_ws(".", F.hex(c["n"]), F.hex(c["k"]), F.hex(c["c"]))
+    return F.lower(F.array_join(F.transform(cells, lambda c: F.when(c["n"] == 0, "-").otherwise(one(c))), " "))
 
-        def blocks(groups: Column) -> Column:
-            def part(d: Column, g: Column) -> Column:
-                return F.filter(d, lambda k: F.pmod(F.xxhash64(k, F.lit(-2)), groups) == g)
 
-            numbers = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: let(part(x, g), lambda p: let(part(y, g), lambda q: block_difference(p, q))))
-            return F.aggregate(numbers, F.lit(0), lambda s, d: s + d)
+def read_printed(fingerprint: Column) -> Column:
+    """The cells of a version's printed sketch, which can be subtracted and peeled like new ones."""
+    number = lambda x: F.conv(x, 16, -10).cast("long")
 
-        differ = let(F.greatest(F.ceil(total / BLOCK_KEYS), F.lit(1)).cast("int"), blocks)
-        return F.when(total == 0, F.lit(1.0)).otherwise(1.0 - differ / total)
+    def one(s: Column) -> Column:
+        filled = let(F.split(s, r"\."), lambda p: cell(number(F.get(p, F.lit(0))), number(F.get(p, F.lit(1))), number(F.get(p, F.lit(2)))))
+        return F.when(s == "-", cell(F.lit(0), F.lit(0), F.lit(0))).otherwise(filled)
 
-    return let(a, lambda x: let(b, lambda y: over(x, y)))
+    return F.transform(F.split(fingerprint, " "), one)
 
 
-def printed(d: Column) -> Column:
-    """The small sketch of a version as a string: for each cell its count and key, in hex."""
+def retried(failed: DataFrame, keys: list[str]) -> DataFrame:
+    """Differences of digests ``a`` and ``b`` that one sketch could not hold: ``keys, lost, new``. Blocks that fail
+    are dealt to ``SPLIT`` smaller ones; digests differ, so blocks shrink until all can be peeled."""
+    done, level = [], 0
+    while True:
+        level += 1
 
-    def one(x: Column, number: int) -> Column:
-        own = F.filter(x, lambda k: place(k, number // PRINT_CELLS, F.lit(PRINT_CELLS), 0) == number)
-        key = let(own, lambda o: F.aggregate(o, F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(k)))
-        return F.concat(F.lpad(F.hex(F.size(own)), 4, "0"), F.lpad(F.hex(key), 16, "0"))
+        def part(d: str, g: Column) -> Column:
+            return F.filter(d, lambda k: F.pmod(F.xxhash64(k, F.lit(-1 - level)), F.lit(SPLIT)) == g)
 
-    return let(d, lambda x: F.lower(F.concat(*[one(x, i) for i in range(3 * PRINT_CELLS)])))
+        numbers = F.array(*[F.lit(g) for g in range(SPLIT)])
+        blocks = F.explode(F.transform(numbers, lambda g: F.struct(part("a", g).alias("a"), part("b", g).alias("b"))))
+        tried = failed.select(*keys, blocks.alias("block")).select(*keys, "block.*")
+        tried = cut_lineage(tried.withColumn("found", peel(subtract(sketch(F.col("a"), level), sketch(F.col("b"), level)), level)))
+        done.append(tried.where("found IS NOT NULL").select(*keys, "found.*"))
+        failed = tried.where("found IS NULL").drop("found")
+        if failed.isEmpty():
+            break
+    merged = [F.flatten(F.collect_list(c)).alias(c) for c in ("lost", "new")]
+    return reduce(DataFrame.unionByName, done).groupBy(*keys).agg(*merged)  # as long as one text's digests
 
 
 def _search(bounds: list, value: Column) -> Column:
@@ -144,11 +162,11 @@ def _search(bounds: list, value: Column) -> Column:
 def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
     """Add to each row, as ``next``, a struct of ``columns`` of the row that follows by key (after the last: the first).
 
-    Keys are dealt to ranges of about ``BUCKET_ROWS`` rows; the first row of each range is also sent, as a guest,
+    Keys (numbers) are dealt to ranges of about ``RANGE_ROWS`` rows, at most ``MAX_RANGES``; the first row of each range is also sent, as a guest,
     to the end of the range before. So rows move once. Null keys come last; equal keys follow in order of columns.
     """
     n = docs.count()
-    cuts = -(-n // BUCKET_ROWS)
+    cuts = min(-(-n // RANGE_ROWS), MAX_RANGES)
     bounds = docs.where(F.col(key).isNotNull()).approxQuantile(key, [i / cuts for i in range(1, cuts)], 0.25 / cuts) if cuts > 1 else []
     bounds = sorted(set(bounds))
     bucket = F.when(F.col(key).isNull(), F.lit(len(bounds))).otherwise(_search(bounds, F.col(key)))
@@ -167,7 +185,9 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataF
 
 
 def compare_versions(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Fingerprints of every document and of its edited text, and how alike they are.
+    """Sketches of every document and of its edited text, the digests in which it differs from its edited text and
+    from the next document (``edited`` and ``following``: ``lost``, ``new``), and how alike they are: twice the
+    shared digests over all digests of both, 1 for two versions without any.
 
     The edited text has its last half replaced by the beginning of the next document's. Null counts as empty; a
     single document follows itself; repeated rows follow each other; an empty table gives no rows.
@@ -178,7 +198,25 @@ def compare_versions(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     half = F.floor(F.length("text") / 2).cast("int")
     kept = F.substring(F.col("text"), F.lit(1), (F.length("text") - half).cast("int"))
     edited = F.concat(kept, F.substring(F.col("next.text"), F.lit(1), half))
-    made = paired.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "digests", F.col("next.digests").alias("next"))
-    ready = made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "digests", "next", digests(F.col("edited")).alias("other"))
-    return ready.select("doc_id", "n_chars", "edited_sha256", printed(F.col("digests")).alias("fingerprint"), printed(F.col("other")).alias("edited_fingerprint"),
-                        likeness(F.col("digests"), F.col("other")).alias("near_edited"), likeness(F.col("digests"), F.col("next")).alias("near_next"))
+    made = paired.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("text"), F.col("digests").alias("own"), F.col("next.digests").alias("after"))
+    made = made.select("doc_id", "n_chars", F.sha2("text", 256).alias("edited_sha256"), "own", "after", digests(F.col("text")).alias("other"))
+
+    def first_try(s: Column) -> Column:
+        return F.struct(*[peel(subtract(s, sketch(F.col(c)))).alias(c) for c in ("other", "after")])
+
+    tried = made.withColumn("found", let(sketch(F.col("own")), first_try)).withColumn("_id", F.monotonically_increasing_id())
+    tried = cut_lineage(tried)  # ids stay as they are when a task runs again
+    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("b"), F.col(f"found.{c}").isNull().alias("failed")) for c in ("other", "after")]))
+    failed = tried.select("_id", "own", kinds.alias("pair")).where("pair.failed").select("_id", "pair.kind", F.col("own").alias("a"), "pair.b")
+    late = retried(failed, ["_id", "kind"])
+    late = late.groupBy("_id").agg(*[F.max(F.when(F.col("kind") == c, F.struct("lost", "new"))).alias(f"late_{c}") for c in ("other", "after")])
+
+    def likeness(found: str, other: str) -> Column:
+        total = F.size("own") + F.size(other)
+        return F.when(total == 0, F.lit(1.0)).otherwise(1.0 - (F.size(f"{found}.lost") + F.size(f"{found}.new")) / total)
+
+    whole = tried.join(late, "_id", "left").withColumns({
+        "edited": F.coalesce("found.other", "late_other"), "following": F.coalesce("found.after", "late_after")})
+    return whole.select(
+        "doc_id", "n_chars", "edited_sha256", printed(sketch(F.col("own"))).alias("fingerprint"), printed(sketch(F.col("other"))).alias("edited_fingerprint"),
+        likeness("edited", "other").alias("near_edited"), likeness("following", "after").alias("near_next"), "edited", "following")

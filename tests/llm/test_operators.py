@@ -189,6 +189,30 @@ def test_sketch(docs, empty):
     assert sketch.compare_versions(empty).count() == 0
 
 
+def test_sketch_peels_the_digests(spark):
+    """Digests that differ, their side and the retries, against sets; repeats count; printed sketches read back."""
+    rng = random.Random(11)
+    lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+
+    def digests(text):
+        words = [re.findall(r"[^\x20\x09-\x0D]+", x) for x in text.split("\n")]
+        found = [xxhash.xxh64_intdigest(" ".join(w[i : i + 32]).encode(), 42) for w in words for i in range(0, len(w), 32)]
+        return {d - (1 << 64) if d >> 63 else d for d in found}
+
+    values = ["\n".join(x) for x in (lines[:3], lines[1:5], lines[:900], lines[10:905], lines[1000:1030], lines[1030:3000], lines[1030:3000:2])]
+    got = sketch.compare_versions(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")).collect()
+    for r in got:
+        a, b = digests(values[r.doc_id]), digests(values[(r.doc_id + 1) % len(values)])
+        assert (set(r.following.lost), set(r.following.new)) == (a - b, b - a)
+        assert (len(r.following.lost), len(r.following.new)) == (len(a - b), len(b - a))
+    twice = spark.createDataFrame([(f"{lines[0]}\n{lines[1]}", f"{lines[1]}\n{lines[0]}\n{lines[1]}")], "a string, b string")
+    cells = twice.select(*[sketch.sketch(sketch.digests(F.col(c))).alias(c) for c in "ab"])
+    stored = cells.select(*[sketch.read_printed(sketch.printed(F.col(c))).alias(c) for c in "ab"])
+    assert stored.collect() == cells.collect()
+    found = stored.select(sketch.peel(sketch.subtract(F.col("a"), F.col("b"))).alias("d")).first().d
+    assert (len(found.lost), len(found.new)) == (1, 1)
+
+
 def test_quality(docs, empty):
     got = quality.apply_rules(docs).select("text", "quality.*").collect()
     for r in got:
