@@ -164,6 +164,26 @@ def activate_playbook(templates: DataFrame, today: str, days: int = 14) -> DataF
     )
 
 
+def activate_and_match(templates: DataFrame, clients: DataFrame, today: str, days: int = 14) -> tuple[DataFrame, DataFrame]:
+    """Events from playbook templates and the clients that their concepts reach, with reason and score."""
+    events = activate_playbook(templates, today, days)
+    return events, match_event_clients(events, clients).select("event_id", "client_id", "match_reason", "match_score")
+
+
+def event_detail(calendar: DataFrame, targets: DataFrame, state: DataFrame, clients: DataFrame) -> DataFrame:
+    """Live target clients of every event with match, standing and segment, the best match first.
+
+    ``targets`` come from ``match_event_clients``, ``state`` from ``apply_target_updates``; targets without a change
+    are pending. Rows are ordered as a range sort, so a large event spreads over tasks.
+    """
+    live = clients.where(~F.coalesce("is_deleted", F.lit(False))).select("client_id", "segment_id", "profile_type", "confidence")
+    standing = state.select("event_id", "client_id", "action_status", "outcome", "outcome_value")
+    rows = targets.select("event_id", "client_id", "match_score", "match_reason").join(live, "client_id")
+    rows = rows.join(standing, ["event_id", "client_id"], "left").join(calendar.select("event_id", "title", "status"), "event_id")
+    rows = rows.withColumns({"action_status": F.coalesce("action_status", F.lit("pending")), "outcome": F.coalesce("outcome", F.lit("none"))})
+    return rows.orderBy("event_id", F.col("match_score").desc(), "client_id")
+
+
 def apply_target_updates(changes: DataFrame) -> DataFrame:
     """Latest state of every (event, client) from a log of changes, with the time of each milestone."""
     def last(value: str, when: Column) -> Column:

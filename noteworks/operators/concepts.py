@@ -409,3 +409,17 @@ def variant_counts(notes: DataFrame, variants: dict[str, list[str]]) -> DataFram
 def parenthesised_types(notes: DataFrame) -> DataFrame:
     inner = F.regexp_extract_all("text", F.lit(r"\(([^)]+)\)"), F.lit(1))
     return notes.select(F.explode(inner).alias("client_type")).distinct()
+
+
+def fill_client_ids(found: DataFrame, notes: DataFrame) -> DataFrame:
+    """``found`` with the client of its note wherever ``client_id`` is missing or null; note ids compare as text.
+
+    Rows of unknown notes stay without a client. Of a repeated note id the least client counts, so no row doubles.
+    Rows that need no client do not take part in the join, so they cannot pile up on a null key.
+    """
+    if "client_id" not in found.columns:
+        found = found.withColumn("client_id", F.lit(None).cast(notes.schema["client_id"].dataType))
+    clients = notes.where("note_id IS NOT NULL").groupBy(F.col("note_id").cast("string").alias("_note")).agg(F.min("client_id").alias("_client"))
+    lacks = F.col("client_id").isNull() & F.col("note_id").isNotNull()
+    filled = found.where(lacks).withColumn("_note", F.col("note_id").cast("string")).join(clients, "_note", "left")
+    return found.where(~lacks).unionByName(filled.withColumn("client_id", F.col("_client")).select(*found.columns))

@@ -381,12 +381,15 @@ def last_completed_run(spark, folder):
     return D.last_completed(runs).drop("completed_at")
 
 
-@query("match_event_clients", with_tables("clients calendar", """,
+_HITS = """,
 want AS (SELECT DISTINCT event_id, lower(trim(c)) AS concept FROM (SELECT event_id, unnest(concepts) AS c FROM calendar)),
 have AS (SELECT DISTINCT client_id, lower(trim(c)) AS concept
          FROM (SELECT client_id, unnest(string_split(top_concepts, '|')) AS c FROM clients WHERE NOT is_deleted)),
 hits AS (SELECT event_id, client_id, count(*) AS overlap, string_agg(concept, ' | ' ORDER BY concept) AS match_reason
-         FROM have JOIN want USING (concept) GROUP BY event_id, client_id)
+         FROM have JOIN want USING (concept) GROUP BY event_id, client_id)"""
+
+
+@query("match_event_clients", with_tables("clients calendar", _HITS + """
 SELECT event_id, client_id, md5(match_reason) AS reason, round(overlap / max(overlap) OVER (PARTITION BY event_id), 3) AS match_score,
        count(*) OVER (PARTITION BY event_id) AS matched_count FROM hits"""))
 def match_event_clients(spark, folder):
@@ -433,6 +436,31 @@ def activate_playbook(spark, folder):
     return A.activate_playbook(templates, AS_OF).drop("concepts").withColumn("event_date", F.col("event_date").cast("string"))
 
 
+@query("activate_and_match", with_tables("clients calendar", _HITS + """
+SELECT event_id, title, '2025-01-29' AS event_date, 'scheduled' AS status, client_id,
+       round(overlap / max(overlap) OVER (PARTITION BY event_id), 3) AS match_score FROM hits JOIN calendar USING (event_id)"""))
+def activate_and_match(spark, folder):
+    """The calendar's concepts as playbooks, all activated at once."""
+    templates = t.calendar(spark, folder).select(
+        F.col("event_id").alias("template_id"), "title", "channel", "concepts", F.lit(None).cast("date").alias("event_date"))
+    events, targets = A.activate_and_match(templates, t.clients(spark, folder), AS_OF)
+    rows = events.select("event_id", "title", F.col("event_date").cast("string").alias("event_date"), "status")
+    return rows.join(targets.drop("match_reason"), "event_id")
+
+
+@query("event_detail_ranked", with_tables("event_targets clients calendar", _HITS + """,
+s AS (SELECT event_id, client_id, arg_max(action_status, change_id) AS action_status, arg_max(outcome, change_id) AS outcome,
+       arg_max(outcome_value, change_id) AS outcome_value FROM event_targets GROUP BY ALL),
+m AS (SELECT event_id, client_id, round(overlap / max(overlap) OVER (PARTITION BY event_id), 3) AS match_score FROM hits)
+SELECT event_id, title, status, client_id, match_score, segment_id, profile_type, confidence, coalesce(action_status, 'pending') AS action_status,
+       coalesce(outcome, 'none') AS outcome, outcome_value
+FROM m JOIN calendar USING (event_id) JOIN clients USING (client_id) LEFT JOIN s USING (event_id, client_id)"""))
+def event_detail_ranked(spark, folder):
+    calendar, clients = t.calendar(spark, folder), t.clients(spark, folder)
+    state = A.apply_target_updates(t.event_targets(spark, folder))
+    return A.event_detail(calendar, A.match_event_clients(calendar, clients), state, clients).drop("match_reason")
+
+
 # ---- recommended actions ---------------------------------------------------------------------------
 
 PLAYBOOK = [

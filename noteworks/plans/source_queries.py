@@ -10,6 +10,7 @@ from noteworks.functions import tables as FT
 from noteworks.functions import text as T
 from noteworks.operators import concepts as C
 from noteworks.operators import privacy as P
+from noteworks.operators.runs import stage_rows
 from noteworks.plans import tables as t
 from noteworks.plans.registry import query
 from noteworks.plans.tables import with_tables
@@ -337,6 +338,60 @@ def transcript_notes(spark, folder):
     return N.notes_from_transcripts(docs).select("ID", "Duration", "Language", "Length")
 
 
+# ---- from CSV files to notes -----------------------------------------------------------------------------
+
+_LANGUAGES = "CASE WHEN lang = 'fr' THEN ' French' ELSE lang END"
+
+
+def _ingested(spark, folder):
+    """The documents as CSV files with dates in three ways (those of one source unreadable), ingested without redaction."""
+    work = _work_folder(spark)
+    day = F.expr("date_add(date'2024-01-01', int(doc_id % 365))")
+    dates = F.when(F.col("lang") == "de", F.date_format(day, "dd/MM/yyyy")).when(F.col("lang") == "en", F.date_format(day, "yyyy/MM/dd"))
+    raw = t.spread(t.read(spark, folder, "documents")).select(
+        F.col("doc_id").cast("string").alias("ID"),
+        F.when(F.col("source") == "src3", F.lit("some day")).otherwise(dates.otherwise(day.cast("string"))).alias("Date"),
+        F.lit("Short").alias("Duration"), F.expr(_LANGUAGES).alias("Language"), T.word_size_class(F.col("text")).alias("Length"),
+        F.col("text").alias("Transcription"))
+    raw.write.option("header", True).option("escape", '"').csv(f"{work}/csv")
+    return N.run_ingest(spark, f"{work}/csv", f"{work}/notes", redact=None), f"{work}/notes"
+
+
+_CSV_NOTES = f"""
+SELECT CAST(doc_id AS VARCHAR) AS note_id, CAST(doc_id AS VARCHAR) AS client_id,
+       CASE WHEN source IS DISTINCT FROM 'src3' THEN CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS VARCHAR) END AS day,
+       upper(lang) AS language, 'Short' AS duration, {_CLEAN} AS text FROM documents"""
+
+
+@query("ingest_notes_csv", f"SELECT note_id, client_id, day, language, duration, md5(text) AS digest FROM ({_CSV_NOTES})")
+def ingest_notes_csv(spark, folder):
+    """Clean notes from CSV files with quoted texts of several lines."""
+    _, path = _ingested(spark, folder)
+    return spark.read.parquet(path).select(
+        "note_id", "client_id", F.date_format("date", "yyyy-MM-dd").alias("day"), "language", "duration", F.md5("text").alias("digest"))
+
+
+@query("ingest_run_counts", f"""
+SELECT 'ingest' AS stage, 'completed' AS status, count(*) AS rows, count(*) FILTER (WHERE day IS NULL) AS invalid_dates,
+       count(*) FILTER (WHERE language NOT IN ('FR', 'EN', 'IT', 'ES', 'DE', 'PT', 'NL')) AS unknown_languages,
+       count(*) FILTER (WHERE text = '') AS empty_texts FROM ({_CSV_NOTES})""")
+def ingest_run_counts(spark, folder):
+    """What the run log says of the same ingestion, observed while the notes were written."""
+    stage, _ = _ingested(spark, folder)
+    counts = F.from_json("counts", "rows bigint, invalid_dates bigint, unknown_languages bigint, empty_texts bigint")
+    return stage_rows(spark, [stage]).select("stage", "status", counts.alias("c")).select("stage", "status", "c.*")
+
+
+@query("backfill_client_ids", with_tables("notes", "," + MATCHED + """
+SELECT m.note_id, concept_id, matched_alias, CAST(span_start AS BIGINT) AS span_start,
+       CASE WHEN concept_id = 'C001' OR n.language <> 'DE' THEN m.note_id // 5 END AS client_id FROM matched m JOIN notes n ON n.note_id = m.note_id"""))
+def backfill_client_ids(spark, folder):
+    """Mentions of which only one concept's carry a client; the notes at hand lack one language."""
+    client = F.when(F.col("concept_id") == "C001", F.expr("note_id div 5"))
+    found = _matches(spark, folder).select("note_id", "concept_id", "matched_alias", F.col("span_start").cast("bigint").alias("span_start"), client.alias("client_id"))
+    return C.fill_client_ids(found, t.notes(spark, folder).where("language <> 'DE'"))
+
+
 # ---- a dictionary of thousands of aliases -------------------------------------------------------------
 
 

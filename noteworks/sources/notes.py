@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from noteworks import config, schemas
 from noteworks.functions import text as T
 from noteworks.functions.rules import rate
 from noteworks.operators.privacy import RedactionConfig, redact_pii
+from noteworks.operators.runs import write_stage
 
 
 def require_columns(df: DataFrame, columns: tuple[str, ...] = schemas.REQUIRED_NOTE_COLUMNS) -> DataFrame:
@@ -43,6 +46,23 @@ def ingest(raw: DataFrame, redact: RedactionConfig | None = RedactionConfig(sens
     )
 
 
+def run_ingest(spark: SparkSession, source: str, target: str, redact: RedactionConfig | None = RedactionConfig(sensitive_mode="log")) -> dict:
+    """CSV files (one, a folder or a glob) to clean notes in Parquet under ``target``.
+
+    Returns the stage's row for the run log; rows, unreadable dates, unknown languages and empty texts are observed
+    while the notes are written. A source without rows is an error, as is one without the required columns.
+    """
+    measures = {
+        "invalid_dates": F.count_if(F.col("date").isNull()),
+        "unknown_languages": F.count_if(~F.col("language").isin(*config.SUPPORTED_LANGUAGES)),
+        "empty_texts": F.count_if(F.coalesce("text", F.lit("")) == ""),
+    }
+    stage = write_stage(ingest(scan_notes_csv(spark, source), redact), target, "ingest", measures)
+    if stage["status"] == "completed" and json.loads(stage["counts"])["rows"] == 0:
+        raise ValueError(f"no rows in {source}")
+    return stage
+
+
 def notes_quality(notes: DataFrame) -> DataFrame:
     """Invalid dates, unknown languages and empty texts in one pass."""
     unknown = ~F.col("language").isin(*config.SUPPORTED_LANGUAGES)
