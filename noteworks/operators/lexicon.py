@@ -5,6 +5,8 @@ A lexicon row is ``(concept_id, label, aliases, languages, freq_notes, examples,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -15,7 +17,7 @@ from noteworks import config
 from noteworks.functions import text as T
 from noteworks.functions import vectors as V
 from noteworks.operators.ranking import global_index, top_per_group
-from noteworks.operators.vectors import BLOCK, PIVOTS, _best, assign_cells, block_join, choose_pivots
+from noteworks.operators.vectors import BLOCK, PIVOTS, _best, assign_cells, block_join, choose_pivots, embed_text
 from noteworks.session import cut_lineage, literal_table
 
 
@@ -100,6 +102,21 @@ def build_lexicon(members: DataFrame, rules: dict[str, list[str]] | None = None)
     )
 
 
+def lexicon_from_candidates(candidates: DataFrame, distance: float = config.CONCEPT_DISTANCE, rules: dict[str, list[str]] | None = None,
+                            model: Callable | None = None) -> DataFrame:
+    """From mined candidates ``(candidate, freq_notes, languages, example_note_ids)``, one row each, to the lexicon:
+    embed, cluster, name each cluster, send strangers out as concepts of their own, number by frequency.
+
+    ``model`` is a pandas UDF of a user; without it words and word pairs are hashed. No candidate gives no concept.
+    """
+    terms = candidates.where("candidate IS NOT NULL").select(
+        F.col("candidate").alias("term"), F.col("freq_notes").alias("freq"), "languages", F.col("example_note_ids").alias("examples"))
+    embedded = cut_lineage(embed_text(global_index(terms, [F.asc("term")], "id"), "term", model=model))
+    clusters = cluster_terms(embedded.select("id", F.col("embedding").alias("vec")), distance)
+    members = cut_lineage(embedded.withColumnRenamed("embedding", "vec").join(clusters, "id").drop("id"))
+    return build_lexicon(prune_clusters(members, select_labels(members)).drop("vec"), rules)
+
+
 def merge_lexicon(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Existing concepts win; their counts and examples are refreshed by label; unseen labels are added."""
     old = existing.select(F.lower("label").alias("_k"), F.struct(*existing.columns).alias("o"))

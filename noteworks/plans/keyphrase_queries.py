@@ -161,3 +161,10 @@ def mine_candidates(spark, folder):
     """Without the statistical phrases, so that the whole result can be checked."""
     mined = K.mine_candidates(tables.notes(spark, folder), with_yake=False, terms=SCAN_TERMS)
     return mined.select("candidate", "freq_notes", "avg_score")
+
+
+@query("mine_all_candidates")
+def mine_all_candidates(spark, folder):
+    """All sources, the statistical phrases too, with languages and example notes; rows only because of them."""
+    mined = K.mine_candidates(tables.notes(spark, folder))
+    return mined.withColumns({"languages": F.array_join("languages", "|"), "example_note_ids": F.array_join(F.transform("example_note_ids", lambda x: x.cast("string")), "|")})

@@ -150,13 +150,13 @@ def client_tags(spark, folder):
 @query("kmeans_segments")
 def kmeans_segments(spark, folder):
     means = V.client_vector_mean(t.vectors(spark, folder))
-    clustered, _ = C.kmeans_segments(means, C.choose_k(means.count()), starts=3)
+    clustered, _ = C.kmeans_segments(means, C.choose_k(means.count()), starts=10)
     return clustered.select("client_id", "cluster_id")
 
 
 @query("segment_clients")
 def segment_clients(spark, folder):
-    return C.segment_clients(t.vectors(spark, folder), t.client_concepts(spark, folder), starts=2).withColumn(
+    return C.segment_clients(t.vectors(spark, folder), t.client_concepts(spark, folder), starts=10).withColumn(
         "top_concepts", F.array_join("top_concepts", "|"))
 
 
@@ -329,3 +329,23 @@ def sentences(spark, folder):
 def cluster_terms(spark, folder):
     """Rows only; checked against a brute-force linkage in the tests."""
     return L.cluster_terms(_points(spark, folder), 0.35)
+
+
+@query("lexicon_from_candidates", """
+WITH terms AS (SELECT p_name AS stem, p_name AS term, count(*) AS freq FROM part GROUP BY p_name
+               UNION ALL SELECT p_name, upper(p_name), count(*) FROM part WHERE p_size >= 25 GROUP BY p_name),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY freq DESC, term) AS rn FROM terms),
+spoken AS (SELECT p_name AS stem, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS languages FROM part GROUP BY p_name),
+lex AS (SELECT stem, max(term) FILTER (WHERE rn = 1) AS label, coalesce(max(term) FILTER (WHERE rn = 2), '') AS aliases, CAST(sum(freq) AS BIGINT) AS freq_notes
+        FROM ranked GROUP BY stem)
+SELECT printf('CONCEPT_%04d_', row_number() OVER (ORDER BY freq_notes DESC, label) - 1) || left(md5(label), 6) AS concept_id, label, aliases, languages, freq_notes,
+       CASE WHEN contains(stem, 'red') OR contains(stem, 'blue') THEN 'preferences' WHEN contains(stem, 'ring') OR contains(stem, 'gear') THEN 'lifestyle'
+            ELSE 'other' END AS bucket FROM lex JOIN spoken USING (stem)""")
+def lexicon_from_candidates(spark, folder):
+    """Catalogue names as candidates in two spellings; those of one name embed alike and become one concept."""
+    part = t.read(spark, folder, "part")
+    types = F.array_sort(F.collect_set("p_type"))
+    plain = part.groupBy(F.col("p_name").alias("candidate")).agg(F.count("*").alias("freq_notes"), types.alias("languages"))
+    loud = part.where("p_size >= 25").groupBy(F.upper("p_name").alias("candidate")).agg(F.count("*").alias("freq_notes"), types.alias("languages"))
+    lex = L.lexicon_from_candidates(plain.unionByName(loud).withColumn("example_note_ids", F.slice("languages", 1, 5)), rules=RULES)
+    return lex.select("concept_id", "label", F.array_join("aliases", "|").alias("aliases"), F.array_join("languages", "|").alias("languages"), "freq_notes", "bucket")

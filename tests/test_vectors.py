@@ -1,9 +1,9 @@
 """Exact neighbours, density clusters and linkage against brute force."""
 
-from __future__ import annotations
-
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from noteworks.functions import vectors as VF
 from noteworks.operators import clustering as CL
@@ -124,3 +124,22 @@ def test_zero_vectors_are_like_nothing(spark):
     rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0])]
     found = V.nearest_neighbours(spark.createDataFrame(rows, "id long, vec array<double>"), k=3).collect()
     assert {r["similarity"] for r in found} == {0.0}
+
+
+def test_lexicon_from_candidates(spark):
+    """Equal spellings meet, strangers that a model puts together part again, and nothing in gives nothing out."""
+    ddl = "candidate string, freq_notes long, languages array<string>, example_note_ids array<long>"
+    rows = [("Rose Garden", 3, ["FR"], [1, 2]), ("rose garden", 5, ["EN"], [3]), ("oak", 5, ["EN"], [4]), (None, 9, [], []), ("???", 1, ["DE"], [5])]
+    got = {r.label: r for r in L.lexicon_from_candidates(spark.createDataFrame(rows, ddl)).collect()}
+    assert set(got) == {"rose garden", "oak", "???"}
+    assert (got["rose garden"].aliases, got["rose garden"].freq_notes, got["rose garden"].languages) == (["Rose Garden"], 8, ["EN", "FR"])
+    assert sorted(got["rose garden"].examples) == [1, 2, 3]
+    assert [r.label for r in sorted(got.values(), key=lambda r: r.concept_id)] == ["rose garden", "oak", "???"]
+
+    @F.pandas_udf("array<double>")
+    def alike(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda _: [1.0, 0.0])
+
+    apart = L.lexicon_from_candidates(spark.createDataFrame([rows[1], rows[2]], ddl), model=alike).collect()
+    assert sorted((r.label, r.freq_notes) for r in apart) == [("oak", 5), ("rose garden", 5)]
+    assert L.lexicon_from_candidates(spark.createDataFrame([], ddl)).count() == 0
