@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +114,10 @@ def _pair_counts(counts: DataFrame, terms: list[str], multiset: bool) -> DataFra
             for i, pairs in enumerate(pdf["items"]):
                 for item in pairs:
                     rows[i, index[item["term"]]] = item["n"] if multiset else 1
-            total += rows.T @ rows
+            # Products of doubles are fast and exact as long as no sum can pass 2^53.
+            exact = len(rows) * float(rows.max(initial=0)) ** 2 < 2.0**53
+            both = rows.astype(np.float64) if exact else rows
+            total += (both.T @ both).astype(np.int64)
             if multiset:  # a term with itself: n (n - 1) / 2 pairs
                 own = np.arange(len(terms))
                 total[own, own] += ((rows * (rows - 1)) // 2 - rows * rows).sum(0)
@@ -134,7 +136,7 @@ def cooccurrence(concepts: DataFrame, top: int = 50, multiset: bool = False, lim
     A pair cannot be commoner than its rarer term, so terms below the count of the last winning pair are out.
     If more than ``limit`` terms stay possible, pairs are counted by an explode with partial aggregation.
     """
-    counts = mention_counts(concepts)
+    counts = mention_counts(concepts).where("term IS NOT NULL")
     weight = F.sum("n") if multiset else F.count("*")
     vocabulary = counts.groupBy("term").agg(weight.alias("w")).orderBy(F.desc("w"), "term").limit(limit + 1).collect()
     terms = sorted(r["term"] for r in vocabulary[:limit])
@@ -176,7 +178,7 @@ def one_hot(concepts: DataFrame, terms: list[str]) -> DataFrame:
 # ---- tf-idf of a client -----------------------------------------------------------------------------
 
 
-def _client_terms(concepts: DataFrame, high: int) -> DataFrame:
+def client_terms(concepts: DataFrame, high: int) -> DataFrame:
     """``(client_id, term, tf)`` of words and word runs inside the aliases."""
     words = F.regexp_extract_all(F.lower("term"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
 
@@ -191,7 +193,7 @@ def _client_terms(concepts: DataFrame, high: int) -> DataFrame:
 
 def fit_vocabulary(concepts: DataFrame, features: int = 500, high: int = 2, min_df: int = 2, max_df: float = 0.8) -> list[tuple[str, float]]:
     """The commonest terms with their smoothed idf. At most ``features`` rows: a model parameter, saved with the model."""
-    terms = _client_terms(concepts, high)
+    terms = client_terms(concepts, high)
     n = concepts.select("client_id").distinct().count()
     rows = (
         terms.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
@@ -200,50 +202,6 @@ def fit_vocabulary(concepts: DataFrame, features: int = 500, high: int = 2, min_
     return sorted((r["term"], math.log((1 + n) / (1 + r["df"])) + 1) for r in rows)
 
 
-def client_tfidf(concepts: DataFrame, vocabulary: list[tuple[str, float]], high: int = 2, sublinear: bool = False) -> DataFrame:
-    """Unit tf-idf vector of each client over a fitted vocabulary."""
-    size = max(1, len(vocabulary))
-    index = {t: (i, w) for i, (t, w) in enumerate(vocabulary)}
-
-    @F.pandas_udf("array<double>")
-    def dense(terms: pd.Series, weights: pd.Series) -> pd.Series:
-        out = []
-        for names, tfs in zip(terms, weights):
-            row = np.zeros(size)
-            for name, tf in zip(names, tfs):
-                at, idf = index[name]
-                row[at] = tf * idf
-            length = np.sqrt((row * row).sum())
-            out.append(row / length if length > 0 else row)
-        return pd.Series(out)
-
-    tf = (1 + F.log("tf")) if sublinear else F.col("tf").cast("double")
-    known = _client_terms(concepts, high).where(F.col("term").isin([t for t, _ in vocabulary])).withColumn("tf", tf)
-    lists = known.groupBy("client_id").agg(F.collect_list(F.struct("term", "tf")).alias("p"))
-    everyone = concepts.select("client_id").distinct().join(lists, "client_id", "left")
-    empty = F.array().cast("array<struct<term:string,tf:double>>")
-    pairs = everyone.select("client_id", F.coalesce("p", empty).alias("p"))
-    return pairs.select("client_id", dense(F.col("p.term"), F.col("p.tf")).alias("tfidf"))
-
-
-def feature_matrix(concepts: DataFrame, vocabulary: list[tuple[str, float]], elite: bool = False,
-                   pairs: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``(client_id, features)``: tf-idf, statistics and, for the elite set, pairs and diversity."""
-    base = client_tfidf(concepts, vocabulary, 3 if elite else 2, sublinear=elite)
-    stats = stat_features_elite(concepts) if elite else stat_features_fast(concepts)
-    tables = [stats]
-    if elite:
-        tables.append(diversity(concepts))
-        if pairs:
-            tables.append(pair_features(concepts, pairs))
-    columns: list[Column] = []
-    joined = base
-    for table in tables:
-        joined = joined.join(table, "client_id", "left")
-        columns += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in table.columns if c != "client_id"]
-    return joined.select("client_id", array_to_vector(F.concat("tfidf", F.array(*columns))).alias("features"))
-
-
 # ---- labels by rule -----------------------------------------------------------------------------------
 
 

@@ -64,7 +64,8 @@ def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
 
 
 def _pipeline(estimator) -> Pipeline:
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
+    # Not centred: sparse vectors stay sparse, trees do not care, and the intercept of a linear model absorbs it.
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=False, withStd=True)
     return Pipeline(stages=[scaler, estimator])
 
 

@@ -8,6 +8,7 @@ from noteworks.functions.rules import cut_value_segment
 from noteworks.operators import dashboard as D
 from noteworks.operators import features as X
 from noteworks.operators import models as M
+from noteworks.operators import sparse as S
 from noteworks.plans import tables as t
 from noteworks.plans.registry import query
 from noteworks.plans.tables import with_tables
@@ -197,8 +198,8 @@ def prediction_accuracy(spark, folder):
 
 def training_rows(spark, folder, elite=False):
     seen = mentions(spark, folder)
-    vocabulary = X.fit_vocabulary(seen, 60)
-    return X.feature_matrix(seen, vocabulary, elite).join(X.rule_labels(seen, elite), "client_id").persist()
+    model = S.fit_features(seen, "elite" if elite else "fast")
+    return S.feature_matrix(seen, model).join(X.rule_labels(seen, elite), "client_id").persist()
 
 
 @query("train_and_score")
@@ -216,3 +217,106 @@ def ensemble_scores(spark, folder):
     rows = training_rows(spark, folder, elite=True)
     models, _ = M.ensemble_classifier(rows, "purchased", trees=10, depth=5)
     return M.vote_classes(models, rows.select("client_id", "features")).select("client_id", "probability_mean", "prediction")
+
+
+# ---- whole feature sets, value by value -----------------------------------------------------------------
+
+_LONG = "p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_size"
+for _from, _to in _WORDS.items():
+    _LONG = f"replace({_LONG}, '{_from}', '{_to}')"
+
+
+def _long_mentions(spark, folder):
+    """Clients mention whole descriptions of parts, so that there are words enough for 800 features."""
+    alias = F.concat_ws(" ", "p_name", "p_type", "p_brand", F.col("p_size").cast("string"))
+    for old, new in _WORDS.items():
+        alias = F.replace(alias, F.lit(old), F.lit(new))
+    parts = t.read(spark, folder, "part").select("p_partkey", alias.alias("matched_alias"))
+    lines = t.read(spark, folder, "lineitem").select("l_orderkey", "l_partkey")
+    orders = t.read(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("client_id"))
+    bought = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return bought.select("client_id", "matched_alias")
+
+
+def _set_sql(kind):
+    """The set spelled out: n-grams, weights, unit length, statistics and pairs, numbered in the order of blocks."""
+    p = S.PROFILES[kind]
+    runs = " UNION ALL ".join(
+        f"SELECT client_id, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i : i + {n - 1}], ' '))) AS term FROM toks"
+        for n in range(1, p.words + 1))
+    tf = "1 + ln(tf)" if p.sublinear else "tf"
+    if kind == "elite":
+        stats = [
+            "count(*)", "count(DISTINCT term)", "sum(length(term)) + count(*) - 1",
+            *[f"count(*) FILTER (WHERE {_has_low(w)})" for w in X.config.ELITE_FAMILIES.values()],
+            "count(DISTINCT term) / count(*)", "count(*) FILTER (WHERE length(term) > 20) / count(*)",
+            f"max(CAST({_has_low(X.config.UNLIMITED_BUDGET)} AS INTEGER))",
+            f"max(CAST({_has_low(X.config.ELITE_FAMILIES['luxury'])} AS INTEGER))", f"max(CAST({_has_low(X.config.ELITE_FAMILIES['intent'])} AS INTEGER))",
+        ]
+    elif kind == "fast":
+        stats = ["count(*)", "count(DISTINCT term)", *[f"count(*) FILTER (WHERE {_has_low(w)})" for w in X.config.FAST_FAMILIES.values()]]
+    else:
+        stats = ["count(*)", "count(DISTINCT term)", "count(DISTINCT term) / count(*)"]
+    shown = ", ".join(f"CAST({s} AS DOUBLE)" for s in stats)
+    times = "CASE WHEN x.term = y.term THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END" if p.by_mention else "1"
+    own = "<=" if p.by_mention else "<"
+    n_terms = "(SELECT count(*) FROM names)" if p.every_term else "0"
+    n_vocab, n_pairs, n_stats = "(SELECT count(*) FROM vocabulary)", "(SELECT count(*) FROM pairs)", str(len(stats))
+    tfidf_at = n_terms
+    stats_at = f"{n_terms} + {n_vocab}" + (f" + {n_pairs}" if kind == "advanced" else "")
+    pairs_at = f"{n_terms} + {n_vocab}" + ("" if kind == "advanced" else f" + {n_stats}")
+    blocks = [
+        f"SELECT client_id, {tfidf_at} + i AS position, w / sqrt(sum(w * w) OVER (PARTITION BY client_id)) AS value FROM weights",
+        f"SELECT client_id, {stats_at} + unnest(range({n_stats})) AS position, unnest([{shown}]) AS value FROM mentions GROUP BY client_id",
+    ]
+    if p.pairs:
+        blocks.append(f"""SELECT x.client_id, {pairs_at} + i AS position, 1 AS value FROM pairs JOIN c x ON x.term = a JOIN c y ON y.term = b AND y.client_id = x.client_id""")
+    if p.every_term:
+        blocks.append("SELECT client_id, i AS position, 1 AS value FROM c JOIN names USING (term)")
+    if kind == "elite":
+        blocks.append(f"""SELECT client_id, {n_vocab} + {n_stats} + {n_pairs} + unnest(range(4)) AS position,
+          unnest([round(-sum(n / total * ln(n / total)), 6), max(n), count(*) FILTER (WHERE n = 1), count(*) FILTER (WHERE n > 2)]) AS value
+          FROM (SELECT *, sum(n) OVER (PARTITION BY client_id) AS total FROM c) GROUP BY client_id""")
+    return f"""
+WITH mentions AS (SELECT o_custkey AS client_id, {_LONG} AS term FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+c AS (SELECT client_id, term, count(*) AS n FROM mentions GROUP BY ALL),
+names AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS i FROM (SELECT DISTINCT term FROM c)),
+toks AS (SELECT client_id, list_filter(regexp_extract_all(lower(term), '[a-z0-9_]+'), lambda w: length(w) > 1) AS w FROM mentions),
+grams AS (SELECT client_id, term, count(*) AS tf FROM ({runs}) GROUP BY ALL),
+chosen AS (SELECT term, count(*) AS df FROM grams GROUP BY term
+  HAVING df >= {p.min_df} AND df <= {p.max_df} * (SELECT count(DISTINCT client_id) FROM mentions) ORDER BY sum(tf) DESC, term LIMIT {p.features}),
+vocabulary AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS i,
+  ln((1 + (SELECT count(DISTINCT client_id) FROM mentions)) / (1 + df)) + 1 AS idf FROM chosen),
+weights AS (SELECT client_id, i, ({tf}) * idf AS w FROM grams JOIN vocabulary USING (term)),
+best AS (SELECT x.term AS a, y.term AS b, sum({times}) AS n FROM c x JOIN c y ON x.client_id = y.client_id AND x.term {own} y.term
+  GROUP BY ALL HAVING sum({times}) > 0 ORDER BY n DESC, a, b LIMIT {p.pairs}),
+pairs AS (SELECT a, b, row_number() OVER (ORDER BY n DESC, a, b) - 1 AS i FROM best)
+SELECT client_id, CAST(position AS INTEGER) AS position, round(CAST(value AS DOUBLE), 6) AS value
+FROM ({" UNION ALL ".join(blocks)}) WHERE value <> 0"""
+
+
+def _has_low(words):
+    return "(" + " OR ".join(f"contains(lower(term), '{w.lower()}')" for w in words) + ")"
+
+
+def _set_values(spark, folder, kind, **changes):
+    seen = _long_mentions(spark, folder)
+    matrix = S.feature_matrix(seen, S.fit_features(seen, kind, **changes))
+    cells = matrix.select("client_id", F.explode(S.vector_items(F.col("features"))).alias("x"))
+    return cells.select("client_id", "x.position", F.round(F.abs("x.value"), 6).alias("value"))
+
+
+@query("feature_vectors_fast", _set_sql("fast"))
+def feature_vectors_fast(spark, folder):
+    return _set_values(spark, folder, "fast")
+
+
+@query("feature_vectors_elite", _set_sql("elite"))
+def feature_vectors_elite(spark, folder):
+    return _set_values(spark, folder, "elite")
+
+
+@query("feature_vectors_advanced", _set_sql("advanced"))
+def feature_vectors_advanced(spark, folder):
+    """Without the embedding, whose hashes SQL does not know; a test holds it to brute force."""
+    return _set_values(spark, folder, "advanced", dims=0)
