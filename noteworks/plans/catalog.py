@@ -5,6 +5,7 @@ from noteworks.plans import (  # noqa: F401
     feature_queries,
     graph_queries,
     keyphrase_queries,
+    marked_queries,
     privacy_queries,
     source_queries,
     text_queries,
