@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from noteworks.functions.spans import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -17,9 +19,8 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    """Unit vector; the zero vector stays as it is."""
-    size = norm(a)
-    return F.when(size > 0, F.transform(a, lambda x: x / size)).otherwise(a)
+    """Unit vector; the zero vector stays as it is. The length is computed once, not once a coordinate."""
+    return let(a, lambda v: let(norm(v), lambda size: F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v)))
 
 
 def cosine(a: Column, b: Column) -> Column:

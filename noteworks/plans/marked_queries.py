@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from noteworks import config, patterns
+from noteworks.functions import vectors as V
 from noteworks.operators import keyphrases as K
 from noteworks.operators import privacy as P
+from noteworks.operators import sensitive_scan as N
 from noteworks.plans import tables
 from noteworks.plans.privacy_queries import _AUDITED, _CARD, _EMAIL, _FINDINGS, _IBAN, _PERSONAL, _PHONES, _quote
 from noteworks.plans.registry import query
+from noteworks.session import literal_table
 
 MARKS = {
     "with": "fabric", "from": "divorce", "was": "trade union", "und": "cancer", "que": "casher", "zu": "prison", "by": "debts",
@@ -153,3 +156,66 @@ def audit_page_files(spark, folder):
     """Findings file by file, beside the report of ``audit_pages``."""
     pages = tables.spread(tables.read(spark, folder, "pages").select("url", "html"))
     return P.audit_artifacts(pages.select(F.col("url").alias("path"), F.expr(_page_text("html")).alias("text")))
+
+
+# ---- protected mentions that no pattern knows -----------------------------------------------------------
+
+# Vectors of letter counts stand for a model: SQL can compute them, and words of the same letters are alike.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+TRAINING = [
+    ("HEALTH_DATA", "cancer"), ("HEALTH_DATA", "cancer and tumor"), ("CRIMINAL_RECORD", "prison"), ("CRIMINAL_RECORD", "in the prison"),
+    ("FINANCIAL_DIFFICULTY", "debts"), ("FINANCIAL_DIFFICULTY", "the debts"), ("FAMILY_CONFLICT", "divorce"),
+    ("SAFE", "fabric"), ("SAFE", "the and of"), ("SAFE", "handle"), ("SAFE", "their"), ("SAFE", "into"), ("SAFE", "there is"),
+]
+_WORD = r"[A-Za-zÀ-ÿ](?:[A-Za-zÀ-ÿ'-]*[A-Za-zÀ-ÿ])?"
+
+
+def letter_vectors(phrases):
+    low = F.lower("phrase")
+    counts = F.transform(F.lit(list(LETTERS)), lambda c: (F.length(low) - F.length(F.replace(low, c, F.lit("")))).cast("double"))
+    return phrases.withColumn("embedding", V.l2_normalize(counts))
+
+
+def training_phrases(spark):
+    return literal_table(spark, TRAINING, "category string, phrase string")
+
+
+_COUNTS = f"list_transform(string_split('{','.join(LETTERS)}', ','), lambda c: CAST(length(lower(phrase)) - length(replace(lower(phrase), c, '')) AS DOUBLE))"
+_SCAN = f"""
+toks AS (SELECT doc_id, regexp_extract_all(text, '{_quote(_WORD)}') AS hits, regexp_split_to_array(text, '{_quote(_WORD)}') AS gaps FROM marked),
+flat AS (SELECT doc_id, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS w, unnest(gaps[1:len(hits)]) AS gap FROM toks),
+words AS (SELECT doc_id, i, w, CAST(sum(length(w) + length(gap)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop FROM flat),
+next AS (SELECT *, lead(w) OVER own AS w2, lead(stop) OVER own AS stop2, lead(w, 2) OVER own AS w3, lead(stop, 2) OVER own AS stop3
+         FROM words WINDOW own AS (PARTITION BY doc_id ORDER BY i)),
+grams AS (SELECT doc_id, w AS phrase, stop - length(w) AS s, stop AS e FROM next WHERE lower(w) NOT IN ({", ".join(f"'{w}'" for w in config.SKIP_WORDS)})
+  UNION ALL SELECT doc_id, w || ' ' || w2, stop - length(w), stop2 FROM next WHERE w2 IS NOT NULL
+  UNION ALL SELECT doc_id, w || ' ' || w2 || ' ' || w3, stop - length(w), stop3 FROM next WHERE w3 IS NOT NULL),
+known(category, phrase) AS (VALUES {", ".join(f"('{c}', '{p}')" for c, p in TRAINING)}),
+refs AS (SELECT category, {_COUNTS} AS v FROM known),
+vectors AS (SELECT phrase, {_COUNTS} AS v FROM (SELECT DISTINCT phrase FROM grams)),
+cosines AS (SELECT phrase, category, round(max(CASE WHEN list_sum(vectors.v) > 0 THEN list_cosine_similarity(vectors.v, refs.v) ELSE 0 END), 9) AS c
+            FROM vectors, refs GROUP BY ALL),
+scored AS (SELECT phrase, max(c) FILTER (WHERE category <> 'SAFE') AS score, max(c) FILTER (WHERE category = 'SAFE') AS safe,
+                  arg_max(category, (c, -ascii(category[1]), -ascii(category[2]))) FILTER (WHERE category <> 'SAFE') AS label FROM cosines GROUP BY phrase),
+good AS (SELECT * FROM scored WHERE score >= 0.82 AND score > safe + 0.05),
+hits AS (SELECT doc_id, {{'k': -round(score, 4), 's': s, 'e': e, 'phrase': phrase, 'label': label}} AS h FROM grams JOIN good USING (phrase) JOIN marked USING (doc_id)
+         WHERE NOT regexp_matches(text[greatest(s - 40, 0) + 1 : e + 40], '{_quote(patterns.HARMLESS_CONTEXT.replace("(?iU)", "(?i)"))}')),
+greedy AS (SELECT doc_id, list(h ORDER BY h) AS todo, list(h)[1:0] AS kept FROM hits GROUP BY doc_id
+  UNION ALL SELECT doc_id, list_filter(todo, lambda x: x.s >= todo[1].e OR x.e <= todo[1].s), list_append(kept, todo[1]) FROM greedy WHERE len(todo) > 0),
+alone AS (SELECT doc_id, unnest(kept) AS h FROM greedy WHERE len(todo) = 0)
+"""
+
+
+def _scan_rows(hits):
+    return hits.select("doc_id", "token", "label", "score", F.col("span_start").cast("bigint").alias("span_start"), F.col("span_end").cast("bigint").alias("span_end"))
+
+
+_SHOWN = "SELECT doc_id, h.phrase AS token, h.label AS label, -h.k AS score, h.s AS span_start, h.e AS span_end FROM alone"
+
+
+@query("sensitive_novel_hits", f"WITH RECURSIVE {_MARKED}," + _on("marked", _FINDINGS) + f",{_SCAN}{_SHOWN}" + """
+WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE f.doc_id = alone.doc_id AND h.s < f.span_end AND h.e > f.span_start)""")
+def sensitive_novel_hits(spark, folder):
+    """The hits that no pattern finds."""
+    references = N.fit_references(training_phrases(spark), letter_vectors)
+    return _scan_rows(N.sensitive_scan(marked_documents(spark, folder), references, embed=letter_vectors, key="doc_id"))
