@@ -14,7 +14,6 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-MIN_LINES = 5  # a line that comes twice in a shorter text is no sign of junk
 # The commonest function words of the languages that the rules know; a text in any of them passes.
 STOP_WORDS = (
     "the of and to in a is that it for on was with as be at by this "
@@ -40,7 +39,7 @@ RULES = (
     Rule("symbols_per_word", "symbol_ratio", None, 0.10),
     Rule("capital_letters", "capital_ratio", None, 0.40),
     Rule("stop_words", "stop_ratio", 0.02, None, 50),
-    Rule("repeated_lines", "dup_line_ratio", None, 0.30),  # of texts with MIN_LINES lines or more
+    Rule("repeated_lines", "dup_line_ratio", None, 0.30),
 )
 
 
@@ -73,8 +72,9 @@ def repeat_words(w: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(w) < window, F.lit(0)).otherwise(let(F.transform(w, lambda x: F.xxhash64(x)), over)).cast("long")
 
 
-def measures(text: str = "text") -> Column:
-    """One struct of all counts and ratios of a text. Null counts as empty; an empty text has ratios of zero."""
+def measures(text: str = "text", min_lines: int = 1) -> Column:
+    """One struct of all counts and ratios of a text. Null counts as empty; an empty text has ratios of zero, and so
+    have repeated lines of a text with fewer than ``min_lines`` lines."""
     t = common.text_or_empty(text)
     bare = F.translate(t, common.SPACE_CHARS, "")
     letters = F.regexp_count(t, F.lit(r"\p{L}"))
@@ -102,7 +102,7 @@ def measures(text: str = "text") -> Column:
             per(n_chars, n).alias("mean_word_chars"), per(symbols, n).alias("symbol_ratio"),
             per(F.regexp_count(t, F.lit(r"\p{Lu}")), n_letters).alias("capital_ratio"),
             per(c["n_stop_words"], n).alias("stop_ratio"),
-            F.when(r["n_lines"] >= MIN_LINES, r["n_dup_lines"] / r["n_lines"]).otherwise(F.lit(0.0)).alias("dup_line_ratio"),
+            F.when(r["n_lines"] >= min_lines, r["n_dup_lines"] / r["n_lines"]).otherwise(F.lit(0.0)).alias("dup_line_ratio"),
         )
 
     return let(
@@ -124,7 +124,8 @@ def broken_rule(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return out
 
 
-def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
+                min_lines: int = 1) -> DataFrame:
     """``docs`` with one struct column ``quality``: the counts, ``base_failed``, ``broken`` and ``kept``.
 
     No shuffle and no user function. Null and empty texts have no words, so they fail the base rule; repeated
@@ -140,4 +141,4 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
         return m.withField("base_failed", failed).withField("broken", broken).withField("kept", kept)
 
     # One expression that names the measures once: a filter on a field of it must not compute them for each rule.
-    return docs.select(*rest, let(measures(text), verdict).alias("quality"))
+    return docs.select(*rest, let(measures(text, min_lines), verdict).alias("quality"))

@@ -224,6 +224,14 @@ def test_quality(docs, empty):
     assert quality.apply_rules(empty).count() == 0
 
 
+def test_quality_judges_repeated_lines_of_short_texts(spark):
+    """One line of two comes twice: the rule holds for texts of any number of lines."""
+    words = " ".join(f"word{i} the" for i in range(30))
+    rows = spark.createDataFrame([(0, f"{words}\nshort line\nshort line"), (1, f"{words}\nshort line")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["kept"], r["broken"]) for r in quality.apply_rules(rows).select("doc_id", "quality.*").collect()}
+    assert got == {0: (False, "repeated_lines"), 1: (True, None)}
+
+
 def test_suffixes(spark, docs, empty):
     rng = random.Random(9)
     shared = "".join(rng.choice("abcé ") for _ in range(260))
