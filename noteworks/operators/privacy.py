@@ -286,14 +286,13 @@ def ngrams_with_spans(texts: DataFrame, text: str = "text", key: str = "note_id"
     tokens = texts.select(key, find_spans(F.col(text), word).alias("w"))
 
     def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size("w") - n + 1)
+        starts = F.sequence(F.lit(0), F.size("w") - n)
 
         def gram(i: Column) -> Column:
-            part = F.slice("w", i, n)
             return F.struct(
-                F.array_join(F.transform(part, lambda s: s["match"]), " ").alias("phrase"),
-                F.element_at(part, 1)["start"].alias("start"),
-                F.element_at(part, n)["end"].alias("end"),
+                F.concat_ws(" ", *[F.get("w", i + j)["match"] for j in range(n)]).alias("phrase"),
+                F.get("w", i)["start"].alias("start"),
+                F.get("w", i + n - 1)["end"].alias("end"),
             )
 
         made = F.when(F.size("w") >= n, F.transform(starts, gram))

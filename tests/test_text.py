@@ -199,3 +199,21 @@ def test_clean_extracted(spark):
             (1, "nothing alike", 5, "boat", "intent", "0.9", "a very big boat"), (1, "x", 6, "safe", "intent", "bad", None)]
     got = C.clean_extracted_concepts(spark.createDataFrame(rows, "note_id long, text string, pos int, label string, bucket string, confidence string, evidence string"))
     assert {(r["label"], r["bucket"], r["confidence"]) for r in got.collect()} == {("gold watch", "preferences", 0.9), ("boat", "intent", 0.6), ("safe", "intent", 0.5)}
+
+
+def test_spans_of_many_pieces(spark):
+    """Offsets go on over any number of pieces, and the time grows with the text, not with its square."""
+    import re
+    import time
+
+    from noteworks.functions.spans import find_spans, marked_spans
+
+    text = " é".join(f"w{i % 97}" for i in range(40_000)) + " "
+    rows = spark.createDataFrame([(text,), ("",), ("é",), (None,), ("w1",)], "text string").repartition(1)
+    started = time.time()
+    for spans in (find_spans, marked_spans):
+        got = rows.select("text", spans(F.col("text"), r"w[0-9]+").alias("s")).collect()
+        for r in got:
+            expected = [(m.group(), m.start(), m.end()) for m in re.finditer(r"w[0-9]+", r["text"] or "")]
+            assert [tuple(x) for x in r["s"] or []] == expected
+    assert time.time() - started < 60
