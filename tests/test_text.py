@@ -217,3 +217,14 @@ def test_spans_of_many_pieces(spark):
             expected = [(m.group(), m.start(), m.end()) for m in re.finditer(r"w[0-9]+", r["text"] or "")]
             assert [tuple(x) for x in r["s"] or []] == expected
     assert time.time() - started < 60
+
+
+def test_yake_moves_only_texts(spark):
+    """Words stay where their text is: one exchange, however many steps follow."""
+    notes = spark.createDataFrame([(1, "EN", "The Red Ring is here. A red ring is gold. Gold rings shine."), (None, "EN", "Gold rings shine.")],
+                                  "note_id long, language string, text string")
+    made = K.keywords_yake(notes)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    found = made.collect()
+    assert found and all(r["note_id"] == 1 for r in found)  # notes without an id have no phrase
