@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from noteworks import patterns
+from noteworks.functions.spans import context, find_spans
 from noteworks.operators import privacy as P
 
 
@@ -73,3 +78,42 @@ def test_artifacts(spark):
     rows = [("m.json", '{"loss": 0.9324999999999999, "mail": "x@y.com"}'), ("clean.json", '{"accuracy": 0.061234567891}')]
     got = P.audit_artifacts(spark.createDataFrame(rows, "path string, text string")).collect()
     assert [(r["path"], r["violations"], r["risk_level"]) for r in got] == [("m.json", 1, "high")]
+
+
+def test_findings_are_those_of_every_pattern(spark):
+    """One scan finds what 43 scans find: overlapping patterns, other cases and alphabets, marks, far places."""
+    odd = ["trade union member trade union", "TRADE\n UNION", "union  member of party", "ordonnance de protection", "anorexique",
+           "\u017fyndicat", "\u212aosher", "\u0130nfraction", "\ue000cancer\ue001", "fichier Banque  de France", "xcancer cancerx", "cancer\u0301 de",
+           "commentaire sur le physique", "non-binary non binaire", "tissu cancer", "garde des enfants", "LGBTQ lgbt", "opérations médicales",
+           "comité d'entreprise", "over-indebted", "condamnation", "\U0001f600 gay", "vie sexuelle", "dettes dette", "crimes crime", "fichie FICP"]
+    plain = ["and", "of", "house", "fabrics", ",", "  ", "the", "z" * 30]
+    rng = random.Random(5)
+    texts = [*odd, "", *[" ".join(rng.choices(odd + plain * 3, k=rng.choice((5, 60, 400)))) for _ in range(30)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "note_id long, text string").cache()
+    got = {tuple(r) for r in P.detect_sensitive(df).collect()}
+    want = set()
+    for category, regexes in patterns.SENSITIVE.items():
+        for regex in regexes:
+            rows = df.select("note_id", "text", F.explode(find_spans(F.col("text"), "(?iU)" + regex)).alias("s")).where(
+                ~context(F.col("text"), F.col("s.start"), F.col("s.end"), 40).rlike(patterns.HARMLESS_CONTEXT))
+            want |= {(r.note_id, category, r.s.match, r.s.start, r.s.end) for r in rows.collect()}
+    assert got == want and len(want) > 500
+
+
+def test_long_texts_take_linear_time(spark):
+    """A text with many findings took a walk from its start, and a look at all the others, for each of them."""
+    text = "a divorce, some cancer and debts of x@y.com. " * 4000
+    df = spark.createDataFrame([(1, text)], "note_id long, text string")
+    begun = time.time()
+    assert P.audit_text(df).first()["violation_count"] == 4003
+    assert P.sanitize_training_data(df).first()["text"].count("[SENSITIVE:") == 12000
+    assert time.time() - begun < 40
+
+
+def test_report_of_rows_with_and_without_violations(spark):
+    rows = [(1, "plain"), (2, "a@b.com c@d.org cancer"), (3, None), (4, "75002 Paris a@b.com")]
+    audited = P.audit_text(spark.createDataFrame(rows, "note_id long, text string"))
+    assert P.sanitize_report(audited).first()["report"] == '{"total":4,"filtered":2,"pii_types":{"ADDRESS":1,"EMAIL":3,"HEALTH_DATA":1}}'
+    assert P.sanitize_report(audited.where("false")).first()["report"] == '{"total":0,"filtered":0,"pii_types":{}}'
+    reads = P.sanitize_report(audited)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert reads == 1
