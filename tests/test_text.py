@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from noteworks import config
 from noteworks.functions import rules, spans
 from noteworks.functions import text as T
 from noteworks.operators import concepts as C
@@ -228,3 +230,34 @@ def test_yake_moves_only_texts(spark):
     assert plan.count("Exchange") == 1
     found = made.collect()
     assert found and all(r["note_id"] == 1 for r in found)  # notes without an id have no phrase
+
+
+def test_entities_are_those_of_plain_patterns(spark):
+    """Patterns tried at the beginnings of words only, and where their last part stands at all, find the same."""
+    bits = ["paul", "anna", "12", "34 ans", ", 12 ans", "12 ansanna 15 ans", "0112 ans", "the 20 ans", "years old", "40 year old", "77jahre", "5 anni", "é1 22 años",
+            "nuts allergy", "the allergy", "allergie aux noix", "allergy au pollen", "intolérance au lait", "budget 5k", "budget de environ 10 - 20 k",
+            "presupuesto de 7 €", "9k flexible", "3 - 4 k budget", "a\u0301b 33 ans", "\U0001f600 44 ans", ",", "\n", "vegan", "VIP"]
+    rng = random.Random(3)
+    texts = ["", "x", *[rng.choice(("", " ")).join(rng.choices(bits, k=rng.randint(1, 12))) for _ in range(250)],
+             *[" ".join(rng.choices(bits, k=60)) for _ in range(50)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "note_id long, text string").cache()
+    low = F.lower("text")
+    families = [config.BUDGET_ENTITY_PATTERNS, config.AGE_ENTITY_PATTERNS, config.ALLERGY_ENTITY_PATTERNS]
+    found = 0
+    for pattern in [p for family in families for p in family]:
+        rows = df.select(K._all(low, pattern, 1).alias("a"), F.transform(F.regexp_extract_all(low, F.lit("(?U)" + pattern), F.lit(1)), lambda m: F.trim(m)).alias("b")).collect()
+        assert [(t, r.a, r.b) for t, r in zip([*texts, None], rows) if r.a != r.b] == []
+        found += sum(len(r.b or []) for r in rows)
+    assert found > 300
+    for pattern in config.AGE_ENTITY_PATTERNS:
+        for n in (1, 2):
+            whole = F.regexp_extract_all(low, F.lit("(?U)" + pattern), F.lit(n))
+            again = F.transform(K._all(low, pattern, 0), lambda m: F.regexp_extract(m, "(?U)" + pattern, n))  # noqa: B023
+            assert all(r.a == r.b for r in df.select(whole.alias("a"), again.alias("b")).collect())
+
+
+def test_entities_of_a_long_word(spark):
+    """Each letter of a word was tried as the beginning of a name, to the end of the word."""
+    begun = time.time()
+    got = value(spark, K.entities(F.concat(F.repeat(F.col("x"), 400000), F.lit(" paul 12 ans"))), x="a")
+    assert [e["entity"] for e in got] == ["paul 12 ans"] and time.time() - begun < 30
