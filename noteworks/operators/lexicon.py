@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -17,17 +18,45 @@ from noteworks import config
 from noteworks.functions import text as T
 from noteworks.functions import vectors as V
 from noteworks.operators.ranking import global_index, top_per_group
-from noteworks.operators.vectors import BLOCK, PIVOTS, _best, assign_cells, block_join, choose_pivots, embed_text
+from noteworks.operators.vectors import BLOCK, PIVOTS, _best, _matrix, assign_cells, block_join, choose_pivots, embed_text
 from noteworks.session import cut_lineage, literal_table
 
 
+def _finish(distance: float):
+    """Work function: the remaining rounds of a few clusters ``(id, n, vec)`` in memory; the cluster each ends in."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids, size, mean = pdf["id"].to_numpy(), pdf["n"].to_numpy(), _matrix(pdf["vec"])
+        row, names = np.arange(len(ids)), ids  # the row that holds each cluster given, and the name of each row
+        while len(names) > 1:
+            score = np.round(mean @ mean.T, 12)
+            np.fill_diagonal(score, -np.inf)
+            place, best = np.arange(len(names)), score.argmax(1)
+            into = np.flatnonzero((score[place, best] > 1 - distance) & (best[best] == place) & (place < best))
+            if not len(into):
+                break
+            gone = best[into]
+            total = size[into] + size[gone]
+            mean[into] = (mean[into] * size[into, None] + mean[gone] * size[gone, None]) / total[:, None]
+            size[into] = total
+            place[gone] = into
+            left = np.setdiff1d(np.arange(len(names)), gone)
+            row = np.searchsorted(left, place[row])
+            names, size, mean = names[left], size[left], mean[left]
+        return pd.DataFrame({"id": ids, "into": names[row]})
+
+    return work
+
+
 def cluster_terms(terms: DataFrame, distance: float = config.CONCEPT_DISTANCE, block: int = BLOCK,
                   n_pivots: int = PIVOTS) -> DataFrame:
     """Average-linkage clusters of ``(id, vec)`` on cosine distance, cut at ``distance``; exact and distributed.
 
     For unit vectors the average distance of two clusters is 1 - mean(A)·mean(B), so a cluster is its sum and
     its size. Average linkage never brings merged clusters closer to a third, so all pairs of mutual nearest
-    neighbours can merge at once, round by round, until no pair is closer than ``distance``.
+    neighbours can merge at once, round by round, until no pair is closer than ``distance``. Once no more than
+    ``block`` clusters have a partner within reach, one task makes the rounds that are left.
     """
     unit = terms.select(F.col("id").cast("long").alias("id"), V.l2_normalize(F.col("vec").cast("array<double>")).alias("vec"))
     # Copies are at distance zero and merge first in any order.
@@ -44,12 +73,17 @@ def cluster_terms(terms: DataFrame, distance: float = config.CONCEPT_DISTANCE, b
         pairs = block_join(cells, reach, pivots, _best(1, lambda a, b: a @ b.T), "id long, other long, score double", block)
         close = pairs.where(F.col("score") > 1 - distance)
         nearest = cut_lineage(close.groupBy("id").agg(F.min_by("other", F.struct((-F.col("score")).alias("s"), "other")).alias("other")))
+        # What is close to nothing stays so, since merging brings no cluster closer to a third: it is done.
+        active = state.join(nearest.select("id"), "id", "left_semi")
+        if nearest.limit(block + 1).count() <= block:
+            ends = active.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_finish(distance), "id long, into long")
+            return members.join(ends.withColumnRenamed("id", "cluster"), "cluster", "left").select("id", F.coalesce("into", "cluster").alias("cluster"))
         back = nearest.select(F.col("id").alias("other"), F.col("other").alias("id"))
         merges = cut_lineage(nearest.join(back, ["id", "other"], "left_semi").where("id < other").select(F.col("id").alias("into"), F.col("other").alias("id")))
         if merges.limit(1).count() == 0:
             break
         target = F.coalesce("into", "id")
-        grouped = state.join(merges, "id", "left").select(target.alias("id"), "n", "vec")
+        grouped = active.join(merges, "id", "left").select(target.alias("id"), "n", "vec")
         size = grouped.groupBy("id").agg(F.sum("n").alias("n"), F.collect_list(F.struct("n", "vec")).alias("parts"))
         # A merge joins exactly two clusters, so ``parts`` never has more than two entries.
         weighted = F.transform("parts", lambda p: F.transform(p["vec"], lambda x: x * p["n"]))

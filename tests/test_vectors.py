@@ -143,3 +143,35 @@ def test_lexicon_from_candidates(spark):
     apart = L.lexicon_from_candidates(spark.createDataFrame([rows[1], rows[2]], ddl), model=alike).collect()
     assert sorted((r.label, r.freq_notes) for r in apart) == [("oak", 5), ("rose garden", 5)]
     assert L.lexicon_from_candidates(spark.createDataFrame([], ddl)).count() == 0
+
+
+def test_visits_leave_in_bounded_frames(points):
+    """A batch used to leave as one frame, as large as all its visits to all cells together."""
+    data, _ = points
+    pivots = np.array(data[:7])
+    d = V._distances(np.array(data), pivots)
+    batch = pd.DataFrame({"id": range(len(data)), "vec": list(data), "dist": d.min(1), "reach": 4.0})
+    frames = list(V._visits(batch, pivots, np.full(7, 9.0), 16))
+    assert max(len(f) for f in frames) <= 16
+    got = pd.concat(frames)
+    assert sorted(zip(got["id"], got["cell"])) == [(i, c) for i in range(len(data)) for c in range(7)]
+    assert all((v == data[i]).all() for i, v in zip(got["id"], got["vec"]))
+
+
+def test_finished_clusters_leave_the_rounds(spark, points, monkeypatch):
+    """Vectors that are close to nothing were compared with all others in every round, and every round was distributed."""
+    seen, place = [], L.assign_cells
+    monkeypatch.setattr(L, "assign_cells", lambda points, pivots: (seen.append(points.count()), place(points, pivots))[1])
+    rows = [(i, [float(i == j) for j in range(12)]) for i in range(10)]
+    rows += [(20 + i, [0.0] * 10 + [1.0, 0.05 * i]) for i in range(4)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = {r["id"]: r["cluster"] for r in L.cluster_terms(df, 0.1, block=2).collect()}
+    assert [got[i] for i in range(10)] == list(range(10)) and {got[20 + i] for i in range(4)} == {20}
+    assert seen[0] == 14 and max(seen[1:]) <= 4
+    seen.clear()
+    assert {r["id"]: r["cluster"] for r in L.cluster_terms(df, 0.1).collect()} == got and seen == [14]
+    some, found = points[0][:90], {}
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(some)], "id long, vec array<double>")
+    for r in L.cluster_terms(df, 0.02).collect():
+        found.setdefault(r["cluster"], set()).add(r["id"])
+    assert {frozenset(g) for g in found.values()} == linkage(some, 0.02) and all(min(g) == c for c, g in found.items())
