@@ -12,6 +12,7 @@ from noteworks.functions.rules import half_up, priority_rank, score_tier
 from noteworks.functions.spans import let
 from noteworks.operators.ranking import global_index
 from noteworks.operators.state import upsert
+from noteworks.session import BROADCAST_ROW_LIMIT
 
 PLAYBOOK_SCHEMA = (
     "action_id string, title string, channel string, priority string, kpi string, buckets array<string>, "
@@ -118,17 +119,24 @@ def client_texts(notes: DataFrame) -> DataFrame:
 
 
 def match_event_clients(calendar: DataFrame, clients: DataFrame) -> DataFrame:
-    """Overlap of event concepts and client concepts as an equi-join on the concept."""
+    """Overlap of event concepts and client concepts as an equi-join on the concept.
+
+    Pairs are only counted, next to where a client's concepts lie, and the reason is the intersection of two lists
+    afterwards: no concept is ever shuffled once for each event that wants it.
+    """
     wanted = calendar.select("event_id", F.explode("concepts").alias("c")).select("event_id", F.trim(F.lower("c")).alias("concept")).where("concept <> ''").distinct()
+    near = F.broadcast if wanted.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT else (lambda side: side)
+    # A struct, since rows without a client id are a client too.
     have = clients.where(~F.coalesce("is_deleted", F.lit(False))).select(
-        "client_id", F.explode(T.split_terms(F.col("top_concepts"))).alias("c")
-    ).select("client_id", F.lower("c").alias("concept")).distinct()
-    hits = have.join(wanted, "concept").groupBy("event_id", "client_id").agg(
-        F.count("*").alias("overlap"), F.array_join(F.array_sort(F.collect_list("concept")), " | ").alias("match_reason")
-    )
-    best = hits.groupBy("event_id").agg(F.max("overlap").alias("best"), F.count("*").alias("matched_count"))
-    return hits.join(best, "event_id").select(
-        "event_id", "client_id", "match_reason", F.round(F.col("overlap") / F.col("best"), 3).alias("match_score"), "matched_count"
+        F.struct("client_id").alias("_who"), F.explode(T.split_terms(F.col("top_concepts"))).alias("c")
+    ).groupBy("_who").agg(F.array_sort(F.collect_set(F.lower("c"))).alias("_have"))
+    counted = have.select("_who", F.explode("_have").alias("concept")).join(near(wanted), "concept").groupBy(
+        "_who", "event_id").agg(F.count("*").alias("overlap"))
+    best = counted.groupBy("event_id").agg(F.max("overlap").alias("best"), F.count("*").alias("matched_count"))
+    lists = wanted.groupBy("event_id").agg(F.collect_list("concept").alias("_want"))
+    reason = F.array_join(F.array_intersect("_have", "_want"), " | ")
+    return counted.join(have.hint("merge"), "_who").join(near(best.join(lists, "event_id")), "event_id").select(
+        "event_id", "_who.client_id", reason.alias("match_reason"), F.round(F.col("overlap") / F.col("best"), 3).alias("match_score"), "matched_count"
     )
 
 
