@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from noteworks.operators import actions as A
+from noteworks.operators import concepts as C
 
 
 def _plan(df) -> str:
@@ -36,3 +37,19 @@ def test_event_matches(spark):
     assert {(r["event_id"], r["client_id"]): (r["match_reason"], r["match_score"], r["matched_count"]) for r in found} == rows
     dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", _plan(got))
     assert dealt and not [d for d in dealt if "event_id" in d and ("client_id" in d or "_who" in d)]
+
+
+def test_dictionary_walk(spark):
+    """Matches of a dictionary leave the marked text in one linear walk, not by a list folded step by step."""
+    texts = [None, "", "no match", "😀 red fox, RED red red fox red", "été rouge " * 300, ""]
+    notes = spark.createDataFrame([(i, i, x) for i, x in enumerate(texts)], "note_id long, client_id long, text string")
+    names = ["red", "red fox", "été", "rouge"]
+    found = C.match_aliases(notes, spark.createDataFrame([(n, "C") for n in names], "alias string, concept_id string"), 3)
+    assert "aggregate(" not in _plan(found)
+    want = []
+    for i, text in enumerate(texts):
+        seen = Counter()
+        for m in re.finditer(r"\b(?:red fox|red|été|rouge)\b", (text or "").lower()):
+            seen[m[0]] += 1
+            want += [(i, m[0], m.start(), m.end())] if seen[m[0]] <= 3 else []
+    assert [tuple(r) for r in found.select("note_id", "matched_alias", "span_start", "span_end").orderBy("note_id", "span_start").collect()] == want
