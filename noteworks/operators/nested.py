@@ -36,14 +36,18 @@ def nest(parents: DataFrame, key: str, children: dict[str, tuple[DataFrame, list
     A parent without children has one page of empty arrays; a kind that has run out has empty arrays on later
     pages. Null keys have no children; children without a parent are left out.
     """
-    parts = {name: paged(df.join(parents.select(key), key, "left_semi"), key, order, name, page) for name, (df, order) in children.items()}
-    first = parents.select(key, F.lit(0).cast("long").alias("page"))
-    pages = reduce(DataFrame.union, [p.select(key, "page") for p, _ in parts.values()], first).distinct()
-    out = parents.join(pages, key, "left").withColumn("page", F.coalesce("page", F.lit(0).cast("long")))
+    parts = {name: paged(df.where(F.col(f"`{key}`").isNotNull()), key, order, name, page) for name, (df, order) in children.items()}
+    kinds = {name: rows for name, (rows, _) in parts.items()}
+    if not parts:
+        return parents.withColumn("page", F.lit(0).cast("long"))
+    # Every kind begins with page 0, so pages of all kinds meet once, and then their parents by the key alone.
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds.values())
+    met = stacked.groupBy(key, "page").agg(*[F.first(name, ignorenulls=True).alias(name) for name in kinds])
+    out = parents.join(met, key, "left").withColumn("page", F.coalesce("page", F.lit(0).cast("long")))
     for name, (rows, totals) in parts.items():
-        out = out.join(totals, key, "left").join(rows, [key, "page"], "left")
         empty = F.array().cast(rows.schema[name].dataType)
-        out = out.withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0).cast("long"))).withColumn(name, F.coalesce(name, empty))
+        out = out.join(totals, key, "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0).cast("long"))).withColumn(
+            name, F.coalesce(name, empty))
     return out
 
 

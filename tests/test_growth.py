@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 from noteworks.operators import actions as A
 from noteworks.operators import concepts as C
+from noteworks.operators import nested as N
 
 
 def _plan(df) -> str:
@@ -53,3 +54,25 @@ def test_dictionary_walk(spark):
             seen[m[0]] += 1
             want += [(i, m[0], m.start(), m.end())] if seen[m[0]] <= 3 else []
     assert [tuple(r) for r in found.select("note_id", "matched_alias", "span_start", "span_end").orderBy("note_id", "span_start").collect()] == want
+
+
+def test_nested_pages_meet_once(spark):
+    """Pages of all kinds are exchanged once by key and page, whatever the number of kinds."""
+    rng = random.Random(5)
+    parents = [(i, f"p{i}") for i in range(8)] + [(3, "again"), (None, "nobody")]
+    kinds = {k: [(rng.choice([None, *range(10)]), n) for n in range(60)] for k in ("a", "b")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = N.nest(spark.createDataFrame(parents, "id long, name string"), "id",
+                     {k: (spark.createDataFrame(v, f"id long, {k}_n long"), [f"{k}_n"]) for k, v in kinds.items()}, page=4)
+        assert len(re.findall(r"Exchange hashpartitioning\([^)]*page", _plan(out))) <= 1
+        rows = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = []
+    for i, name in parents:
+        own = {k: sorted(n for j, n in v if j == i and i is not None) for k, v in kinds.items()}
+        pages = max(1, *(-(-len(v) // 4) for v in own.values()))
+        want += [(str(i), name, p, *((len(v), v[4 * p : 4 * p + 4]) for v in own.values())) for p in range(pages)]
+    got = [(str(r["id"]), r["name"], r["page"], *((r[f"n_{k}"], [x[f"{k}_n"] for x in r[k]]) for k in kinds)) for r in rows]
+    assert sorted(got) == sorted(want)
