@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -31,6 +33,10 @@ from noteworks.operators.vectors import (
 from noteworks.session import cut_lineage
 
 
+# Seeded runs fitted at the same time; each keeps its own copy of the rows in memory or on disk.
+FITS = 4
+
+
 def choose_k(n: int, override: int = 0) -> int:
     """Number of clusters for ``n`` rows; below two everything is one cluster."""
     k = override if override > 0 else min(8, max(3, int(math.sqrt(n / 2))))
@@ -43,11 +49,15 @@ def kmeans_segments(vectors: DataFrame, k: int, seed: int = 42, starts: int = 10
         return vectors.withColumn("cluster_id", F.lit(0)), []
     data = vectors.withColumn("features", array_to_vector("embedding")).repartitionByRange(key).sortWithinPartitions(key)
     data = cut_lineage(data)
-    best: KMeansModel | None = None
-    for i in range(starts):
+
+    def fit(i: int) -> tuple[float, KMeansModel]:
         model = KMeans(k=k, seed=seed + i, maxIter=300, featuresCol="features", predictionCol="cluster_id").fit(data)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
+        return model.summary.trainingCost, model
+
+    # A run is a chain of hundreds of short jobs; others fill the cores that one leaves idle between them.
+    with ThreadPool(FITS) as pool:
+        runs = pool.map(inheritable_thread_target(data.sparkSession)(fit), range(starts))
+    best = min(runs, key=lambda run: run[0])[1]  # of equal ones the first
     return best.transform(data).drop("features"), [list(map(float, c)) for c in best.clusterCenters()]
 
 

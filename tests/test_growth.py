@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import random
 import re
+import threading
 from collections import Counter, defaultdict
+from types import SimpleNamespace
+
+from pyspark.sql import functions as F
 
 from noteworks.operators import actions as A
+from noteworks.operators import clustering as K
 from noteworks.operators import concepts as C
 from noteworks.operators import nested as N
 
@@ -76,3 +81,31 @@ def test_nested_pages_meet_once(spark):
         want += [(str(i), name, p, *((len(v), v[4 * p : 4 * p + 4]) for v in own.values())) for p in range(pages)]
     got = [(str(r["id"]), r["name"], r["page"], *((r[f"n_{k}"], [x[f"{k}_n"] for x in r[k]]) for k in kinds)) for r in rows]
     assert sorted(got) == sorted(want)
+
+
+def test_seeded_runs_overlap(spark, monkeypatch):
+    """Seeded runs are fitted side by side, and the first of the cheapest wins."""
+    met = threading.Barrier(2, timeout=60)
+
+    class Fitted:
+        def __init__(self, seed):
+            self.seed, self.summary = seed, SimpleNamespace(trainingCost=[3.0, 1.0, 2.0, 1.0][seed - 7])
+
+        def transform(self, data):
+            return data.withColumn("cluster_id", F.lit(self.seed))
+
+        def clusterCenters(self):
+            return [[float(self.seed)]]
+
+    class Waiting:
+        def __init__(self, seed, **_):
+            self.seed = seed
+
+        def fit(self, data):
+            met.wait()
+            return Fitted(self.seed)
+
+    monkeypatch.setattr(K, "KMeans", Waiting)
+    rows = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "client_id long, embedding array<double>")
+    out, centres = K.kmeans_segments(rows, 2, seed=7, starts=4)
+    assert centres == [[8.0]] and {r["cluster_id"] for r in out.collect()} == {8}
