@@ -5,7 +5,9 @@ that of the reversed ids, sorted to the depth of the longest phrase. A phrase is
 it grows by a word on either side by a step in one transform, and the other interval follows. Shards list phrases with
 their counts and Spark adds them up. A phrase can only be frequent if its words and word pairs are, so shards first
 report words, then pairs of frequent words, then phrases of three words made of frequent pairs, and so on: nothing
-frequent is lost, and what is not frequent is a gap before the transforms are made.
+frequent is lost, and what is not frequent is a gap before the transforms are made. Before the round of three words
+every shard counts its windows of three words in slots of a hash; a window whose slot stays below the threshold in the
+whole language is not frequent and is a gap, too.
 """
 
 from __future__ import annotations
@@ -30,8 +32,11 @@ SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 
 BREAK = 0  # the id between pieces; words count from 1
 SHARD_BITS, WORD_BITS = 12, 25
+SLOT_SIZE = 3  # words of the windows that are counted in slots
+SLOT_BITS, SLOT_WORDS = (16, 24), 4  # least and most slots (as powers of two), and words of a language a slot
+PART_BITS = 16  # slots that travel in one row, at most
 
-SHARD = "shard long, lang string, words long, vocab array<binary>, counts array<long>, ids binary"
+SHARD = "shard long, lang string, words long, vocab array<binary>, counts array<long>, ids binary, marks binary"
 
 
 def _table() -> bytes:
@@ -142,6 +147,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def _shard_batches(limit: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
         from pyspark import TaskContext
 
         table, number = _table(), TaskContext.get().partitionId() << SHARD_BITS
@@ -160,9 +166,10 @@ def _shard_batches(limit: int):
             text = np.concatenate(ids[lang])
             names = [*vocab[lang]][2:]
             counts = np.bincount(text, minlength=len(names) + 1)[1:]
-            row = [number, lang, int(counts.sum()), names, counts, _pack(text)]
+            marks = np.fromiter(map(xxhash.xxh32_intdigest, names), np.uint32, len(names))
+            row = [number, lang, int(counts.sum()), names, counts, _pack(text), marks.tobytes()]
             number += 1
-            types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
+            types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             names_ = [c.split()[0] for c in SHARD.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names_)
 
@@ -185,6 +192,62 @@ def _shard_batches(limit: int):
     return work
 
 
+def slots_of(ids: np.ndarray, marks: bytes, bits: int) -> np.ndarray:
+    """The slot (of 2 to the power of ``bits``) of each window of ``SLOT_SIZE`` ids, by the marks of its words."""
+    mark = np.concatenate((np.zeros(1, np.uint64), np.frombuffer(marks, np.uint32).astype(np.uint64)))[ids]
+    windows = max(0, len(ids) - SLOT_SIZE + 1)
+    out = np.zeros(windows, np.uint64)
+    for i in range(SLOT_SIZE):
+        out = (out ^ mark[i : i + windows]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return (out >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _slot_batches(bits: int, least: int):
+    """The slots that a shard's windows take with their counts (to ``least``), a row for each part of the slots."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, packed, marks in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                ids = _unpack(packed)
+                slots = slots_of(ids, marks, bits)
+                whole = np.logical_and.reduce([ids[i : i + len(slots)] != BREAK for i in range(SLOT_SIZE)])
+                slot, count = np.unique(slots[whole], return_counts=True)
+                count = np.minimum(count, least)
+                part, first = np.unique(slot >> PART_BITS, return_index=True)
+                cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(slot)]))
+                inside = slot & ((1 << PART_BITS) - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(part), pa.string()), pa.array(part, pa.int64()),
+                     pa.array([_pack(inside[a:z]) for a, z in cuts], pa.binary()),
+                     pa.array([_pack(count[a:z]) for a, z in cuts], pa.binary())], ["lang", "part", "slots", "counts"])
+
+    return work
+
+
+def _full_slots(least: int):
+    """One bit a slot of a part: whether all shards of the language count ``least`` windows there."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        total = np.zeros(1 << PART_BITS, np.int64)
+        for slots, counts in zip(rows.column("slots"), rows.column("counts")):
+            total[_unpack(slots.as_py())] += _unpack(counts.as_py())  # a shard names a slot once
+        full = np.packbits(total >= least).tobytes()
+        return pa.table({"lang": rows.column("lang")[:1], "part": rows.column("part")[:1], "full": pa.array([full], pa.binary())})
+
+    return work
+
+
+def full_slots(shards: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """``shard, part, full``: the slots of its language in which windows of a shard may be frequent, and how many bits
+    a slot has. Slots grow with the largest language up to a bound; fuller ones only rule out less."""
+    largest = shards.groupBy("lang").agg(F.sum("words").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    bits = min(max((largest // SLOT_WORDS).bit_length(), SLOT_BITS[0]), SLOT_BITS[1])
+    counted = shards.select("lang", "ids", "marks").mapInArrow(_slot_batches(bits, least), "lang string, part long, slots binary, counts binary")
+    full = cut_lineage(counted.groupBy("lang", "part").applyInArrow(_full_slots(least), "lang string, part long, full binary"))
+    return shards.select("shard", "lang").join(full, "lang").select("shard", "part", "full"), bits
+
+
 def without_gaps(ids: np.ndarray, kept: np.ndarray) -> np.ndarray:
     """The ids with breaks where ``kept`` is false, one break a gap and one at either end."""
     out = np.concatenate(([BREAK], np.where(kept, ids, BREAK), [BREAK]))
@@ -196,10 +259,11 @@ def _read_shard(shard: pa.Table, side: pa.Table, size: int) -> tuple[np.ndarray,
     words by local ids, a row each."""
     ids = _unpack(shard.column("ids")[0].as_py())
     at = side.column("at").to_numpy()
+    words, phrases = side.filter(pa.array(at > 0)), side.filter(pa.array(at == 0))
     names = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
-    names[at[at > 0]] = side.column("g1").to_numpy()[at > 0]
+    names[words.column("at").to_numpy()] = words.column("g1").to_numpy()
     order = np.argsort(names, kind="stable")
-    grams = [side.column(f"g{i + 1}").to_numpy()[at == 0] for i in range(size)]
+    grams = [phrases.column(f"g{i + 1}").to_numpy() for i in range(size)]
     return ids, names, np.column_stack([order[np.searchsorted(names, g, sorter=order)] for g in grams])
 
 
@@ -242,9 +306,19 @@ class Known:
         return fits & (self.keys[at] == key) if len(self.keys) else fits & False
 
 
-def _grown(length: int):
-    """Phrases of ``length`` words of a shard whose first and last ``length - 1`` words are frequent phrases. Odd
-    lengths grow to the right, even ones to the left."""
+def _may_be_frequent(ids: np.ndarray, marks: bytes, side: pa.Table, bits: int) -> np.ndarray:
+    """Whether the slot of each window of ``SLOT_SIZE`` ids is full in the shard's language."""
+    full = np.zeros((max(1, 1 << bits >> PART_BITS), 1 << PART_BITS >> 3), np.uint8)
+    parts = side.filter(pa.array(side.column("at").to_numpy() < 0))
+    for part, own in zip(parts.column("part").to_pylist(), parts.column("full")):
+        full[part] = np.frombuffer(own.as_py(), np.uint8)
+    slots = slots_of(ids, marks, bits)
+    return (full.ravel()[slots >> 3] << (slots & 7) & 128) > 0
+
+
+def _grown(length: int, bits: int):
+    """Phrases of ``length`` words of a shard whose first and last ``length - 1`` words are frequent phrases, and
+    (of ``SLOT_SIZE`` words) whose slot is full. Odd lengths grow to the right, even ones to the left."""
 
     def work(shard: pa.Table, side: pa.Table) -> pa.Table:
         fields = ["shard", *(f"g{i}" for i in range(1, length + 1)), "n"]
@@ -254,8 +328,11 @@ def _grown(length: int):
         known, wanted = Known(grams, len(names)), names > 0
         windows = len(ids) - length + 2
         found = known(np.column_stack([ids[i : i + windows] for i in range(length - 1)])) if windows > 0 else np.zeros(0, bool)
+        found = found[:-1] & found[1:]
+        if length == SLOT_SIZE:
+            found &= _may_be_frequent(ids, shard.column("marks")[0].as_py(), side, bits)
         cover = np.zeros(len(ids), bool)
-        for i in range(length - 1):
+        for i in range(length):
             cover[i : i + len(found)] |= found
         index = Index(without_gaps(ids, cover))
         live = index.words(np.flatnonzero(wanted[: index.base]))
@@ -264,6 +341,8 @@ def _grown(length: int):
             live = index.extend(live, "right" if size % 2 else "left", wanted)
         live = index.extend(live.keep(known(live.words)), "right" if length % 2 else "left", wanted)
         live = live.keep(known(live.words[:, :-1]) & known(live.words[:, 1:]))
+        if length == SLOT_SIZE:  # gaps of other windows may leave some of them whole
+            live = live.keep(_may_be_frequent(live.words.ravel(), shard.column("marks")[0].as_py(), side, bits)[::length])
         columns = names[live.words].T if len(live.count) else np.zeros((length, 0), np.int64)
         return pa.table([pa.repeat(shard.column("shard")[0], len(live.count)), *columns, live.count], names=fields)
 
@@ -302,13 +381,17 @@ def count_phrases(shards: DataFrame, least: int = LEAST, depth: int = DEPTH) ->
         "g1", F.min(own).over(Window.partitionBy("lang", "word"))).select("shard", "lang", "at", "word", "f", "g1"))
     names = words.groupBy(F.col("g1").alias("ident")).agg(*[F.first(c).alias(c) for c in ("lang", "word", "f")])
     columns = [f"g{i}" for i in range(1, depth + 1)]
-    side, texts = words.select("shard", "at", "g1"), shards.select("shard", "ids").groupBy("shard")
+    side, texts = words.select("shard", "at", "g1"), shards.select("shard", "ids", "marks").groupBy("shard")
+    slots, bits = full_slots(shards, least) if depth >= SLOT_SIZE else (None, 0)
     parts, last = [_keyed(names, ["ident"])], None
     for length in range(2, depth + 1):
         own = columns[:length]
         given = side if last is None else side.unionByName(last.drop("f").withColumn("at", F.lit(0).cast("long")), allowMissingColumns=True)
+        if length == SLOT_SIZE:
+            given = given.unionByName(slots.withColumn("at", F.lit(-1).cast("long")), allowMissingColumns=True)
+            given = given.select(*[F.col(c).alias(c) for c in given.columns])  # columns of its own, since it meets the shards again
         found = texts.cogroup(given.groupBy("shard")).applyInArrow(
-            _pairs if length == 2 else _grown(length), ", ".join(["shard long", *(f"{c} long" for c in own), "n long"]))
+            _pairs if length == 2 else _grown(length, bits), ", ".join(["shard long", *(f"{c} long" for c in own), "n long"]))
         last = cut_lineage(_frequent(found, own, least).select("shard", *own, "f"))
         parts.append(_keyed(last.groupBy(*own).agg(F.first("f").alias("f")), own))
     return cut_lineage(reduce(DataFrame.unionByName, parts)), names.select("ident", "lang", "word")

@@ -206,6 +206,37 @@ def test_collocations(spark, phrase_texts):
     assert collocations.collocations(docs.where("text IS NULL")).count() == 0
 
 
+def test_three_words_of_frequent_pairs_are_counted_before_they_are_listed(spark, monkeypatch):
+    """Pairs are frequent here, but hardly a phrase of three words: few of these may leave the shards."""
+    rows = [(f"a{i % 60} m. m b{i % 60}. x y z",) for i in range(1200)] + [(f"a{i} m b{(7 * i) % 60}",) for i in range(60)]
+    docs = spark.createDataFrame(rows, "text string").withColumn("lang", F.lit("en")).repartition(3)
+    made, listed = {}, collocations._frequent
+
+    def counted(found, keys, least):
+        made[len(keys)] = found.count()
+        return listed(found, keys, least)
+
+    monkeypatch.setattr(collocations, "_frequent", counted)
+    shards = collocations.index_shards(docs)
+    phrases, _ = collocations.count_phrases(shards, least=20)
+    sizes = {r["n"]: r["count"] for r in phrases.groupBy(F.size("g").alias("n")).count().collect()}
+    assert sizes[2] == 122 and sizes[3] == 1  # a. m, m b., x y, y z; x y z
+    assert made[3] <= 6  # the 60 windows "a. m b." occur once each
+
+
+def test_slots_rule_out_nothing_frequent():
+    rng = np.random.default_rng(7)
+    texts = [np.concatenate(([0], rng.integers(0, 9, 400), [0])) for _ in range(3)]
+    marks = rng.integers(0, 1 << 32, 8, np.uint32).tobytes()
+    slots = np.concatenate([collocations.slots_of(t, marks, 16) for t in texts])
+    windows = np.concatenate([np.column_stack([t[i : len(t) - 2 + i] for i in range(3)]) for t in texts])
+    slot_of = {}
+    for window, slot in zip(map(tuple, windows.tolist()), slots.tolist()):
+        assert slot_of.setdefault(window, slot) == slot and 0 <= slot < 1 << 16
+    assert len(collocations.slots_of(np.zeros(2, np.int64), marks, 16)) == 0
+
+
+
 def test_exact_scores_beyond_64_bits(spark):
     counts = (7 * 10**14, 9 * 10**15 - 1, 8 * 10**14 + 1, 10**15 - 3)
     row = spark.createDataFrame([counts], "a long, n long, l long, r long")
