@@ -62,9 +62,8 @@ def row_key(df: DataFrame, name: str = "_row") -> DataFrame:
 
 def take_rows(keyed: DataFrame, takes: DataFrame, name: str = "_row") -> DataFrame:
     """Rows of ``keyed`` as often as told. ``takes`` has for each row key the rows that share it (``_rows``) and
-    how many of them go out in all (``_copies``); keys it lacks go. Only repeated rows are gathered."""
-    met = keyed.join(takes, name).where("_copies > 0")
-    single = met.where("_rows = 1")
-    repeated = met.where("_rows > 1").dropDuplicates([name])
+    how many of them go out in all (``_copies``); keys it lacks go. Both sides are dealt and sorted by key for the
+    join, so that repeated rows, which are neighbours then, need no further shuffle and nothing is read twice."""
+    met = keyed.join(takes, name).where("_copies > 0").dropDuplicates([name])
     copies = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return single.union(repeated).withColumn("_copy", copies).drop(name, "_rows", "_copies", "_copy")
+    return met.withColumn("_copy", copies).drop(name, "_rows", "_copies", "_copy")

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from noteworks.llm import hilbert, langid, lm, mixing, pieces, quality, secrets, simhash, sketch, suffixes
+from noteworks.llm import common, hilbert, langid, lm, mixing, pieces, quality, secrets, simhash, sketch, suffixes
 from noteworks.llm.queries import vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, quality string, secrets string"
@@ -439,3 +439,12 @@ def test_pipeline_as_a_whole(spark, tmp_path):
         texts_of.setdefault(r[0], set()).add(masked_text(r[1]))
     assert back and all(r.doc_id in ids and r.text in texts_of[r.doc_id] for r in back)
     assert max(Counter(r.doc_id for r in back).values()) <= 3
+
+
+def test_rows_are_taken_in_one_join(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (4, None)], "doc_id long, text string")
+    keyed = common.row_key(rows)
+    takes = keyed.groupBy("_row").agg(F.count("*").alias("_rows"), F.min("doc_id").alias("_copies")).where("_copies <> 3")
+    taken = common.take_rows(keyed, takes.withColumn("_copies", F.expr("IF(_copies = 4, 0, _copies)")))
+    assert sorted((r["doc_id"], r["text"]) for r in taken.collect()) == [(1, "a"), (2, "b"), (2, "b")]
+    assert taken._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
