@@ -63,10 +63,23 @@ def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
     return rows.withColumn("weight", weight)
 
 
-def _pipeline(estimator) -> Pipeline:
+def _scaler() -> StandardScaler:
     # Not centred: sparse vectors stay sparse, trees do not care, and the intercept of a linear model absorbs it.
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=False, withStd=True)
-    return Pipeline(stages=[scaler, estimator])
+    return StandardScaler(inputCol="features", outputCol="scaled", withMean=False, withStd=True)
+
+
+def _pipeline(estimator) -> Pipeline:
+    return Pipeline(stages=[_scaler(), estimator])
+
+
+def fit_all(estimators: list, rows: DataFrame) -> list[PipelineModel]:
+    """A model of each estimator behind one scaler. Every fit passes over the rows several times, so they are ordered
+    once, and the checkpoint keeps their partitions."""
+    asked = {e.getOrDefault(p) for e in estimators for p in (e.labelCol, e.weightCol) if e.isDefined(p)}
+    data = cut_lineage(ordered(rows.select(*[c for c in rows.columns if c in {"client_id", "features", *asked}])))
+    scaler = _scaler().fit(data)
+    scaled = scaler.transform(data)
+    return [PipelineModel(stages=[scaler, e.fit(scaled)]) for e in estimators]
 
 
 def classification_metrics(scored: DataFrame, label: str) -> dict[str, float]:
@@ -89,21 +102,21 @@ def _importances(model: PipelineModel, top: int = 10) -> list[tuple[int, float]]
 def train_purchase(rows: DataFrame, trees: int = 100, depth: int = 10, label: str = "purchased", seed: int = 42) -> tuple[PipelineModel, dict]:
     train, test = split(rows, label=label)
     forest = RandomForestClassifier(featuresCol="scaled", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
-    model = _pipeline(forest).fit(ordered(train))
+    model, = fit_all([forest], train)
     return model, {**classification_metrics(model.transform(test), label), "importances": _importances(model)}
 
 
 def train_churn(rows: DataFrame, trees: int = 100, depth: int = 10, label: str = "churned", seed: int = 42) -> tuple[PipelineModel, dict]:
     train, test = split(rows, label=label)
     forest = RandomForestClassifier(featuresCol="scaled", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)
-    model = _pipeline(forest).fit(ordered(balanced_weights(train, label)))
+    model, = fit_all([forest], balanced_weights(train, label))
     return model, classification_metrics(model.transform(test), label)
 
 
 def train_clv(rows: DataFrame, trees: int = 100, depth: int = 10, label: str = "lifetime_value", seed: int = 42) -> tuple[PipelineModel, dict]:
     train, test = split(rows)
     forest = RandomForestRegressor(featuresCol="scaled", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
-    model = _pipeline(forest).fit(ordered(train))
+    model, = fit_all([forest], train)
     return model, regression_metrics(model.transform(test), label)
 
 
@@ -124,13 +137,12 @@ def _vote(models: list[PipelineModel], rows: DataFrame, key: str, value: Column,
 def ensemble_classifier(rows: DataFrame, label: str, trees: int = 100, depth: int = 10, seed: int = 42) -> tuple[list[PipelineModel], dict]:
     """Forest, boosted trees and logistic regression; the vote averages their probabilities."""
     train, test = split(rows, label=label)
-    data = ordered(train)
     kinds = [
         RandomForestClassifier(featuresCol="scaled", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed),
         GBTClassifier(featuresCol="scaled", labelCol=label, maxIter=max(5, trees // 5), maxDepth=min(5, depth), seed=seed),
         LogisticRegression(featuresCol="scaled", labelCol=label, maxIter=100),
     ]
-    models = [_pipeline(k).fit(data) for k in kinds]
+    models = fit_all(kinds, train)
     voted = vote_classes(models, test)
     auc = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability_mean").evaluate(voted)
     right = voted.agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("a")).first()["a"]
@@ -146,13 +158,12 @@ def vote_classes(models: list[PipelineModel], rows: DataFrame, key: str = "clien
 def ensemble_regressor(rows: DataFrame, label: str, trees: int = 100, depth: int = 10, seed: int = 42) -> tuple[list[PipelineModel], dict]:
     """Forest, boosted trees and ridge; the vote averages their predictions."""
     train, test = split(rows)
-    data = ordered(train)
     kinds = [
         RandomForestRegressor(featuresCol="scaled", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed),
         GBTRegressor(featuresCol="scaled", labelCol=label, maxIter=max(5, trees // 5), maxDepth=min(5, depth), seed=seed),
         LinearRegression(featuresCol="scaled", labelCol=label, regParam=1.0, elasticNetParam=0.0),
     ]
-    models = [_pipeline(k).fit(data) for k in kinds]
+    models = fit_all(kinds, train)
     return models, regression_metrics(vote_values(models, test), label)
 
 
@@ -234,7 +245,7 @@ def prediction_accuracy(collected: DataFrame) -> DataFrame:
 def incremental_update(old: PipelineModel, new_rows: DataFrame, label: str, trees: int = 50, depth: int = 10, seed: int = 42) -> list[tuple[PipelineModel, int]]:
     """A delta forest grown on the new rows beside the old one, each weighing as many votes as it has trees."""
     forest = RandomForestClassifier(featuresCol="scaled", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
-    delta = _pipeline(forest).fit(ordered(new_rows))
+    delta, = fit_all([forest], new_rows)
     return [(old, old.stages[-1].getNumTrees), (delta, trees)]
 
 
