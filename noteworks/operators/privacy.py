@@ -12,7 +12,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteworks import config, patterns
+from noteworks import patterns
 from noteworks.functions.spans import (
     blocks,
     context,
@@ -29,6 +29,7 @@ from noteworks.functions.spans import (
 from noteworks.functions.rules import rate
 from noteworks.functions.vectors import dot
 from noteworks.operators.concepts import trie_pattern
+from noteworks.operators.grams import gram_batches
 from noteworks.session import one_row
 
 TAGGED_TYPE = "array<struct<start:int,end:int,label:string>>"
@@ -349,28 +350,8 @@ def audit_samples(audited: DataFrame, key: str = "note_id", k: int = 10) -> Data
 
 def ngrams_with_spans(texts: DataFrame, text: str = "text", key: str = "note_id", max_n: int = 3) -> DataFrame:
     """Word n-grams with the span from the first to the last word; lone skip words are left out."""
-    word = r"[A-Za-zÀ-ÿ](?:[A-Za-zÀ-ÿ'-]*[A-Za-zÀ-ÿ])?"
-    tokens = texts.select(key, find_spans(F.col(text), word).alias("w"))
-
-    def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(0), F.size("w") - n)
-
-        def gram(i: Column) -> Column:
-            return F.struct(
-                F.concat_ws(" ", *[F.get("w", i + j)["match"] for j in range(n)]).alias("phrase"),
-                F.get("w", i)["start"].alias("start"),
-                F.get("w", i + n - 1)["end"].alias("end"),
-            )
-
-        made = F.when(F.size("w") >= n, F.transform(starts, gram))
-        if n == 1:
-            made = F.filter(made, lambda g: ~F.lower(g["phrase"]).isin(*config.SKIP_WORDS))
-        return F.coalesce(made, F.array().cast("array<struct<phrase:string,start:int,end:int>>"))
-
-    every = F.concat(*[grams(n) for n in range(1, max_n + 1)])
-    return explode_items(tokens, every, "g", key).select(
-        key, "g.phrase", F.col("g.start").alias("span_start"), F.col("g.end").alias("span_end")
-    )
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, text).mapInArrow(gram_batches(max_n), f"`{key}` {kind}, phrase string, span_start int, span_end int")
 
 
 def sensitive_by_similarity(

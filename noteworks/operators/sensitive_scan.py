@@ -11,16 +11,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteworks import patterns
-from noteworks.functions.spans import context, explode_items, keep_disjoint, let, overlaps
+from noteworks.functions.spans import blocks, cut, explode_items, keep_disjoint, let, overlaps
+from noteworks.operators.grams import gram_batches, phrase_batches, phrase_slots
 from noteworks.operators.models import train_sensitive_head
-from noteworks.operators.privacy import ngrams_with_spans, sensitive_findings
+from noteworks.operators.privacy import sensitive_findings
 from noteworks.operators.vectors import embed_text
 from noteworks.session import cut_lineage, small_table
 
@@ -54,7 +55,7 @@ def fit_head(rows: DataFrame, embed: Embed = _embed, layers: tuple[int, ...] = (
     return train_sensitive_head(embed(known).select("category", array_to_vector("embedding").alias("features")), layers, seed)
 
 
-def _near(references: list[tuple[str, list[float]]], similarity: float, margin: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _near(references: list[tuple[str, list[float]]], similarity: float, margin: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Task function: rows ``(phrase, embedding)`` to those near a protected reference, with its category and cosine.
 
     Cosines are rounded to nine digits, so that equal ones tie; the category first in the alphabet wins. Without a
@@ -65,21 +66,24 @@ def _near(references: list[tuple[str, list[float]]], similarity: float, margin:
     codes = np.array([names.index(c) if c != SAFE else len(names) for c, _ in references])
     rows, block = ROWS, BLOCK
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), rows):
-                part = pdf.iloc[at : at + rows]
-                vectors = np.vstack(part["embedding"].to_numpy())
-                best = np.full((len(part), len(names) + 1), -1.0)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = batch.filter(batch.column(1).is_valid())
+            for at in range(0, known.num_rows, rows):
+                part = known.slice(at, rows)
+                vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                best = np.full((len(vectors), len(names) + 1), -1.0)
                 for first in range(0, len(matrix), block):
                     cosine = np.round(vectors @ matrix[first : first + block].T, 9)
                     own = codes[first : first + block]
                     for code in np.unique(own):
                         best[:, code] = np.maximum(best[:, code], cosine[:, own == code].max(axis=1))
                 label, top = best[:, :-1].argmax(axis=1), best[:, :-1].max(axis=1)
-                keep = (top >= similarity) & (top > best[:, -1] + margin)
-                kept = part[["phrase", "embedding"]][keep]
-                yield kept.assign(label=np.array(names, dtype=object)[label[keep]], score=top[keep])
+                keep = np.flatnonzero((top >= similarity) & (top > best[:, -1] + margin))
+                kept = part.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(
+                    [kept.column(0), kept.column(1), pa.array(names, pa.string()).take(pa.array(label[keep])), pa.array(top[keep])],
+                    ["phrase", "embedding", "label", "score"])
 
     return score
 
@@ -90,8 +94,10 @@ def score_phrases(phrases: DataFrame, references: list[tuple[str, list[float]]],
     than to a safe one. With a ``head`` its category counts, and it must be protected and sure."""
     if not any(category != SAFE for category, _ in references):
         return phrases.select("phrase", F.lit("").alias("label"), F.lit(0.0).alias("score")).limit(0)
-    vectors = embed(phrases.select("phrase")).where("embedding IS NOT NULL").select("phrase", "embedding")
-    near = vectors.mapInPandas(_near(references, similarity, margin), "phrase string, embedding array<double>, label string, score double")
+    # What has no embedding is left out by the task function: a filter here would move below a ``distinct`` and embed
+    # every occurrence of a phrase.
+    vectors = embed(phrases.select("phrase")).select("phrase", F.col("embedding").cast("array<double>"))
+    near = vectors.mapInArrow(_near(references, similarity, margin), "phrase string, embedding array<double>, label string, score double")
     if head is None:
         return near.select("phrase", "label", "score")
     labels = head.stages[0].labels
@@ -111,14 +117,18 @@ def sensitive_scan(texts: DataFrame, references: list[tuple[str, list[float]]],
     be unique; rows without key or text have no hit; columns beside the two play no part.
     """
     bare = texts.select(key, "text").where(F.col(key).isNotNull() & F.col("text").isNotNull())
-    grams = ngrams_with_spans(bare, key=key)
-    good = cut_lineage(score_phrases(grams.select("phrase").distinct(), references, head, embed, **thresholds))
+    phrases = bare.select("text").mapInArrow(phrase_batches(3), "phrase string").distinct()
+    good = cut_lineage(score_phrases(phrases, references, head, embed, **thresholds))
+    # Most runs are like nothing: what has no slot among the good phrases need not meet them.
+    kind = bare.schema[key].dataType.simpleString()
+    grams = bare.mapInArrow(gram_batches(3, phrase_slots(good)), f"`{key}` {kind}, phrase string, span_start int, span_end int")
     hits = grams.join(small_table(good), "phrase")
     span = F.struct((-F.round("score", 4)).alias("key"), F.col("span_start").alias("start"), F.col("span_end").alias("end"), "phrase", "label")
     # One list per text: it cannot grow beyond the word runs of that text.
     lists = hits.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(span)).cast(HIT_TYPE).alias("_hits"))
     both = bare.join(lists, F.col(key) == F.col("_key"))
-    clear = F.filter("_hits", lambda h: ~context(F.col("text"), h["start"], h["end"], 40).rlike(patterns.HARMLESS_CONTEXT))
+    clear = let(blocks(F.col("text")), lambda parts: F.filter("_hits", lambda h: ~cut(
+        parts, F.greatest(h["start"] - 40, F.lit(0)), h["end"] + 40).rlike(patterns.HARMLESS_CONTEXT)))
     disjoint = keep_disjoint(clear, HIT_TYPE)
     if novel_only:  # findings are made once a text, not once a hit
         disjoint = let(sensitive_findings(F.col("text")), lambda known: F.filter(disjoint, lambda h: ~F.exists(known, lambda k: overlaps(h, k))))

@@ -6,10 +6,12 @@ same way in Spark and in SQL, over the whole table.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from noteworks import config, patterns
-from noteworks.functions import vectors as V
 from noteworks.operators import keyphrases as K
 from noteworks.operators import privacy as P
 from noteworks.operators import sensitive_scan as N
@@ -171,9 +173,22 @@ _WORD = r"[A-Za-zÀ-ÿ](?:[A-Za-zÀ-ÿ'-]*[A-Za-zÀ-ÿ])?"
 
 
 def letter_vectors(phrases):
-    low = F.lower("phrase")
-    counts = F.transform(F.lit(list(LETTERS)), lambda c: (F.length(low) - F.length(F.replace(low, c, F.lit("")))).cast("double"))
-    return phrases.withColumn("embedding", V.l2_normalize(counts))
+    first, size = ord(LETTERS[0]), len(LETTERS)
+
+    @F.arrow_udf("array<double>")
+    def unit(low: pa.Array) -> pa.Array:
+        data = low.cast(pa.large_binary())
+        ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+        letters = np.frombuffer(data.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.int64) - first
+        row = np.repeat(np.arange(len(data)), np.diff(ends))
+        known = (letters >= 0) & (letters < size)
+        counts = np.bincount(row[known] * size + letters[known], minlength=len(data) * size).reshape(len(data), size).astype(np.float64)
+        length = np.sqrt((counts * counts).sum(1))
+        made = counts / np.where(length > 0, length, 1)[:, None]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(data) + 1, dtype=np.int32) * size), pa.array(made.ravel()))
+        return pc.if_else(data.is_valid(), lists, None) if data.null_count else lists
+
+    return phrases.withColumn("embedding", unit(F.lower("phrase")))
 
 
 def training_phrases(spark):

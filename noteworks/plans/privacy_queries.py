@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from noteworks import patterns
+from noteworks import config, patterns
 from noteworks.operators import privacy as P
 from noteworks.plans import tables
 from noteworks.plans.registry import query
@@ -185,7 +185,7 @@ sizes AS (SELECT doc_id, w, len(w) AS n FROM tokens),
 skips AS (SELECT doc_id, n, len(list_filter(w, lambda x: lower(x) IN (SKIP))) AS s FROM sizes)
 SELECT doc_id, CAST(greatest(n - s, 0) + greatest(n - 1, 0) + greatest(n - 2, 0) AS BIGINT) AS phrases
 FROM skips WHERE greatest(n - s, 0) + greatest(n - 1, 0) + greatest(n - 2, 0) > 0""".replace(
-    "SKIP", ", ".join(f"'{w}'" for w in P.config.SKIP_WORDS)))
+    "SKIP", ", ".join(f"'{w}'" for w in config.SKIP_WORDS)))
 def sensitive_ngrams(spark, folder):
     docs = tables.spread(tables.read(spark, folder, "documents"))
     return P.ngrams_with_spans(docs, key="doc_id").groupBy("doc_id").agg(F.count("*").alias("phrases"))
