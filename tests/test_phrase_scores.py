@@ -53,3 +53,14 @@ def test_runs_by_degree_over_frequency(notes):
 def test_no_list_of_a_whole_note_is_gathered(notes):
     plan = _plan(K.keywords_yake(notes))
     assert "collect_list" not in plan and "Window" not in plan
+
+
+def test_texts_are_mined_once(notes):
+    plan = _plan(K.mine_candidates(notes, with_yake=False))
+    assert plan.count("MapInArrow") == 1
+
+
+def test_first_notes_of_a_candidate(spark):
+    rows = [(i, "EN", "red leather bag, linen coat") for i in (9, 3, 40, 7, 22, 5, 18)] + [(None, "FR", "red leather bag, linen coat")]
+    found = K.mine_candidates(spark.createDataFrame(rows, SCHEMA), known_words=[]).where("freq_notes = 8").collect()
+    assert found and all(r["languages"] == ["EN", "FR"] and r["example_note_ids"] == [3, 5, 7, 9] for r in found)
