@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -23,7 +24,6 @@ from noteworks.operators.vectors import (
     BLOCK,
     PIVOTS,
     _distances,
-    _matrix,
     assign_cells,
     block_join,
     choose_pivots,
@@ -128,17 +128,16 @@ def _forest(eps: float):
     """Work function: edges that join, within reach ``eps``, all that this block and chunk can join. At most
     one edge per vector leaves, never all pairs."""
 
-    def work(homes: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
+    def work(ids: np.ndarray, vecs: np.ndarray, homes: Iterator[tuple[np.ndarray, ...]]) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
-        if len(homes) and len(visitors):
-            ids = homes["id"].to_numpy()
-            near = _distances(_matrix(visitors["vec"]), _matrix(homes["vec"])) <= eps
-            group = np.arange(len(ids))
-            for guest, row in zip(visitors["id"].to_numpy(), near):
+        for others, matrix, mask in homes:
+            near = _distances(vecs[mask], matrix) <= eps
+            group = np.arange(len(others))
+            for guest, row in zip(ids[mask], near):
                 met = np.flatnonzero(row)
                 if len(met):
                     found, first = np.unique(group[met], return_index=True)
-                    out += [(guest, ids[met[i]]) for i in first]
+                    out += [(guest, others[met[i]]) for i in first]
                     group[np.isin(group, found)] = found[0]
         pairs = pd.DataFrame(out, columns=["a", "b"]).astype("int64")
         return pairs[pairs["a"] != pairs["b"]]
@@ -153,8 +152,8 @@ def dbscan(points: DataFrame, eps: float = 0.3, block: int = BLOCK, n_pivots: in
     reps, keyed = distinct_points(typed, 1)
     reps, keyed = cut_lineage(reps), cut_lineage(keyed)
     pivots = choose_pivots(reps, n_pivots, block)
-    cells = cut_lineage(assign_cells(reps.select("id", "vec"), pivots))
-    edges = block_join(cells, cells.withColumn("reach", F.lit(float(eps))), pivots, _forest(eps), "a long, b long", block)
+    cells = assign_cells(reps.select("id", "vec"), pivots)
+    edges = block_join(cells.withColumn("reach", F.lit(float(eps))), pivots, _forest(eps), "a long, b long", block)
     labels = connected_components(reps, edges)
     members = keyed.join(labels.withColumnRenamed("id", "rep"), "rep")
     sizes = members.groupBy("label").agg(F.count("*").alias("n"))

@@ -18,7 +18,7 @@ from noteworks import config
 from noteworks.functions import text as T
 from noteworks.functions import vectors as V
 from noteworks.operators.ranking import global_index, top_per_group
-from noteworks.operators.vectors import BLOCK, PIVOTS, _best, _matrix, assign_cells, block_join, choose_pivots, embed_text
+from noteworks.operators.vectors import BLOCK, PIVOTS, _matrix, _nearest, assign_cells, block_join, choose_pivots, embed_text
 from noteworks.session import cut_lineage, literal_table
 
 
@@ -68,9 +68,9 @@ def cluster_terms(terms: DataFrame, distance: float = config.CONCEPT_DISTANCE, b
         # sqrt(2 * distance) apart, because no mean is longer than one.
         points = state.select("id", "vec")
         pivots = choose_pivots(points, n_pivots, block)
-        cells = cut_lineage(assign_cells(points, pivots))
+        cells = assign_cells(points, pivots)
         reach = cells.withColumn("reach", F.lit(float(np.sqrt(2 * distance))))
-        pairs = block_join(cells, reach, pivots, _best(1, lambda a, b: a @ b.T), "id long, other long, score double", block)
+        pairs = block_join(reach, pivots, _nearest(1), "id long, other long, score double", block)
         close = pairs.where(F.col("score") > 1 - distance)
         nearest = cut_lineage(close.groupBy("id").agg(F.min_by("other", F.struct((-F.col("score")).alias("s"), "other")).alias("other")))
         # What is close to nothing stays so, since merging brings no cluster closer to a third: it is done.

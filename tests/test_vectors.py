@@ -175,3 +175,17 @@ def test_finished_clusters_leave_the_rounds(spark, points, monkeypatch):
     for r in L.cluster_terms(df, 0.02).collect():
         found.setdefault(r["cluster"], set()).add(r["id"])
     assert {frozenset(g) for g in found.values()} == linkage(some, 0.02) and all(min(g) == c for c, g in found.items())
+
+
+def test_vectors_are_not_shuffled_once_for_each_block(spark, points, monkeypatch):
+    """Every block met a copy of all its visitors in a shuffle of its own, so that the disk grew with the square."""
+    data, _ = points
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, vec array<double>")
+    want = V.nearest_neighbours(df, 3).orderBy("id", "rank").collect()
+    made, write = [], V.cut_lineage
+    monkeypatch.setattr(V, "cut_lineage", lambda frame: (made.append(write(frame)), made[-1])[1])
+    monkeypatch.setattr(V.block_join, "__defaults__", (16, 3))
+    assert V.nearest_neighbours(df, 3, block=16, n_pivots=5).orderBy("id", "rank").collect() == want
+    places = max(f.count() for f in made if "vecs" in f.columns)
+    met = [f for f in made if f.columns == ["id", "other", "score"]]
+    assert len(met) == -(-places // 3) and max(f.count() for f in met) <= 3 * len(data)
