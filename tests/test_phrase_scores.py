@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from noteworks.operators import keyphrases as K
+from noteworks.operators import phrase_scores as P
 
 WORDS = "silk bag red coat linen blue zip belt wool hat".split()
 SCHEMA = "note_id long, language string, text string"
@@ -64,3 +68,15 @@ def test_first_notes_of_a_candidate(spark):
     rows = [(i, "EN", "red leather bag, linen coat") for i in (9, 3, 40, 7, 22, 5, 18)] + [(None, "FR", "red leather bag, linen coat")]
     found = K.mine_candidates(spark.createDataFrame(rows, SCHEMA), known_words=[]).where("freq_notes = 8").collect()
     assert found and all(r["languages"] == ["EN", "FR"] and r["example_note_ids"] == [3, 5, 7, 9] for r in found)
+
+
+def test_logarithms_and_deviations_are_those_of_spark(spark):
+    """Weights that tie up to rounding keep their order only if every bit is the same."""
+    values = [0.5 * i for i in range(2, 4000)] + [1.0 + 2.0**-30, 1e9, 1.4142135623730951]
+    frame = spark.createDataFrame([(i, i // 40, v) for i, v in enumerate(values)], "i int, g int, v double").coalesce(1)
+    logs = [r["x"] for r in frame.orderBy("i").select(F.log("v").alias("x")).collect()]
+    assert [P._strict_log(v) for v in values] == logs
+    over = Window.partitionBy("g").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    last = frame.withColumn("s", F.stddev_pop("v").over(over)).groupBy("g").agg(F.max_by("s", "i").alias("s")).orderBy("g").collect()
+    groups = np.arange(len(values)) // 40
+    assert P._spread(groups, np.array(values), groups.max() + 1).tolist() == [r["s"] for r in last]
